@@ -102,13 +102,13 @@ def redact(value: Column) -> Column:
 
 def shannon_entropy(value: Column) -> Column:
     """Bits per character; 0 for the empty string."""
-    chars = F.split(value, "")
-    n = F.length(value).cast("double")
 
-    def term(acc: Column, ch: Column) -> Column:
-        p = F.size(F.filter(chars, lambda c: c == ch)).cast("double") / n
-        return acc - p * F.log2(p)
+    def bits(v: Column) -> Column:
+        n = F.length(v).cast("double")
+        shares = F.transform(
+            F.array_sort(F.array_distinct(F.split(v, ""))),
+            lambda ch: (F.length(v) - F.length(F.replace(v, ch, F.lit("")))).cast("double") / n,
+        )
+        return F.aggregate(shares, F.lit(0.0), lambda acc, p: F.when(p > 0, acc - p * F.log2(p)).otherwise(acc))
 
-    return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), term)
-    )
+    return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(let(value, bits))

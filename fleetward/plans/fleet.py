@@ -11,19 +11,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.secrets import classify_secret
 from ..operators import file_rules, grading, ingest, live_rules, passes as pass_rules, pipeline, report, target_rules
-from ..schema import HIT_TYPE, SIDE_CHANNEL, publish
+from ..schema import HIT_FIELDS, SIDE_CHANNEL, publish
 from ..sources import files as file_source, http
 from .registry import RULE_META, Rule, run_isolated, union_all
 from .staging import materialize
 
 
-_HIT_COLUMNS = [
-    f.name for f in T.StructType.fromDDL(f"h {HIT_TYPE}").fields[0].dataType.fields if f.name not in SIDE_CHANNEL
-]
+_HIT_COLUMNS = [c for c in HIT_FIELDS if c not in SIDE_CHANNEL]
 
 
 @dataclass

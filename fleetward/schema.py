@@ -18,10 +18,11 @@ from .catalog import lists
 from .catalog.texts import MAX_PARAMS, VARIANTS
 
 # What a rule emits; everything a variant determines is added by ``complete``.
-HIT_TYPE = (
-    "struct<variant:string,rule_id:string,severity:string,evidence:string,file:string,line:int,url:string,"
-    "params:array<string>,emit_ord:bigint,raw:string,raw_line:string>"
-)
+HIT_FIELDS = {
+    "variant": "string", "rule_id": "string", "severity": "string", "evidence": "string", "file": "string", "line": "int",
+    "url": "string", "params": "array<string>", "emit_ord": "bigint", "raw": "string", "raw_line": "string",
+}
+HIT_TYPE = f"struct<{','.join(f'{k}:{v}' for k, v in HIT_FIELDS.items())}>"
 SIDE_CHANNEL = ("raw", "raw_line")
 COMPACT = (
     "target_id", "rule_id", "variant", "category", "severity", "confidence", "source", "evidence",
