@@ -107,7 +107,7 @@ def scan(src: str, pattern: str, cols: str = "target_id, path", text: str = "con
     seg = "list_sum(list_transform({}, lambda x: length(x)))"
     return f"""(SELECT *, 1 + {nl('substr(content, 1, start0)')} AS line FROM (
     SELECT {cols}, content, i AS ord, ms[i] AS match,
-      coalesce({seg.format('segs[1:i]')}, 0) + coalesce({seg.format('ms[1:i-1]')}, 0) AS start0
+      (coalesce({seg.format('segs[1:i]')}, 0) + coalesce({seg.format('ms[1:i-1]')}, 0))::BIGINT AS start0
     FROM (SELECT {cols}, {text} AS content, string_split_regex({text}, {lit(pattern)}) AS segs,
             regexp_extract_all({text}, {lit(pattern)}) AS ms FROM {src} WHERE regexp_matches({text}, {lit(pattern)})) z,
       LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS i) y) w)"""

@@ -379,7 +379,7 @@ def finding_events(events: DataFrame) -> DataFrame:
     )
     return events.join(F.broadcast(rules), "event_type").select(
         "event_id",
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").alias("target_id"),
         "rule_id",
         "category",

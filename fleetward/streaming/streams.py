@@ -193,7 +193,7 @@ def run_deps_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = staging_path(spark, "stream-deps")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     keyed = events.select(
-        "event_id", "ts", F.col("user_id").alias("target_id"), "event_type",
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("target_id"), "event_type",
         F.concat(F.lit("pkg"), (F.col("event_id") % 11).cast("string")).alias("pkg"),
     )
     end = keyed.agg(F.max("ts").alias("ts"))
