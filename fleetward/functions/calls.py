@@ -40,20 +40,25 @@ def _bracketed(depth: int) -> str:
 _ARGUMENT = rf"(?:[^()\[\]{{}},\"'`]++|{_LITERAL}|[(\[{{]{_bracketed(2)}[)\]}}])*+"
 _WORD = r"\w$\p{L}\p{N}"
 _NAME = rf"[\p{{L}}_$][{_WORD}]*+"
-_NOT_CALLS = (
-    r"(?:if|for|while|switch|catch|return|typeof|await|void|delete|throw|case|do|else|yield|in|of|function|async|import|super)"
-    rf"(?![{_WORD}])"
+# Words that may stand in front of a bracket without being called.
+_KEYWORDS = (
+    "if", "for", "while", "switch", "catch", "return", "typeof", "await", "void", "delete", "throw", "case", "do",
+    "else", "yield", "in", "of", "function", "async", "import", "super",
 )
-_REGEX_LITERAL = r"(?<=[=(,:!&|?;{}\[\n]\s{0,4})/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+_REGEX_LITERAL = r"/(?![/*])(?<=[=(,:!&|?;{}\[\n]\s{0,4}/)(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
 
+# The first character decides cheaply which kind of token is tried.
 TOKENS = (
-    r"//[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
-    + f"|{_LITERAL}|{_REGEX_LITERAL}"
-    + rf"|(?<![{_WORD}.])(?:new\s+|function\s*+\*?\s*+){_NAME}(?:\s*+\.\s*+{_NAME})*+"
-    + rf"|(?<![{_WORD}])(?!{_NOT_CALLS})((?:\??\.\s*+)?{_NAME}(?:\s*+[?!]?\.\s*+#?{_NAME})*+)"
-    + rf"(?=\s*+(?:<[^<>()]*+>)?\((?!{_bracketed(2)}\)\s*+\{{)\s*+({_ARGUMENT}))"
+    r"(?=[/\"'`])(?://[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
+    + f"|{_LITERAL}|{_REGEX_LITERAL})"
+    + rf"|(?=[\p{{L}}_$.?])(?<![{_WORD}])"
+    + rf"(?:(?:new\s+|function\s*+\*?\s*+){_NAME}(?:\s*+\.\s*+{_NAME})*+"
+    + rf"|((?:\??\.\s*+)?{_NAME}(?:\s*+[?!]?\.\s*+#?{_NAME})*+)"
+    + rf"(?=\s*+(?:<[^<>()]*+>)?\((?!{_bracketed(2)}\)\s*+\{{)\s*+({_ARGUMENT})))"
 )
 
+_NOT_CALLED = rf"^(?:{'|'.join(_KEYWORDS)})(?![{_WORD}])"
+
 
 def _callee(raw: Column) -> Column:
     """Dotted name; the part after the last non-null assertion, without ``this``."""
@@ -75,7 +80,7 @@ def call_sites(text: Column, names: str | None = None) -> Column:
         raw = F.substring_index(seg, _CLOSE, 1)
         arg = F.substring_index(F.substring_index(seg, _EXTRA, 1), _CLOSE, -1)
         callee = _callee(raw)
-        keep = seg.contains(_EXTRA) & (raw != "") & ~raw.contains("?")
+        keep = seg.contains(_EXTRA) & (raw != "") & ~raw.contains("?") & ~raw.rlike(_NOT_CALLED)
         if names is not None:
             keep = keep & callee.rlike(names)
         row = F.struct(

@@ -21,6 +21,13 @@ _LINE_START = {"java": r"(?:^|(?<=[\n\r\u2028\u2029]))", "re2": r"(?m:^)"}
 _LINE_END = {"java": r"(?:\z|(?=[\n\r\u2028\u2029]))", "re2": r"(?m:$)"}
 
 
+def _boundary(following: str, target: str) -> str:
+    """``\\b``; a single lookbehind where a word character must follow."""
+    if target == "java" and _starts_with_word(following):
+        return "(?<![A-Za-z0-9_])"
+    return _BOUNDARY[target]
+
+
 def _class_end(src: str, start: int) -> int:
     i = start + 1
     while src[i] != "]":
@@ -28,6 +35,54 @@ def _class_end(src: str, start: int) -> int:
     return i
 
 
+def _group_end(src: str, start: int) -> int:
+    """Index of the bracket closing the group opened at ``start``."""
+    depth, i = 0, start
+    while True:
+        ch = src[i]
+        if ch == "\\":
+            i += 1
+        elif ch == "[":
+            i = _class_end(src, i)
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+            if depth == 0:
+                return i
+        i += 1
+
+
+def _starts_with_word(src: str) -> bool:
+    """True if whatever matches ``src`` surely starts with a word character."""
+    if src[:1].isalnum() or src[:1] == "_":
+        return src[1:2] not in ("?", "*", "{")
+    if src.startswith("("):
+        end = _group_end(src, 0)
+        body = src[3:end] if src.startswith("(?:") else src[1:end]
+        if src[end + 1 : end + 2] in ("?", "*", "{") or body.startswith("?"):
+            return False
+        return all(_starts_with_word(alt) for alt in _alternatives(body))
+    return False
+
+
+def _alternatives(body: str) -> list[str]:
+    out, start, i = [], 0, 0
+    while i < len(body):
+        ch = body[i]
+        if ch == "\\":
+            i += 1
+        elif ch == "[":
+            i = _class_end(body, i)
+        elif ch == "(":
+            i = _group_end(body, i)
+        elif ch == "|":
+            out.append(body[start:i])
+            start = i + 1
+        i += 1
+    return out + [body[start:]]
+
+
 def _render(src: str, flags: str, target: str) -> str:
     out = ["(?i)"] if "i" in flags else []
     multiline = "m" in flags
@@ -38,7 +93,7 @@ def _render(src: str, flags: str, target: str) -> str:
             nxt = src[i + 1]
             out.append(
                 {
-                    "b": _BOUNDARY[target],
+                    "b": _boundary(src[i + 2 :], target),
                     "s": f"[{_SPACE[target]}]",
                     "S": f"[^{_SPACE[target]}]",
                     "/": "/",

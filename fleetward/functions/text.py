@@ -42,6 +42,18 @@ def group(text: Column, pattern: Pattern, idx: int) -> Column:
     return F.regexp_extract(text, pattern.java, idx)
 
 
+def all_of(*conditions: Column) -> Column:
+    """Conjunction that stops at the first false condition, in the given order.
+
+    Plain ``&`` lets the engine hoist subexpressions that occur twice and evaluate
+    them for every row; a condition behind a CASE is only evaluated when reached.
+    """
+    out = conditions[-1]
+    for c in reversed(conditions[:-1]):
+        out = F.when(c, out)
+    return F.coalesce(out, F.lit(False))
+
+
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -51,7 +63,8 @@ def cut(text: Column, java_pattern: str, replacement: str) -> Column:
 
     ``replacement`` states what each segment starts with, between the marks.
     """
-    clean = F.translate(text, _OPEN + _CLOSE + _EXTRA, "")
+    marked = has_any(text, _OPEN, _CLOSE, _EXTRA)
+    clean = F.when(marked, F.translate(text, _OPEN + _CLOSE + _EXTRA, "")).otherwise(text)
     return F.split(F.regexp_replace(clean, java_pattern, replacement), _OPEN)
 
 

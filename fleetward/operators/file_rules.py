@@ -19,7 +19,7 @@ from ..catalog.texts import PATTERN_PACK
 from ..functions import paths
 from ..functions.calls import _STRING, _TEMPLATE, call_sites, tainted_arg
 from ..functions.secrets import classify_secret
-from ..functions.text import MATCH_TYPE, group, has_any, line_matches, matches, redact, scan, shannon_entropy
+from ..functions.text import MATCH_TYPE, all_of, group, has_any, let, line_matches, matches, redact, scan, shannon_entropy
 from ..schema import NO_HITS, explode_hits, hit
 
 ENTROPY_FLOOR = 3.5  # bits per character of a generic credential (inferred)
@@ -30,6 +30,10 @@ _CALL_WORDS = (
     "queryrawunsafe", "executerawunsafe", "query", "execute", "raw", "exec", "spawn", "fetch", "request", "got",
     "axios", "http",
 )
+_CALL_ENDS = (
+    "rawunsafe(", "query(", "execute(", "raw(", "exec(", "spawn(", "sync(", "execfile(", "fetch(", "request(", "got(",
+    "get(", "post(", "axios",
+)
 
 
 @dataclass(frozen=True)
@@ -72,7 +76,11 @@ def _scan(gate: Column, content: Column, pattern) -> Column:
 
 def secret_hits(content: Column, lower: Column, *, file: Column | None = None, url: Column | None = None) -> Column:
     """Secret shapes in a text whose value is not public; the raw value rides along."""
-    gate = has_any(lower, "_live_", "sb_secret_", "key", "eyj", "://", "secret", "token", "password")
+    gate = (
+        has_any(content, "_live_", "sb_secret_", "PRIVATE KEY-----", "eyJ")
+        | (content.contains("://") & has_any(lower, "postgres", "mysql", "mongodb", "redis:", "amqp:"))
+        | matches(content, p.LONG_QUOTED_VALUE)
+    )
     found = _scan(gate, content, p.SECRET_SHAPES)
 
     def judge(m: Column) -> Column:
@@ -110,8 +118,7 @@ def secret_hits(content: Column, lower: Column, *, file: Column | None = None, u
             )
         )
 
-    hits = F.filter(_each(F.transform(found, judge), make), lambda h: h.isNotNull())
-    return F.when(F.size(found) > 0, hits).otherwise(no_hits())
+    return F.filter(_each(F.transform(found, judge), make), lambda h: h.isNotNull())
 
 
 def _hardcoded_secrets(f: FileColumns) -> Column:
@@ -173,9 +180,13 @@ def _definer_view(f: FileColumns) -> Column:
 
 
 def _missing_auth(f: FileColumns) -> Column:
-    handler = matches(f.content, (p.AUTH_HANDLER, p.USE_SERVER))
     return _one(
-        handler & matches(f.content, p.AUTH_MUTATION) & ~matches(f.content, p.AUTH_SIGNAL),
+        all_of(
+            has_any(f.content, "export", "use server"),
+            matches(f.content, (p.AUTH_HANDLER, p.USE_SERVER)),
+            matches(f.content, p.AUTH_MUTATION),
+            ~matches(f.content, p.AUTH_SIGNAL),
+        ),
         hit("missing_auth", file=f.path),
     )
 
@@ -196,7 +207,10 @@ def judged_calls(content: Column, lower: Column) -> Column:
         ),
     )
     none = F.array().cast("array<struct<ord:int,line:int,callee:string,arg0:string,tainted:boolean>>")
-    return F.when(content.contains("(") & has_any(lower, *_CALL_WORDS), sites).otherwise(none)
+    # Names stand right in front of the bracket once blanks and type arguments are gone.
+    tight = F.regexp_replace(lower, r"(?:\s++|\s*+<[^<>()]*+>\s*+)\(", "(")
+    named = let(tight, lambda t: has_any(t, *_CALL_ENDS))
+    return F.when(all_of(content.contains("("), has_any(lower, *_CALL_WORDS), named), sites).otherwise(none)
 
 
 def _sql_injection(f: FileColumns) -> Column:
@@ -292,20 +306,22 @@ def _ssrf_tainted(f: FileColumns) -> Column:
 
 def _webhook_idempotency(f: FileColumns) -> Column:
     financial = matches(f.content, (p.FINANCIAL, p.CREDIT_ASSIGN))
-    acts = matches(f.content, p.STATE_CHANGE) | financial
-    log_only = ~financial & matches(f.content, p.LOG_TARGET)
-    webhook = matches(f.path, p.WEBHOOK_PATH) | f.lower.contains("webhook")
-    route = paths.is_server_route(f.path, f.content)
-    guarded = matches(f.content, p.DEDUPE_GUARDS)
+    # A write without a money or access effect counts unless it only logs.
+    acts = F.when(financial, True).otherwise(matches(f.content, p.STATE_CHANGE) & ~matches(f.content, p.LOG_TARGET))
     return _one(
-        webhook & route & acts & ~log_only & ~guarded,
+        all_of(
+            matches(f.path, p.WEBHOOK_PATH) | f.lower.contains("webhook"),
+            paths.is_server_route(f.path, f.content),
+            acts,
+            ~matches(f.content, p.DEDUPE_GUARDS),
+        ),
         hit("webhook_replay", file=f.path),
     )
 
 
 # The write verb must lie within the 60 characters before or the 40 from the spread.
 _SPREAD_NEAR_WRITE = (
-    r"(?:(?<=(?i:update|insert|create)[\s\S]{0,54}|(?i:set)[\s\S]{0,57}|(?i:save)[\s\S]{0,56})"
+    r"(?=\.\.\.req)(?:(?<=(?i:update|insert|create)[\s\S]{0,54}|(?i:set)[\s\S]{0,57}|(?i:save)[\s\S]{0,56})"
     r"|(?=[\s\S]{0,34}(?i:update|insert|create)|[\s\S]{0,37}(?i:set)|[\s\S]{0,36}(?i:save)))"
     + p.SPREAD_BODY.java
 )
@@ -316,37 +332,36 @@ def _mass_assignment(f: FileColumns) -> Column:
         return hit("mass_assignment", evidence=evidence, file=f.path, line=line, ord=F.lit(ord))
 
     body = has_any(f.lower, "req.body", "request.body")
-    tamper = _scan(body, f.content, p.TAMPER)
-    fields = F.array_distinct(F.transform(tamper, lambda m: group(m["match"], p.TAMPER, 1)))
-    first_field = F.get(tamper, F.lit(0))
-    spread = F.get(
-        F.when(body & matches(f.content, p.SPREAD_BODY), line_matches(f.content, _SPREAD_NEAR_WRITE)), F.lit(0)
-    )
-    return F.concat(
-        _one(
-            first_field.isNotNull(),
-            as_hit(
-                first_field["line"],
-                F.concat(F.lit("Privileged fields set from the request body: "), F.array_join(fields, ", ")),
-                1,
-            ),
-        ),
-        _one(
-            spread.isNotNull(),
-            as_hit(spread["line"], F.lit("The entire request body is written to the database (…req.body)"), 2),
-        ),
-    )
+    def privileged(found: Column) -> Column:
+        fields = F.array_distinct(F.transform(found, lambda m: group(m["match"], p.TAMPER, 1)))
+        evidence = F.concat(F.lit("Privileged fields set from the request body: "), F.array_join(fields, ", "))
+        return _one(F.size(found) > 0, as_hit(F.get(found, F.lit(0))["line"], evidence, 1))
+
+    def whole_body(found: Column) -> Column:
+        evidence = F.lit("The entire request body is written to the database (…req.body)")
+        return F.transform(F.slice(found, 1, 1), lambda m: as_hit(m["line"], evidence, 2))
+
+    spread = F.when(
+        all_of(body, matches(f.content, p.SPREAD_BODY)), line_matches(f.content, _SPREAD_NEAR_WRITE)
+    ).otherwise(F.array().cast(MATCH_TYPE))
+    return F.concat(let(_scan(body, f.content, p.TAMPER), privileged), whole_body(spread))
 
 
 # ---- uploads ----------------------------------------------------------------
 
+_UPLOAD_WORDS = (
+    "multer", "formdata()", "multipart/form-data", ".upload(", "busboy", "createreadstream", "req.file", ".files[",
+)
+
 
 def _insecure_upload(f: FileColumns) -> Column:
     typed = matches(f.content, p.UPLOAD_TYPE_CHECK)
     sized = matches(f.content, p.UPLOAD_SIZE_CHECK)
     make = lambda variant: F.array(hit(variant, file=f.path))
     return (
-        F.when(~matches(f.content, p.UPLOAD) | (typed & sized), no_hits())
+        F.when(~has_any(f.lower, *_UPLOAD_WORDS), no_hits())
+        .when(~matches(f.content, p.UPLOAD), no_hits())
+        .when(typed & sized, no_hits())
         .when(~typed & ~sized, make("upload_both"))
         .when(~typed, make("upload_type"))
         .otherwise(make("upload_size"))
@@ -390,10 +405,11 @@ def _insecure_defaults(f: FileColumns) -> Column:
 
 def _cors_wildcard(f: FileColumns) -> Column:
     return _one(
-        f.lower.contains("credentials")
-        & f.lower.contains("origin")
-        & matches(f.content, p.CORS_ORIGIN)
-        & matches(f.content, p.CORS_CREDENTIALS),
+        all_of(
+            f.lower.contains("credentials") & f.lower.contains("origin"),
+            matches(f.content, p.CORS_ORIGIN),
+            matches(f.content, p.CORS_CREDENTIALS),
+        ),
         hit("cors_wildcard", file=f.path),
     )
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..catalog import lists, patterns as p
 from ..functions import paths
 from ..functions.identity import advisory_rule_id
-from ..functions.text import MATCH_TYPE, group, has_any, matches, scan
+from ..functions.text import MATCH_TYPE, all_of, group, has_any, matches, scan
 from ..functions.version import format_version, in_range, parse_version, version_literal
 from ..schema import PASS_COLUMNS, hit, lookup, one_hit
 from .file_rules import FileColumns, columns, file_columns
@@ -83,22 +83,27 @@ def _gitignore(f: FileColumns) -> Column:
 
 def _verified(f: FileColumns) -> Column:
     stripe = matches(f.content, p.STRIPE_VERIFY)
-    hmac = (
-        f.content.contains("createHmac")
-        & matches(f.content, p.HMAC_CREATE)
-        & matches(f.content, p.HMAC_COMPARE)
-        & matches(f.content, p.HMAC_CONTEXT)
+    hmac = all_of(
+        f.content.contains("createHmac"),
+        matches(f.content, p.HMAC_CREATE),
+        matches(f.content, p.HMAC_COMPARE),
+        matches(f.content, p.HMAC_CONTEXT),
     )
-    return _one(stripe | hmac, _fact("verified", f, flag=stripe, other=hmac))
+    verified = has_any(f.content, "constructEvent", "createHmac") & (stripe | hmac)
+    return _one(verified, _fact("verified", f, flag=stripe, other=hmac))
 
 
 def _webhook(f: FileColumns) -> Column:
     text_says = f.lower.contains("webhook")
     stripe = f.lower.contains("stripe")
     github = matches(f.content, p.GITHUB_TEXT) & text_says
-    gate = (matches(f.path, p.WEBHOOK_PATH) | text_says) & (stripe | github)
     return _one(
-        gate & paths.is_server_route(f.path, f.content) & paths.is_body_handler(f.content),
+        all_of(
+            matches(f.path, p.WEBHOOK_PATH) | text_says,
+            stripe | github,
+            paths.is_server_route(f.path, f.content),
+            paths.is_body_handler(f.content),
+        ),
         _fact("webhook", f, flag=stripe, other=github),
     )
 

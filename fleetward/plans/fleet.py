@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.secrets import classify_secret
@@ -65,15 +65,27 @@ def _emitted(hits: DataFrame) -> DataFrame:
     return hits.select("target_id", *_HIT_COLUMNS)
 
 
+_scan_expressions: dict[str, tuple[Column, Column]] = {}
+
+
+def _scan_columns(spark: SparkSession) -> tuple[Column, Column]:
+    """(hits, facts) over the prepared file columns, built once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _scan_expressions:
+        kinds = [r.kind for r in target_rules.FACT_RULES]
+        _scan_expressions[app] = (
+            _without_raw(file_rules.hits_of(file_rules.FILE_RULES)),
+            target_rules.facts_column(kinds),
+        )
+    return _scan_expressions[app]
+
+
 def scan_files(files: DataFrame) -> DataFrame:
     """One pass: ``target_id, hits, facts`` for each file that has any."""
-    prepared = file_rules.file_columns(file_source.scannable(files), True)
-    kinds = [r.kind for r in target_rules.FACT_RULES]
-    return prepared.select(
-        "target_id",
-        _without_raw(file_rules.hits_of(file_rules.FILE_RULES)).alias("hits"),
-        target_rules.facts_column(kinds).alias("facts"),
-    ).where((F.size("hits") > 0) | (F.size("facts") > 0))
+    source = file_source.spread_small(file_source.scannable(files))
+    prepared = file_rules.file_columns(source, True)
+    hits, facts = _scan_columns(files.sparkSession)
+    return prepared.select("target_id", hits.alias("hits"), facts.alias("facts")).where((F.size("hits") > 0) | (F.size("facts") > 0))
 
 
 def whitebox_rules() -> list[Rule]:

@@ -44,6 +44,19 @@ def scannable(files: DataFrame) -> DataFrame:
     return files.where(~paths.is_ignored(F.col("path"))).withColumn("content", size_cap(F.col("content")))
 
 
+def spread_small(files: DataFrame) -> DataFrame:
+    """Spread a small input over all cores; a large one is left as it was read.
+
+    A few small files would keep most cores idle during the text tests.  From the
+    point where every core gets a full split of its own, nothing is moved.
+    """
+    spark = files.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = 128 * 1024 * 1024
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return files.repartition(cores * 2, "target_id", "path") if size < cores * split else files
+
+
 def with_kinds(files: DataFrame) -> DataFrame:
     p = F.col("path")
     return files.select(
