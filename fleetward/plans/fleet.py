@@ -85,7 +85,10 @@ def scan_files(files: DataFrame) -> DataFrame:
     source = file_source.spread_small(file_source.scannable(files))
     prepared = file_rules.file_columns(source, True)
     hits, facts = _scan_columns(files.sparkSession)
-    return prepared.select("target_id", hits.alias("hits"), facts.alias("facts")).where((F.size("hits") > 0) | (F.size("facts") > 0))
+    # ``inline`` keeps the filter from being pushed into the arrays, which would
+    # compute them a second time.
+    both = F.inline(F.array(F.struct(hits.alias("hits"), facts.alias("facts"))))
+    return prepared.select("target_id", both).where((F.size("hits") > 0) | (F.size("facts") > 0))
 
 
 def whitebox_rules() -> list[Rule]:

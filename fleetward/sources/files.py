@@ -44,17 +44,27 @@ def scannable(files: DataFrame) -> DataFrame:
     return files.where(~paths.is_ignored(F.col("path"))).withColumn("content", size_cap(F.col("content")))
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Stored size of all tables a plan reads; NULL where the session cannot tell."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    except AttributeError:  # a remote session has no local plan
+        return None
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread_small(files: DataFrame) -> DataFrame:
     """Spread a small input over all cores; a large one is left as it was read.
 
     A few small files would keep most cores idle during the text tests.  From the
     point where every core gets a full split of its own, nothing is moved.
     """
-    spark = files.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return files.repartition(cores * 2, "target_id", "path") if size < cores * split else files
+    size = input_bytes(files)
+    if size is None:
+        return files
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    small = size < cores * 128 * 1024 * 1024
+    return files.repartition(cores * 2, "target_id", "path") if small else files
 
 
 def with_kinds(files: DataFrame) -> DataFrame:
