@@ -517,13 +517,14 @@ def columns() -> FileColumns:
 def hits_of(rules: Sequence[FileRule]) -> Column:
     """All hits of ``rules`` on one file, in rule order."""
     c = columns()
-    arrays = [F.when(r.applies(c.path), r.hits(c)).otherwise(no_hits()) for r in rules]
+    readable = F.coalesce(c.content, F.lit("")) != ""
+    arrays = [F.when(readable & r.applies(c.path), r.hits(c)).otherwise(no_hits()) for r in rules]
     return F.flatten(F.array(*arrays)) if len(arrays) > 1 else arrays[0]
 
 
 def run_rule(files: DataFrame, rule: FileRule) -> DataFrame:
     """One rule alone: path test first, text tests on what is left."""
-    gated = files.where(rule.applies(F.col("path")) & F.col("content").isNotNull())
+    gated = files.where(rule.applies(F.col("path")) & (F.col("content") != ""))
     return explode_hits(file_columns(gated, rule.needs_calls), rule.hits(columns()))
 
 

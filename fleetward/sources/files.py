@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +20,60 @@ def size_cap(content: Column) -> Column:
     return F.when(F.octet_length(content) < lists.MAX_FILE_BYTES, content)
 
 
-def read_directory(spark: SparkSession, root: str, target_id: int = 0) -> DataFrame:
-    """All regular files below ``root``, dotfiles included.
-
-    Oversized files keep their row but are never decoded; text that is not valid
-    UTF-8 gets replacement characters.
+_LISTED = "target_id bigint, root string, path string, n_bytes bigint"
+_READ = "target_id bigint, path string, n_bytes bigint, content string"
+_BATCH_BYTES = 16 * 1024 * 1024
+
+
+def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names and sizes below each root, dotfiles included; contents stay unread."""
+    for batch in batches:
+        for target_id, root in zip(batch["target_id"], batch["root"]):
+            store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
+            for info in store.get_file_info(fs.FileSelector(base, recursive=True)):
+                if info.type == fs.FileType.File:
+                    row = (target_id, root, info.path[len(base) :].lstrip("/"), info.size)
+                    yield pd.DataFrame([row], columns=["target_id", "root", "path", "n_bytes"])
+
+
+def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Text of the listed files below the size limit, a bounded number of bytes at a time."""
+    columns = ["target_id", "path", "n_bytes", "content"]
+    rows, held = [], 0
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            text = None
+            if r.n_bytes < lists.MAX_FILE_BYTES:
+                store, base = fs.FileSystem.from_uri(r.root) if "://" in r.root else (fs.LocalFileSystem(), r.root.rstrip("/"))
+                with store.open_input_stream(f"{base}/{r.path}") as stream:
+                    text = stream.read().decode("utf-8", errors="replace")
+                held += r.n_bytes
+            rows.append((r.target_id, r.path, r.n_bytes, text))
+            if held >= _BATCH_BYTES:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def read_repositories(roots: DataFrame, partitions: int | None = None) -> DataFrame:
+    """All regular files below ``roots(target_id, root)`` in storage every executor sees.
+
+    Spark's own file sources leave out names that start with a dot, which matter
+    here, so tasks list and read through Arrow.  Listing moves names only; the names
+    are then spread over all tasks, so one huge repository is read by many of them.
+    Oversized files keep their row without text, and bytes that are not valid UTF-8
+    become replacement characters.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root), r"^file:(//)?|/+$", "")
-    plain = F.regexp_replace(F.col("path"), r"^file:(//)?", "")
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return raw.select(
-        F.lit(target_id).cast("bigint").alias("target_id"),
-        paths.relative_path(base, plain).alias("path"),
-        F.col("length").alias("n_bytes"),
-        F.when(F.col("length") < lists.MAX_FILE_BYTES, text).alias("content"),
-    )
+    n = partitions or int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = roots.select("target_id", "root").mapInPandas(_list_files, _LISTED)
+    return listed.repartition(n, "target_id", "path").mapInPandas(_read_files, _READ)
+
+
+def read_directory(spark: SparkSession, root: str, target_id: int = 0) -> DataFrame:
+    """The files of one repository."""
+    roots = spark.createDataFrame([(target_id, root)], "target_id bigint, root string")
+    return read_repositories(roots)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
