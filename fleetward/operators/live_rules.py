@@ -72,24 +72,39 @@ def weak_cookies(homepages: DataFrame) -> DataFrame:
     )
 
 
-def _answers(plan: DataFrame, probe_responses: DataFrame, how: str = "inner") -> DataFrame:
-    answers = probe_responses.select("target_id", "url", "status", F.col("body").alias("answer"))
+def _answers(plan: DataFrame, answers: DataFrame, how: str = "inner") -> DataFrame:
     return plan.join(answers, ["target_id", "url"], how)
 
 
+def _ok(probe_responses: DataFrame, kind: Column) -> DataFrame:
+    """Answers of one kind of probe, picked by URL before their bodies are looked at."""
+    return probe_responses.where(kind & (F.col("status") == 200))
+
+
+def _dotfile_answers(probe_responses: DataFrame) -> DataFrame:
+    """What dotfile bodies look like.  Bodies are judged here, so no join carries them."""
+    body, kind = F.col("body"), F.lit(False)
+    for path in lists.PROBED_DOTFILES:
+        kind = kind | F.endswith(F.col("url"), F.lit(path))
+    return _ok(probe_responses, kind).select(
+        "target_id",
+        "url",
+        matches(body, p.DOTFILE_ENV).alias("env_shaped"),
+        matches(body, p.DOTFILE_GIT).alias("git_shaped"),
+        (matches(body, p.DOTFILE_VALUE) & (classify_secret(body) == "dangerous")).alias("secret"),
+    )
+
+
 def exposed_files(homepages: DataFrame, probe_responses: DataFrame) -> DataFrame:
-    body, path = F.col("answer"), F.col("file_path")
+    path, secret = F.col("file_path"), F.col("secret")
     is_env = F.startswith(path, F.lit("/.env"))
-    real = (is_env & matches(body, p.DOTFILE_ENV)) | ((path == "/.git/config") & matches(body, p.DOTFILE_GIT))
-    secret = matches(body, p.DOTFILE_VALUE) & (classify_secret(body) == "dangerous")
+    real = (is_env & F.col("env_shaped")) | ((path == "/.git/config") & F.col("git_shaped"))
 
     def as_hit(variant: str) -> Column:
-        return hit(
-            variant, url=F.col("url"), params=[F.col("label")], ord=F.col("ord")
-        )
+        return hit(variant, url=F.col("url"), params=[F.col("label")], ord=F.col("ord"))
 
     return one_hit(
-        _answers(plan_dotfiles(homepages), probe_responses).where((F.col("status") == 200) & real),
+        _answers(plan_dotfiles(homepages), _dotfile_answers(probe_responses)).where(real),
         F.when(is_env & secret, as_hit("exposed_env_secret"))
         .when(is_env, as_hit("exposed_env"))
         .when(secret, as_hit("exposed_git_secret"))
@@ -97,18 +112,20 @@ def exposed_files(homepages: DataFrame, probe_responses: DataFrame) -> DataFrame
     )
 
 
-def _leaked_map() -> Column:
-    return F.coalesce(
-        (F.col("status") == 200) & matches(F.col("answer"), p.MAP_VERSION) & matches(F.col("answer"), p.MAP_SOURCES),
-        F.lit(False),
+def _map_answers(probe_responses: DataFrame) -> DataFrame:
+    """URLs that served a real source map; maps are large, so only the verdict is joined."""
+    body = F.col("body")
+    return (
+        _ok(probe_responses, F.endswith(F.col("url"), F.lit(".map")))
+        .where(matches(body, p.MAP_VERSION) & matches(body, p.MAP_SOURCES))
+        .select("target_id", "url", F.lit(True).alias("leaked"))
     )
 
 
 def source_maps(bundles: DataFrame, probe_responses: DataFrame) -> DataFrame:
     """At most one finding per target: the first leaking bundle in page order."""
     first = (
-        _answers(map_candidates(bundles), probe_responses)
-        .where(_leaked_map())
+        _answers(map_candidates(bundles), _map_answers(probe_responses))
         .groupBy("target_id")
         .agg(F.min(F.struct("ord", "url")).alias("m"))
         .select("target_id", "m.url")
@@ -116,25 +133,32 @@ def source_maps(bundles: DataFrame, probe_responses: DataFrame) -> DataFrame:
     return one_hit(first, hit("sourcemap", evidence=F.col("url"), url=F.col("url")))
 
 
-def pass_source_maps(bundles: DataFrame, probe_responses: DataFrame) -> DataFrame:
-    return (
-        _answers(map_candidates(bundles), probe_responses, "left")
-        .groupBy("target_id")
-        .agg(F.bool_or(_leaked_map()).alias("leaked"))
-        .where(~F.col("leaked"))
-        .select("target_id", *_pass(lists.PASS_SOURCEMAPS))
+def _unleaked(plan: DataFrame, answers: DataFrame) -> DataFrame:
+    """Probed targets without a leaking answer, answered or not."""
+    leaked = _answers(plan, answers, "left").groupBy("target_id").agg(
+        F.bool_or(F.coalesce("leaked", F.lit(False))).alias("leaked")
     )
+    return leaked.where(~F.col("leaked"))
+
 
+def pass_source_maps(bundles: DataFrame, probe_responses: DataFrame) -> DataFrame:
+    clean = _unleaked(map_candidates(bundles), _map_answers(probe_responses))
+    return clean.select("target_id", *_pass(lists.PASS_SOURCEMAPS))
 
-def _leaked_rows() -> Column:
-    rows = F.from_json("answer", "array<string>")
-    return F.coalesce((F.col("status") == 200) & (F.size(rows) > 0), F.lit(False))
+
+def _table_answers(probe_responses: DataFrame) -> DataFrame:
+    """URLs that returned rows.  Row content stays out of everything after this."""
+    return (
+        _ok(probe_responses, F.col("url").contains("/rest/v1/"))
+        .where(F.size(F.from_json("body", "array<string>")) > 0)
+        .select("target_id", "url", F.lit(True).alias("leaked"))
+    )
 
 
 def open_tables(discovered: DataFrame, probe_responses: DataFrame) -> DataFrame:
-    """Probed tables that returned rows.  Row content stays out of the finding."""
+    """Probed tables that returned rows to the public key."""
     return one_hit(
-        _answers(plan_tables(discovered), probe_responses).where(_leaked_rows()),
+        _answers(plan_tables(discovered), _table_answers(probe_responses)),
         hit(
             "rls_open_live",
             evidence=F.concat(
@@ -148,13 +172,8 @@ def open_tables(discovered: DataFrame, probe_responses: DataFrame) -> DataFrame:
 
 def pass_closed_tables(discovered: DataFrame, probe_responses: DataFrame) -> DataFrame:
     """Probed targets without a leak, also when every probe went unanswered."""
-    return (
-        _answers(plan_tables(discovered), probe_responses, "left")
-        .groupBy("target_id")
-        .agg(F.bool_or(_leaked_rows()).alias("leaked"))
-        .where(~F.col("leaked"))
-        .select("target_id", *_pass(lists.PASS_RLS_PROBE))
-    )
+    clean = _unleaked(plan_tables(discovered), _table_answers(probe_responses))
+    return clean.select("target_id", *_pass(lists.PASS_RLS_PROBE))
 
 
 def bundle_secrets(bundles: DataFrame) -> DataFrame:

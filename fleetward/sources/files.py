@@ -25,35 +25,50 @@ _READ = "target_id bigint, path string, n_bytes bigint, content string"
 _BATCH_BYTES = 16 * 1024 * 1024
 
 
-def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Names and sizes below each root, dotfiles included; contents stay unread."""
-    for batch in batches:
-        for target_id, root in zip(batch["target_id"], batch["root"]):
-            store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.rstrip("/"))
-            for info in store.get_file_info(fs.FileSelector(base, recursive=True)):
-                if info.type == fs.FileType.File:
-                    row = (target_id, root, info.path[len(base) :].lstrip("/"), info.size)
-                    yield pd.DataFrame([row], columns=["target_id", "root", "path", "n_bytes"])
-
-
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Text of the listed files below the size limit, a bounded number of bytes at a time."""
-    columns = ["target_id", "path", "n_bytes", "content"]
-    rows, held = [], 0
-    for batch in batches:
-        for r in batch.itertuples(index=False):
-            text = None
-            if r.n_bytes < lists.MAX_FILE_BYTES:
-                store, base = fs.FileSystem.from_uri(r.root) if "://" in r.root else (fs.LocalFileSystem(), r.root.rstrip("/"))
-                with store.open_input_stream(f"{base}/{r.path}") as stream:
-                    text = stream.read().decode("utf-8", errors="replace")
-                held += r.n_bytes
-            rows.append((r.target_id, r.path, r.n_bytes, text))
-            if held >= _BATCH_BYTES:
-                yield pd.DataFrame(rows, columns=columns)
-                rows, held = [], 0
-    if rows:
-        yield pd.DataFrame(rows, columns=columns)
+def _tasks(limit: int, batch_bytes: int):
+    """(list, read) functions for tasks.
+
+    They are closures over plain values, so workers need Arrow and pandas but not
+    this package.
+    """
+
+    def opened(root: str):
+        if "://" in root:
+            return fs.FileSystem.from_uri(root)
+        return fs.LocalFileSystem(), root.rstrip("/")
+
+    def list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Names and sizes only, dotfiles included.
+        for batch in batches:
+            for target_id, root in zip(batch["target_id"], batch["root"]):
+                store, base = opened(root)
+                rows = [
+                    (target_id, root, info.path[len(base) :].lstrip("/"), info.size)
+                    for info in store.get_file_info(fs.FileSelector(base, recursive=True))
+                    if info.type == fs.FileType.File
+                ]
+                yield pd.DataFrame(rows, columns=["target_id", "root", "path", "n_bytes"])
+
+    def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Text below the size limit, a bounded number of bytes at a time.
+        columns = ["target_id", "path", "n_bytes", "content"]
+        rows, held = [], 0
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                text = None
+                if r.n_bytes < limit:
+                    store, base = opened(r.root)
+                    with store.open_input_stream(f"{base}/{r.path}") as stream:
+                        text = stream.read().decode("utf-8", errors="replace")
+                    held += r.n_bytes
+                rows.append((r.target_id, r.path, r.n_bytes, text))
+                if held >= batch_bytes:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    return list_files, read_files
 
 
 def read_repositories(roots: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -66,8 +81,9 @@ def read_repositories(roots: DataFrame, partitions: int | None = None) -> DataFr
     become replacement characters.
     """
     n = partitions or int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    listed = roots.select("target_id", "root").mapInPandas(_list_files, _LISTED)
-    return listed.repartition(n, "target_id", "path").mapInPandas(_read_files, _READ)
+    list_files, read_files = _tasks(lists.MAX_FILE_BYTES, _BATCH_BYTES)
+    listed = roots.select("target_id", "root").mapInPandas(list_files, _LISTED)
+    return listed.repartition(n, "target_id", "path").mapInPandas(read_files, _READ)
 
 
 def read_directory(spark: SparkSession, root: str, target_id: int = 0) -> DataFrame:
