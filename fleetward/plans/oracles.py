@@ -5,7 +5,6 @@ from __future__ import annotations
 from ..catalog import lists, patterns as p
 from ..catalog.texts import GITLEAKS_HISTORY_NOTE, OSV_UNFIXED_NOTE, PATTERN_PACK
 from ..sources import corpus
-from ..sources.snippets import SNIPPETS  # noqa: F401 - corpus text is part of the statements
 from . import oracle_sql as o
 from .oracle_sql import lit, m, rx
 
@@ -55,9 +54,6 @@ ORACLES["reports_source"] = _with(
 )
 
 # ---- functions --------------------------------------------------------------
-LINE_PATTERN = r"\b(\w+)\.[\s]+(\w+)"
-
-
 def _line_scan() -> str:
     from .queries import LINE_PATTERN as pattern
 
