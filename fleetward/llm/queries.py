@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetward.llm.bpe import round_trip
+from fleetward.llm.embedding_dedup import embedding_dedup
 from fleetward.llm.exact_dedup import exact_dedup
+from fleetward.llm.packing import pack_documents
+from fleetward.llm.simhash import simhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +32,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_simhash_dedup")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return simhash_dedup(table(spark, d, "documents"))
+
+
+@query("op2_embedding_dedup")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return embedding_dedup(table(spark, d, "embeddings"))
+
+
+@query("op3_best_fit_packing")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query("op4_byte_bpe")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query(
     "op8_exact_dedup",
     r"""
