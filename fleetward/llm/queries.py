@@ -12,6 +12,7 @@ from fleetward.llm.embedding_dedup import embedding_dedup
 from fleetward.llm.exact_dedup import exact_dedup
 from fleetward.llm.packing import pack_documents
 from fleetward.llm.simhash import simhash_dedup
+from fleetward.llm.toxicity import learn, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,6 +53,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op7_toxicity")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return score_toxicity(docs, learn(docs, table(spark, d, "labels")))
+
+
 @query(
     "op8_exact_dedup",
     r"""
