@@ -12,6 +12,7 @@ from fleetward.llm.embedding_dedup import embedding_dedup
 from fleetward.llm.exact_dedup import exact_dedup
 from fleetward.llm.packing import pack_documents
 from fleetward.llm.simhash import simhash_dedup
+from fleetward.llm.suffix_dedup import remove_repeats
 from fleetward.llm.toxicity import learn, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +74,8 @@ FROM d JOIN g USING (text_sha256)
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup(table(spark, d, "documents"))
+
+
+@query("op10_suffix_dedup")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return remove_repeats(table(spark, d, "documents"))
