@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetward.llm.bpe import round_trip
 from fleetward.llm.embedding_dedup import embedding_dedup
 from fleetward.llm.exact_dedup import exact_dedup
+from fleetward.llm.language import identify
+from fleetward.llm.language import learn as learn_languages
 from fleetward.llm.packing import pack_documents
 from fleetward.llm.simhash import simhash_dedup
 from fleetward.llm.suffix_dedup import remove_repeats
@@ -54,6 +56,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return round_trip(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@query("op5_language_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return identify(docs, learn_languages(docs))
+
+
 @query("op7_toxicity")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
