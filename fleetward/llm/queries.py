@@ -13,6 +13,8 @@ from fleetward.llm.exact_dedup import exact_dedup
 from fleetward.llm.language import identify
 from fleetward.llm.language import learn as learn_languages
 from fleetward.llm.packing import pack_documents
+from fleetward.llm.pii import find_personal_data
+from fleetward.llm.pii import learn as learn_labelers
 from fleetward.llm.simhash import simhash_dedup
 from fleetward.llm.suffix_dedup import remove_repeats
 from fleetward.llm.toxicity import learn, score_toxicity
@@ -84,6 +86,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup(table(spark, d, "documents"))
 
 
+@query("op9_pii")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return find_personal_data(docs, learn_labelers(docs))
+
+
 @query("op10_suffix_dedup")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return remove_repeats(table(spark, d, "documents"))
