@@ -18,6 +18,7 @@ from fleetward.llm.pii import learn as learn_labelers
 from fleetward.llm.simhash import simhash_dedup
 from fleetward.llm.suffix_dedup import remove_repeats
 from fleetward.llm.toxicity import learn, score_toxicity
+from fleetward.llm.url_filter import filter_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +65,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return identify(docs, learn_languages(docs))
 
 
+@query("op6_url_filter")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return filter_urls(table(spark, d, "pages"))
+
+
 @query("op7_toxicity")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
