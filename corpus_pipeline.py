@@ -1,21 +1,51 @@
-"""The corpus pipeline: documents through the operators, one Parquet table per stage."""
+"""The corpus pipeline: documents through five operators, one Parquet table per stage."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetward.llm import pii, toxicity
 from fleetward.llm.exact_dedup import drop_copies
+from fleetward.llm.packing import pack_documents
+from fleetward.llm.simhash import drop_near_copies
 from fleetward.plans.staging import materialize
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go; it learns from labelled ones that are not held out."""
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
     return drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    return drop_near_copies(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked in every text; n_chars follows."""
+    return pii.mask_personal_data(docs, pii.learn(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", clean),
+    ("exact dedup", exact_copies),
+    ("SimHash near-dedup", near_copies),
+    ("PII", personal_data),
+    ("best-fit packing", packed),
+]
 
-#: Some stages learn or run tokenizers, which SQL cannot express.
+#: Compression, tokenizers and bin completion are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -60,5 +60,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    lost = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(lost["__lost"]), "left_anti")
+    lost = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
+    same = docs[id_col].eqNullSafe(lost["__id"]) & (text_digest(docs[text_col]) == lost["__digest"])
+    return docs.join(lost.distinct(), same, "left_anti")

@@ -206,7 +206,10 @@ def simhash_dedup(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the document with the smallest id; rows without an id stay."""
-    found = simhash_dedup(docs, id_col, text_col, words, radius)
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: of each group the document with the smallest id.
+
+    A document that repeats with unlike texts goes only if none of them is its group's first; rows without an id stay.
+    """
+    found = simhash_dedup(docs, id_col, text_col, words, radius).where(F.col(id_col).isNotNull())
+    lost = found.groupBy(F.col(id_col).alias("__lost")).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("first"))
+    return docs.join(lost.where("not first"), docs[id_col] == F.col("__lost"), "left_anti")
