@@ -1,0 +1,317 @@
+"""Calls of script text, by one walk with a stack of open brackets.
+
+Comments, strings, template texts and regex literals are skipped; what stands in a template's interpolation is code.
+A call is a dotted name, type arguments perhaps, and an argument list that no block follows.  Nesting has no limit, and
+every character is looked at a bounded number of times.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+from typing import NamedTuple
+
+_NAME = r"(?:[^\W\d]|\$)[\w$]*"
+_CHAIN = re.compile(rf"(?:\??\.\s*)?{_NAME}(?:\s*[?!]?\.\s*#?{_NAME})*")
+# What may matter next: quotes, comments, brackets, commas, and names in front of an argument list.
+_NEXT = re.compile(rf"[\"'`/(){{}}\[\],]|(?<![\w$])(?:\??\.\s*)?{_NAME}(?:\s*[?!]?\.\s*#?{_NAME})*(?=\s*[(<])")
+_STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'', re.DOTALL)
+_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/", re.DOTALL)
+_REGEX = re.compile(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_TEMPLATE_TEXT = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*", re.DOTALL)
+_SPACE = re.compile(r"\s*")
+_NOT_CALLED = re.compile(rf"(?:new\s+|function\s*\*?\s*)\Z")
+# Words that may stand in front of a bracket without being called.
+_KEYWORDS = frozenset(
+    "if for while switch catch return typeof await void delete throw case do else yield in of function async import super".split()
+)
+_FIRST_WORD = re.compile(r"[\w$]*")
+_BEFORE_REGEX = frozenset("=(,:!&|?;{}[\n")
+# Characters that do not occur between the angles of type arguments.
+_NOT_A_TYPE = frozenset(";+*/%^~!@#`")
+_CLOSES = {")": "(", "]": "[", "}": "{"}
+
+
+class Call(NamedTuple):
+    at: int
+    callee: str
+    begin: int  # of the first argument
+    end: int
+
+
+def callee_of(raw: str) -> str:
+    """Dotted name; the part after the last non-null assertion, without ``this`` and private names."""
+    name = re.sub(r"\s", "", raw)
+    name = re.sub(r"^.*!\.", "", name)
+    name = re.sub(r"^\.|^this\.|#[\w$]+\.?", "", name)
+    return "" if name == "this" else name
+
+
+def _after_types(text: str, at: int) -> int:
+    """End of balanced type arguments that begin at ``at``, or -1."""
+    angles, brackets = 0, 0
+    for i in range(at, min(len(text), at + 4000)):
+        c = text[i]
+        if c == "<":
+            angles += 1
+        elif c == ">":
+            if text[i - 1] == "=":
+                continue
+            angles -= 1
+            if not angles:
+                return i + 1 if not brackets else -1
+        elif c in "([{":
+            brackets += 1
+        elif c in ")]}":
+            brackets -= 1
+            if brackets < 0:
+                return -1
+        elif not brackets and (c in _NOT_A_TYPE or text[i : i + 2] in ("&&", "||")):
+            return -1
+    return -1
+
+
+def _is_regex(text: str, at: int) -> bool:
+    i = at - 1
+    while i >= 0 and at - i <= 5 and text[i] in " \t\r":
+        i -= 1
+    return i >= 0 and text[i] in _BEFORE_REGEX
+
+
+def walk(text: str) -> list[Call]:
+    """All plain calls in the order of their names; optional calls (``a?.b()``) are left out."""
+    plain: set[int] = set()  # backticks that close nothing
+    budget = 8 * len(text) + 1000
+    while True:
+        found, open_at, walked = _walk(text, plain)
+        budget -= walked
+        if open_at < 0 or budget < 0:
+            return found
+        plain.add(open_at)
+
+
+def _walk(text: str, plain: set[int]) -> tuple[list[Call], int, int]:
+    """(calls, the outermost template that is not closed or -1, characters walked)."""
+    calls: list[list] = []  # [name's position, callee, first argument's begin, its end or -1, counted]
+    stack: list[tuple[str, int]] = []  # bracket and the call it opens, or its position
+    last_tick = text.rfind("`")
+    i, n = 0, len(text)
+
+    def template(at: int) -> int:
+        """Walk on in a template's text: behind it, or behind the next ``${``."""
+        at = _TEMPLATE_TEXT.match(text, at).end()
+        if at >= n:
+            return n
+        if text[at] == "`":
+            stack.pop()
+            return at + 1
+        if text[at] == "\\":
+            return n
+        stack.append(("${", at))
+        return at + 2
+
+    def end_argument(call: int, at: int) -> None:
+        if call >= 0 and calls[call][3] < 0:
+            calls[call][3] = at
+
+    while i < n:
+        m = _NEXT.search(text, i)
+        if not m:
+            break
+        at, c = m.start(), text[m.start()]
+        i = at + 1
+        if c in "\"'":
+            s = _STRING.match(text, at)
+            i = s.end() if s else i
+        elif c == "/":
+            s = _COMMENT.match(text, at) or (_REGEX.match(text, at) if _is_regex(text, at) else None)
+            i = s.end() if s else i
+        elif c == "`":
+            if at != last_tick and at not in plain:
+                stack.append(("`", at))
+                i = template(i)
+        elif c in "([{":
+            stack.append((c, -1))
+        elif c == ",":
+            if stack and stack[-1][0] == "(":
+                end_argument(stack[-1][1], at)
+        elif c in ")]}":
+            depth = len(stack) - 1
+            while depth >= 0 and stack[depth][0] not in (_CLOSES[c], "${", "`"):
+                depth -= 1
+            if depth < 0 or stack[depth][0] == "`":
+                continue
+            if stack[depth][0] == "${":
+                if c == "}":
+                    del stack[depth:]
+                    i = template(i)
+                continue
+            for _, call in stack[depth + 1 :]:
+                end_argument(call if _ == "(" else -1, at)
+            kind, call = stack[depth]
+            del stack[depth:]
+            if kind == "(" and call >= 0:
+                end_argument(call, at)
+                brace = _SPACE.match(text, i).end()
+                calls[call][4] = text[brace : brace + 1] != "{"
+        else:
+            chain = m.group()
+            i = m.end()
+            begin = _SPACE.match(text, i).end()
+            if text[begin] == "<":
+                types = _after_types(text, begin)
+                begin = _SPACE.match(text, types).end() if types > 0 else -1
+                if begin < 0 or begin >= n or text[begin] != "(":
+                    continue
+            called = "?" not in chain and _FIRST_WORD.match(chain).group() not in _KEYWORDS
+            if called and not _NOT_CALLED.search(text, max(0, at - 40), at):
+                stack.append(("(", len(calls)))
+                calls.append([at, callee_of(chain), begin + 1, -1, True])
+            else:
+                stack.append(("(", -1))
+            i = begin + 1
+    for kind, call in stack:
+        if kind == "(":
+            end_argument(call, n)
+    unclosed = next((at for kind, at in stack if kind == "`"), -1)
+    return [Call(*call[:4]) for call in calls if call[4]], unclosed, n
+
+
+# ---- taint of a first argument ----------------------------------------------
+
+_LITERAL_PART = re.compile(r"""(?<!\\)\$\{(?!\s*(?:"[^"]*"|'[^']*'|[\d.]+)\s*\})""")
+_OPERAND = re.compile(
+    r"(?:^|[-+*/%(])\s*(?!(?:await|new|typeof|void|delete|true|false|null|function|async|class|this)(?![\w$.]))(?:[^\W\d]|\$)"
+)
+_ARITHMETIC = re.compile(r'[\w$.\s+\-*/%"`!]*\Z')
+_LAST_PLUS = re.compile(r'[\w$"`)]\s*\+\s*[^+\s][^+\-]*\Z')
+
+
+def _template_end(text: str, at: int) -> int:
+    """End of the template that begins at ``at``, or -1."""
+    depth = ["`"]
+    i = at + 1
+    while i < len(text) and depth:
+        if depth[-1] == "`":
+            i = _TEMPLATE_TEXT.match(text, i).end()
+            if text[i : i + 1] == "`":
+                depth.pop()
+                i += 1
+            elif text[i : i + 2] == "${":
+                depth.append("}")
+                i += 2
+            else:
+                return -1
+        elif text[i] in "\"'" and (s := _STRING.match(text, i)):
+            i = s.end()
+        else:
+            if text[i] == "`":
+                depth.append("`")
+            elif text[i] == "{":
+                depth.append("}")
+            elif text[i] == "}":
+                depth.pop()
+            i += 1
+    return -1 if depth else i
+
+
+def _flat(arg: str) -> str:
+    """Strings as "", templates as ``, call and index brackets gone."""
+    out: list[str] = []
+    marks: list[int] = []  # where an open bracket stands in ``out``; -1: it is dropped
+    i = 0
+    while i < len(arg):
+        c = arg[i]
+        if c in "\"'" and (s := _STRING.match(arg, i)):
+            out.append('""')
+            i = s.end()
+            continue
+        if c == "`" and (end := _template_end(arg, i)) > 0:
+            out.append("``")
+            i = end
+            continue
+        if c in "([":
+            before = "".join(out[-1:]).rstrip() or "".join(out).rstrip()[-1:]
+            marks.append(len(out) if before[-1:] and re.match(r"[\w$)\]]", before[-1]) else -1)
+            out.append(c)
+        elif c in ")]" and marks:
+            mark = marks.pop()
+            if mark >= 0:
+                del out[mark:]
+            else:
+                out.append(c)
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
+def tainted(arg: str) -> bool:
+    """A template with a non-literal interpolation, or a ``+`` with a variable part."""
+    if arg[:1] == "`" and _template_end(arg, 0) == len(arg):
+        return bool(_LITERAL_PART.search(arg))
+    if "+" not in arg:
+        return False
+    flat = _flat(arg)
+    top, depth = [], 0
+    for c in flat:  # a group in brackets counts as a literal
+        if c == "(":
+            depth += 1
+            if depth == 1:
+                top.append('""')
+        elif c == ")":
+            depth -= 1
+        elif not depth:
+            top.append(c)
+    text = "".join(top)
+    return not depth and bool(_ARITHMETIC.match(text) and _LAST_PLUS.search(text) and _OPERAND.search(flat))
+
+
+def glued(arg: str) -> bool:
+    """A string plus something, or a template with an interpolation."""
+    s = _STRING.match(arg)
+    if s and arg[s.end() :].lstrip()[:1] == "+":
+        return True
+    return interpolated(arg)
+
+
+def interpolated(arg: str) -> bool:
+    return arg[:1] == "`" and "${" in arg and _template_end(arg, 0) == len(arg)
+
+
+def judged(text: str | None, keep: str | None = None) -> list[dict] | None:
+    """Rows of the calls whose callee ``keep`` finds, with their lines and verdicts on their first arguments.
+
+    ``keep`` is a pattern each of whose alternatives holds a word, so a text without any of its words has no such call.
+    """
+    if text is None:
+        return None
+    if keep is not None:
+        low = text.lower()
+        if not any(word in low for word in _words(keep)):
+            return []
+    wanted = re.compile(keep, re.IGNORECASE) if keep is not None else None
+    rows: list[dict] = []
+    at, line = 0, 1
+    for call in walk(text):
+        line += text.count("\n", at, call.at)
+        at = call.at
+        if wanted is None or wanted.search(call.callee):
+            arg = text[call.begin : call.end].strip()
+            rows.append(
+                {
+                    "ord": len(rows) + 1,
+                    "line": line,
+                    "callee": call.callee,
+                    "arg0": arg,
+                    "tainted": tainted(arg),
+                    "glued": glued(arg),
+                    "interpolated": interpolated(arg),
+                }
+            )
+    return rows
+
+
+@lru_cache(maxsize=8)
+def _words(pattern: str) -> tuple[str, ...]:
+    return tuple({w.lower() for w in re.findall(r"[A-Za-z]{3,}", pattern)})

@@ -1,123 +1,54 @@
-"""Call expressions of script files, without a parser.
-
-One pattern walks the text token by token.  Comments, string, template and regex
-literals, ``new X(...)`` and function headers are consumed as tokens of their own,
-so what looks like a call inside them is not reported; a call is a dotted name in
-front of an argument list, and its first argument is captured in a lookahead so
-that calls nested in the arguments are still seen.  Every loop is possessive, hence
-linear and free of recursion.
-
-Limits: calls inside template interpolations and brackets nested deeper than three
-levels in a first argument are not seen, the receiver of a call on a call result is
-not part of the callee, and such a call carries the line of its own name.
-"""
+"""Call expressions of script files as columns."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from .text import _CLOSE, _EXTRA, _OPEN, cut, newlines
-
-CALL_TYPE = "array<struct<ord:int,line:int,callee:string,arg0:string>>"
-
-_STRING = r""""(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'"""
-_PLAIN_TEMPLATE = r"`(?:[^`\\]|\\[\s\S])*+`"
-_TEMPLATE = (
-    r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`\"']|" + _STRING + "|" + _PLAIN_TEMPLATE + r"|\{[^{}]*+\})*+\})*+`"
-    + "|" + _PLAIN_TEMPLATE
+from pyspark.sql import types as T
+
+from . import call_walk
+
+_ROW = T.StructType(
+    [
+        T.StructField("ord", T.IntegerType()),
+        T.StructField("line", T.IntegerType()),
+        T.StructField("callee", T.StringType()),
+        T.StructField("arg0", T.StringType()),
+        T.StructField("tainted", T.BooleanType()),
+        T.StructField("glued", T.BooleanType()),
+        T.StructField("interpolated", T.BooleanType()),
+    ]
 )
-_LITERAL = f"{_STRING}|{_TEMPLATE}"
+CALL_TYPE = "array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in _ROW.fields) + ">>"
 
 
-def _bracketed(depth: int) -> str:
-    inner = rf"[^()\[\]{{}}\"'`]++|{_LITERAL}"
-    if depth:
-        inner += rf"|[(\[{{]{_bracketed(depth - 1)}[)\]}}]"
-    return f"(?:{inner})*+"
+@lru_cache(maxsize=8)
+def _calls_udf(names: str | None):
+    def calls(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: call_walk.judged(t, names))
 
+    return F.pandas_udf(calls, T.ArrayType(_ROW))
 
-_ARGUMENT = rf"(?:[^()\[\]{{}},\"'`]++|{_LITERAL}|[(\[{{]{_bracketed(2)}[)\]}}])*+"
-_WORD = r"\w$\p{L}\p{N}"
-_NAME = rf"[\p{{L}}_$][{_WORD}]*+"
-# Words that may stand in front of a bracket without being called.
-_KEYWORDS = (
-    "if", "for", "while", "switch", "catch", "return", "typeof", "await", "void", "delete", "throw", "case", "do",
-    "else", "yield", "in", "of", "function", "async", "import", "super",
-)
-_REGEX_LITERAL = r"/(?![/*])(?<=[=(,:!&|?;{}\[\n]\s{0,4}/)(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
-
-# The first character decides cheaply which kind of token is tried.
-TOKENS = (
-    r"(?=[/\"'`])(?://[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/"
-    + f"|{_LITERAL}|{_REGEX_LITERAL})"
-    + rf"|(?=[\p{{L}}_$.?])(?<![{_WORD}])"
-    + rf"(?:(?:new\s+|function\s*+\*?\s*+){_NAME}(?:\s*+\.\s*+{_NAME})*+"
-    + rf"|((?:\??\.\s*+)?{_NAME}(?:\s*+[?!]?\.\s*+#?{_NAME})*+)"
-    + rf"(?=\s*+(?:<[^<>()]*+>)?\((?!{_bracketed(2)}\)\s*+\{{)\s*+({_ARGUMENT})))"
-)
 
-_NOT_CALLED = rf"^(?:{'|'.join(_KEYWORDS)})(?![{_WORD}])"
+@lru_cache(maxsize=1)
+def _taint_udf():
+    def taint(args: pd.Series) -> pd.Series:
+        return args.map(lambda a: None if a is None else call_walk.tainted(a))
 
-
-def _callee(raw: Column) -> Column:
-    """Dotted name; the part after the last non-null assertion, without ``this``."""
-    name = F.regexp_replace(raw, r"\s", "")
-    name = F.regexp_replace(name, r"^.*!\.", "")
-    name = F.regexp_replace(name, rf"^\.|^this\.|#[{_WORD}]+\.?", "")
-    return F.regexp_replace(name, r"^this\z", "")
+    return F.pandas_udf(taint, T.BooleanType())
 
 
 def call_sites(text: Column, names: str | None = None) -> Column:
-    """Calls in order as ``array<struct<ord, line, callee, arg0>>``.
+    """Calls in order as ``array<struct<ord, line, callee, arg0, tainted, glued, interpolated>>``.
 
-    ``names`` keeps only callees matching a Java pattern.  Optional calls
-    (``a?.b()``) are not plain calls and are left out.
+    ``names`` keeps only callees that a pattern finds, whatever their case.
     """
-    segments = cut(text, TOKENS, f"{_OPEN}$1{_CLOSE}$2{_EXTRA}$0")
-
-    def step(acc: Column, seg: Column) -> Column:
-        raw = F.substring_index(seg, _CLOSE, 1)
-        arg = F.substring_index(F.substring_index(seg, _EXTRA, 1), _CLOSE, -1)
-        callee = _callee(raw)
-        keep = seg.contains(_EXTRA) & (raw != "") & ~raw.contains("?") & ~raw.rlike(_NOT_CALLED)
-        if names is not None:
-            keep = keep & callee.rlike(names)
-        row = F.struct(
-            (F.size(acc["out"]) + 1).alias("ord"),
-            (acc["n"] + 1).alias("line"),
-            callee.alias("callee"),
-            F.regexp_replace(arg, r"\s+\z", "").alias("arg0"),
-        )
-        return F.struct(
-            (acc["n"] + newlines(F.substring_index(seg, _EXTRA, -1))).alias("n"),
-            F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
-        )
-
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast(CALL_TYPE).alias("out"))
-    return F.aggregate(segments, zero, step, lambda acc: acc["out"])
-
-
-_INTERPOLATION = r"""(?<!\\)\$\{(?!\s*(?:"[^"]*"|'[^']*'|[\d.]+)\s*\})"""
-_OPERAND = (
-    r"(?:^|[-+*/%(])\s*(?!(?:await|new|typeof|void|delete|true|false|null|function|async|class|this)(?![\w$.]))[\p{L}_$]"
-)
+    return _calls_udf(names)(text)
 
 
 def tainted_arg(arg: Column) -> Column:
     """A template with a non-literal interpolation, or a ``+`` with a variable part."""
-    template = arg.rlike(rf"^(?:{_TEMPLATE})\z") & arg.rlike(_INTERPOLATION)
-    # Strings shrink to "", templates to ``, call and index brackets vanish.
-    flat = F.regexp_replace(arg, _STRING, '""')
-    flat = F.regexp_replace(flat, _TEMPLATE, "``")
-    for _ in range(3):
-        flat = F.regexp_replace(flat, r"(?<=[\w$)\]])\s*(?:\([^()\[\]{}]*\)|\[[^()\[\]{}]*\])", "")
-    top = flat
-    for _ in range(2):
-        top = F.regexp_replace(top, r"\([^()]*\)", '""')
-    concat = (
-        top.rlike(rf'^[{_WORD}.\s+\-*/%"`!]*\z')
-        & top.rlike(rf'[{_WORD}"`)]\s*\+\s*[^+\s][^+\-]*\z')
-        & flat.rlike(_OPERAND)
-    )
-    return template | (arg.contains("+") & concat)
+    return _taint_udf()(arg)

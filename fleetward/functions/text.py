@@ -68,6 +68,16 @@ def cut(text: Column, java_pattern: str, replacement: str) -> Column:
     return F.split(F.regexp_replace(clean, java_pattern, replacement), _OPEN)
 
 
+# Segments walked at a time: arrays grow by copying, so a long one is put together from blocks.
+_BLOCK = 2048
+
+
+def _blocks(items: Column) -> Column:
+    """An array as an array of arrays of at most ``_BLOCK`` items."""
+    last = F.floor((F.size(items) - 1) / _BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+
 def line_matches(text: Column, java_pattern: str, extra: str = "") -> Column:
     """All matches in order as ``array<struct<ord, line, match, extra>>``.
 
@@ -75,7 +85,6 @@ def line_matches(text: Column, java_pattern: str, extra: str = "") -> Column:
     span lines carry the line they start on.  ``extra`` names a capture (``$1``)
     taken in the context of the whole text, for lookaround captures.
     """
-    segments = cut(text, java_pattern, f"{_OPEN}$0{_CLOSE}{extra}{_EXTRA}")
 
     def step(acc: Column, seg: Column) -> Column:
         match = F.substring_index(seg, _CLOSE, 1)
@@ -93,8 +102,25 @@ def line_matches(text: Column, java_pattern: str, extra: str = "") -> Column:
             F.when(is_match, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"),
         )
 
-    zero = F.struct(F.lit(0).alias("n"), F.array().cast(MATCH_TYPE).alias("out"))
-    return F.aggregate(segments, zero, step, lambda acc: acc["out"])
+    def in_block(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("n"), F.array().cast(MATCH_TYPE).alias("out")), step)
+
+    def join(acc: Column, block: Column) -> Column:
+        moved = F.transform(
+            block["out"],
+            lambda m: F.struct(
+                (m["ord"] + acc["k"]).alias("ord"), (m["line"] + acc["n"]).alias("line"), m["match"].alias("match"), m["extra"].alias("extra")
+            ),
+        )
+        return F.struct(
+            (acc["n"] + block["n"]).alias("n"),
+            (acc["k"] + F.size(block["out"])).alias("k"),
+            F.concat(acc["out"], F.array(moved)).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.array().cast(f"array<{MATCH_TYPE}>").alias("out"))
+    segments = cut(text, java_pattern, f"{_OPEN}$0{_CLOSE}{extra}{_EXTRA}")
+    return let(segments, lambda s: F.aggregate(F.transform(_blocks(s), in_block), start, join, lambda acc: F.flatten(acc["out"])))
 
 
 def scan(text: Column, pattern: Pattern) -> Column:
@@ -114,14 +140,24 @@ def redact(value: Column) -> Column:
 
 
 def shannon_entropy(value: Column) -> Column:
-    """Bits per character; 0 for the empty string."""
+    """Bits per character; 0 for the empty string.  One pass over the sorted characters."""
 
     def bits(v: Column) -> Column:
         n = F.length(v).cast("double")
-        shares = F.transform(
-            F.array_sort(F.array_distinct(F.split(v, ""))),
-            lambda ch: (F.length(v) - F.length(F.replace(v, ch, F.lit("")))).cast("double") / n,
-        )
-        return F.aggregate(shares, F.lit(0.0), lambda acc, p: F.when(p > 0, acc - p * F.log2(p)).otherwise(acc))
+
+        def added(acc: Column) -> Column:
+            share = acc["run"].cast("double") / n
+            return F.when(acc["run"] > 0, acc["bits"] - share * F.log2(share)).otherwise(acc["bits"])
+
+        def step(acc: Column, char: Column) -> Column:
+            same = acc["char"] == char
+            return F.struct(
+                char.alias("char"),
+                F.when(same, acc["run"] + 1).otherwise(F.lit(1)).alias("run"),
+                F.when(same, acc["bits"]).otherwise(added(acc)).alias("bits"),
+            )
+
+        start = F.struct(F.lit("").alias("char"), F.lit(0).alias("run"), F.lit(0.0).alias("bits"))
+        return F.aggregate(F.array_sort(F.split(v, "")), start, step, added)
 
     return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(let(value, bits))

@@ -8,16 +8,16 @@ its path test pushed in front of the text tests (``run_rule``).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import patterns as p
-from ..catalog.texts import PATTERN_PACK
+from ..catalog.texts import PATTERN_PACK, Variant
 from ..functions import paths
-from ..functions.calls import _STRING, _TEMPLATE, call_sites, tainted_arg
+from ..functions.calls import CALL_TYPE, call_sites
 from ..functions.secrets import classify_secret
 from ..functions.text import MATCH_TYPE, all_of, group, has_any, let, line_matches, matches, redact, scan, shannon_entropy
 from ..schema import NO_HITS, explode_hits, hit
@@ -25,15 +25,7 @@ from ..schema import NO_HITS, explode_hits, hit
 ENTROPY_FLOOR = 3.5  # bits per character of a generic credential (inferred)
 
 # The calls any rule asks for.
-CALL_NAMES = "|".join(f"(?:{q.java})" for q in (p.RAW_UNSAFE_CALL, p.QUERY_CALL, p.SHELL_CALL, p.REQUEST_CALL))
-_CALL_WORDS = (
-    "queryrawunsafe", "executerawunsafe", "query", "execute", "raw", "exec", "spawn", "fetch", "request", "got",
-    "axios", "http",
-)
-_CALL_ENDS = (
-    "rawunsafe(", "query(", "execute(", "raw(", "exec(", "spawn(", "sync(", "execfile(", "fetch(", "request(", "got(",
-    "get(", "post(", "axios",
-)
+CALL_NAMES = "|".join(f"(?:{q.source})" for q in (p.RAW_UNSAFE_CALL, p.QUERY_CALL, p.SHELL_CALL, p.REQUEST_CALL))
 
 
 @dataclass(frozen=True)
@@ -53,6 +45,7 @@ class FileRule:
     applies: Callable[[Column], Column]
     hits: Callable[[FileColumns], Column]
     needs_calls: bool = False
+    variants: Mapping[str, Variant] = field(default_factory=dict)  # of findings that the catalogue does not know
 
 
 def no_hits() -> Column:
@@ -155,7 +148,7 @@ def _rls_permissive(f: FileColumns) -> Column:
     return _each(
         _scan(f.lower.contains("using"), f.content, p.PERMISSIVE_POLICY),
         lambda m: hit(
-            "rls_permissive", evidence=m["match"], file=f.path, line=m["line"], ord=m["ord"]
+            "rls_permissive", evidence=m["match"], file=f.path, line=m["line"], ord=(0, m["ord"])
         ),
     )
 
@@ -171,7 +164,7 @@ def _definer_view(f: FileColumns) -> Column:
         bare,
         lambda m: hit(
             "definer_view", evidence=m["match"], file=f.path, line=m["line"],
-            ord=m["ord"] + 100_000,
+            ord=(1, m["ord"]),
         ),
     )
 
@@ -194,23 +187,9 @@ def _missing_auth(f: FileColumns) -> Column:
 # ---- injection --------------------------------------------------------------
 
 
-def judged_calls(content: Column, lower: Column) -> Column:
-    """The call sites some rule asks for, with the taint of their first argument."""
-    sites = F.transform(
-        call_sites(content, CALL_NAMES),
-        lambda c: F.struct(
-            c["ord"].alias("ord"),
-            c["line"].alias("line"),
-            c["callee"].alias("callee"),
-            c["arg0"].alias("arg0"),
-            tainted_arg(c["arg0"]).alias("tainted"),
-        ),
-    )
-    none = F.array().cast("array<struct<ord:int,line:int,callee:string,arg0:string,tainted:boolean>>")
-    # Names stand right in front of the bracket once blanks and type arguments are gone.
-    tight = F.regexp_replace(lower, r"(?:\s++|\s*+<[^<>()]*+>\s*+)\(", "(")
-    named = let(tight, lambda t: has_any(t, *_CALL_ENDS))
-    return F.when(all_of(content.contains("("), has_any(lower, *_CALL_WORDS), named), sites).otherwise(none)
+def judged_calls(content: Column) -> Column:
+    """The call sites some rule asks for, with verdicts on their first arguments."""
+    return F.coalesce(call_sites(F.when(content.contains("("), content), CALL_NAMES), F.array().cast(CALL_TYPE))
 
 
 def _sql_injection(f: FileColumns) -> Column:
@@ -219,7 +198,7 @@ def _sql_injection(f: FileColumns) -> Column:
 
         def as_hit(variant: str) -> Column:
             return hit(
-                variant, evidence=evidence, file=f.path, line=c["line"], ord=c["ord"]
+                variant, evidence=evidence, file=f.path, line=c["line"], ord=(0, c["ord"])
             )
 
         return F.when(matches(c["callee"], p.RAW_UNSAFE_CALL), as_hit("sql_raw_unsafe")).when(
@@ -231,7 +210,7 @@ def _sql_injection(f: FileColumns) -> Column:
         _scan(has_any(f.lower, "select", "insert", "update", "delete", "drop"), f.content, p.SQL_CONCAT),
         lambda m: hit(
             "sql_concat", evidence=F.concat(F.substring(m["match"], 1, 44), F.lit("…")),
-            file=f.path, line=m["line"], ord=m["ord"] + 100_000,
+            file=f.path, line=m["line"], ord=(1, m["ord"]),
         ),
     )
     return F.concat(calls, texts)
@@ -377,7 +356,7 @@ def _ai_rules_file(f: FileColumns) -> Column:
             scan(f.content, pattern),
             lambda m: hit(
                 "ai_rules_file", evidence=F.substring(m["match"], 1, 80), file=f.path,
-                line=m["line"], params=[F.lit(label)], ord=m["ord"] + i * 100_000,
+                line=m["line"], params=[F.lit(label)], ord=(i, m["ord"]),
             ),
         )
 
@@ -390,7 +369,7 @@ def _insecure_defaults(f: FileColumns) -> Column:
             _scan(f.content.contains(word), f.content, pattern),
             lambda m: hit(
                 variant, evidence=m["match"], file=f.path, line=m["line"],
-                ord=m["ord"] + i * 100_000,
+                ord=(i, m["ord"]),
             ),
         )
 
@@ -427,25 +406,19 @@ def _pack_hit(index: int, f: FileColumns, line: Column, ord: Column) -> Column:
     )
 
 
-def _glued(arg: Column) -> Column:
-    """``"..." + x`` or a template with an interpolation."""
-    return arg.rlike(rf"^(?:{_STRING})\s*\+") | (arg.rlike(rf"^(?:{_TEMPLATE})\z") & arg.contains("${"))
-
-
 def _pack_sql(f: FileColumns) -> Column:
     found = F.filter(
         f.calls,
         lambda c: c["callee"].rlike(r"\.\$(?:queryRawUnsafe|executeRawUnsafe)\z")
-        | (c["callee"].rlike(r"\.query\z") & _glued(c["arg0"])),
+        | (c["callee"].rlike(r"\.query\z") & c["glued"]),
     )
     return _each(found, lambda c: _pack_hit(0, f, c["line"], c["ord"]))
 
 
 def _pack_exec(f: FileColumns) -> Column:
-    template = lambda a: a.rlike(rf"^(?:{_TEMPLATE})\z") & a.contains("${")
     found = F.filter(
         f.calls,
-        lambda c: ((c["callee"] == "exec") & _glued(c["arg0"])) | ((c["callee"] == "execSync") & template(c["arg0"])),
+        lambda c: ((c["callee"] == "exec") & c["glued"]) | ((c["callee"] == "execSync") & c["interpolated"]),
     )
     return _each(found, lambda c: _pack_hit(1, f, c["line"], c["ord"]))
 
@@ -503,8 +476,7 @@ def file_columns(files: DataFrame, with_calls: bool) -> DataFrame:
     """``files`` plus the derived columns the rules share."""
     out = files.withColumn("lower", F.lower("content"))
     if with_calls:
-        gate = paths.is_source(F.col("path"))
-        out = out.withColumn("calls", F.when(gate, judged_calls(F.col("content"), F.col("lower"))))
+        out = out.withColumn("calls", judged_calls(F.when(paths.is_source(F.col("path")), F.col("content"))))
     else:
         out = out.withColumn("calls", F.lit(None).cast("string"))
     return out
