@@ -19,8 +19,6 @@ CONFIDENCE_PERCENT = {"high": 100, "medium": 50, "low": 15}
 GRADE_FLOORS = (("A", 90), ("B", 75), ("C", 60), ("D", 40))
 
 MAX_FILE_BYTES = 2_000_000
-MAX_BUNDLES = 15
-MAX_MAP_PROBES = 10
 
 # Directories skipped wherever they occur in a path, and skipped file names.
 IGNORED_DIRS = (

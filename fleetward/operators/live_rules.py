@@ -44,7 +44,7 @@ def missing_headers(homepages: DataFrame) -> DataFrame:
         _header_grid(homepages).where(~F.col("present")),
         hit(
             "header_missing", rule_id=F.concat(F.lit("WEB_CONFIG_MISSING_"), _header_id()),
-            severity=F.col("sev"), url=F.col("url"), params=[F.col("label")], ord=F.col("ord"),
+            severity=F.col("sev"), url=F.col("url"), params=[F.col("label")], ord=(0, F.col("ord")),
         ),
     )
 
@@ -67,7 +67,7 @@ def weak_cookies(homepages: DataFrame) -> DataFrame:
         split_cookies(homepages).where(weak),
         hit(
             "weak_cookie", evidence=F.split_part("cookie", F.lit("="), F.lit(1)),
-            url=F.col("url"), ord=F.col("ord") + 100,
+            url=F.col("url"), ord=(1, F.col("ord")),
         ),
     )
 
@@ -76,25 +76,45 @@ def _answers(plan: DataFrame, answers: DataFrame, how: str = "inner") -> DataFra
     return plan.join(answers, ["target_id", "url"], how)
 
 
-def _ok(probe_responses: DataFrame, kind: Column) -> DataFrame:
-    """Answers of one kind of probe, picked by URL before their bodies are looked at."""
-    return probe_responses.where(kind & (F.col("status") == 200))
+def judge_probes(probe_responses: DataFrame) -> DataFrame:
+    """What the bodies of answered probes look like: one pass, after which no body is needed.
 
-
-def _dotfile_answers(probe_responses: DataFrame) -> DataFrame:
-    """What dotfile bodies look like.  Bodies are judged here, so no join carries them."""
-    body, kind = F.col("body"), F.lit(False)
+    ``kind`` is told by the URL; the verdicts of other kinds are NULL.  Judged answers are returned as they are.
+    """
+    if "kind" in probe_responses.columns:
+        return probe_responses
+    url, body, dotfile = F.col("url"), F.col("body"), F.lit(False)
     for path in lists.PROBED_DOTFILES:
-        kind = kind | F.endswith(F.col("url"), F.lit(path))
-    return _ok(probe_responses, kind).select(
-        "target_id",
-        "url",
-        matches(body, p.DOTFILE_ENV).alias("env_shaped"),
-        matches(body, p.DOTFILE_GIT).alias("git_shaped"),
-        (matches(body, p.DOTFILE_VALUE) & (classify_secret(body) == "dangerous")).alias("secret"),
+        dotfile = dotfile | F.endswith(url, F.lit(path))
+    kind = F.when(dotfile, "dotfile").when(F.endswith(url, F.lit(".map")), "map").when(url.contains("/rest/v1/"), "table")
+
+    def of(name: str, verdict: Column) -> Column:
+        return F.when(F.col("kind") == name, verdict)
+
+    return (
+        probe_responses.where(F.col("status") == 200)
+        .withColumn("kind", kind)
+        .where(F.col("kind").isNotNull())
+        .select(
+            "target_id",
+            "url",
+            "kind",
+            of("dotfile", matches(body, p.DOTFILE_ENV)).alias("env_shaped"),
+            of("dotfile", matches(body, p.DOTFILE_GIT)).alias("git_shaped"),
+            of("dotfile", matches(body, p.DOTFILE_VALUE) & (classify_secret(body) == "dangerous")).alias("secret"),
+            F.coalesce(
+                of("map", matches(body, p.MAP_VERSION) & matches(body, p.MAP_SOURCES)),
+                of("table", F.size(F.from_json("body", "array<string>")) > 0),
+                F.lit(False),
+            ).alias("leaked"),
+        )
     )
 
 
+def _dotfile_answers(probe_responses: DataFrame) -> DataFrame:
+    return judge_probes(probe_responses).where("kind = 'dotfile'").select("target_id", "url", "env_shaped", "git_shaped", "secret")
+
+
 def exposed_files(homepages: DataFrame, probe_responses: DataFrame) -> DataFrame:
     path, secret = F.col("file_path"), F.col("secret")
     is_env = F.startswith(path, F.lit("/.env"))
@@ -112,20 +132,15 @@ def exposed_files(homepages: DataFrame, probe_responses: DataFrame) -> DataFrame
     )
 
 
-def _map_answers(probe_responses: DataFrame) -> DataFrame:
-    """URLs that served a real source map; maps are large, so only the verdict is joined."""
-    body = F.col("body")
-    return (
-        _ok(probe_responses, F.endswith(F.col("url"), F.lit(".map")))
-        .where(matches(body, p.MAP_VERSION) & matches(body, p.MAP_SOURCES))
-        .select("target_id", "url", F.lit(True).alias("leaked"))
-    )
+def _leaks(probe_responses: DataFrame, kind: str) -> DataFrame:
+    """URLs that served a real source map, or rows of a table."""
+    return judge_probes(probe_responses).where((F.col("kind") == kind) & F.col("leaked")).select("target_id", "url", "leaked")
 
 
 def source_maps(bundles: DataFrame, probe_responses: DataFrame) -> DataFrame:
     """At most one finding per target: the first leaking bundle in page order."""
     first = (
-        _answers(map_candidates(bundles), _map_answers(probe_responses))
+        _answers(map_candidates(bundles), _leaks(probe_responses, "map"))
         .groupBy("target_id")
         .agg(F.min(F.struct("ord", "url")).alias("m"))
         .select("target_id", "m.url")
@@ -142,23 +157,14 @@ def _unleaked(plan: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def pass_source_maps(bundles: DataFrame, probe_responses: DataFrame) -> DataFrame:
-    clean = _unleaked(map_candidates(bundles), _map_answers(probe_responses))
+    clean = _unleaked(map_candidates(bundles), _leaks(probe_responses, "map"))
     return clean.select("target_id", *_pass(lists.PASS_SOURCEMAPS))
 
 
-def _table_answers(probe_responses: DataFrame) -> DataFrame:
-    """URLs that returned rows.  Row content stays out of everything after this."""
-    return (
-        _ok(probe_responses, F.col("url").contains("/rest/v1/"))
-        .where(F.size(F.from_json("body", "array<string>")) > 0)
-        .select("target_id", "url", F.lit(True).alias("leaked"))
-    )
-
-
 def open_tables(discovered: DataFrame, probe_responses: DataFrame) -> DataFrame:
     """Probed tables that returned rows to the public key."""
     return one_hit(
-        _answers(plan_tables(discovered), _table_answers(probe_responses)),
+        _answers(plan_tables(discovered), _leaks(probe_responses, "table")),
         hit(
             "rls_open_live",
             evidence=F.concat(
@@ -172,7 +178,7 @@ def open_tables(discovered: DataFrame, probe_responses: DataFrame) -> DataFrame:
 
 def pass_closed_tables(discovered: DataFrame, probe_responses: DataFrame) -> DataFrame:
     """Probed targets without a leak, also when every probe went unanswered."""
-    clean = _unleaked(plan_tables(discovered), _table_answers(probe_responses))
+    clean = _unleaked(plan_tables(discovered), _leaks(probe_responses, "table"))
     return clean.select("target_id", *_pass(lists.PASS_RLS_PROBE))
 
 

@@ -232,11 +232,11 @@ def rls_disabled(facts: DataFrame, deps: DataFrame) -> DataFrame:
     )
     one = hit(
         "rls_disabled_one", file=first["file"], line=first["line"],
-        params=[first["table_name"]], ord=F.lit(200_000),
+        params=[first["table_name"]], ord=(2, 0),
     )
     many = hit(
         "rls_disabled_many", evidence=F.array_join(t, ", "), file=first["file"],
-        line=first["line"], params=[first["table_name"], F.size("tables").cast("string"), quoted], ord=F.lit(200_000),
+        line=first["line"], params=[first["table_name"], F.size("tables").cast("string"), quoted], ord=(2, 0),
     )
     return one_hit(grouped, F.when(F.size("tables") == 1, one).otherwise(many))
 
@@ -328,41 +328,33 @@ def advisory_floor(spark) -> DataFrame:
     )
 
 
+#: Parts that a package's declarations are dealt over, each with its own copy of the package's advisories.
+SALT = 16
+
+
 def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """``deps`` inside any range of an advisory, once per (dependency, advisory).
 
-    Many targets declare the same package and version, so distinct declarations are
-    matched first: a package that a third of all targets use costs one row per
-    declared version, not per target.  Catalyst broadcasts the advisory side when
-    it is small and hashes on the package otherwise.
+    Dependencies are read once and their versions parsed in place.  The ranges of an advisory are gathered into one row
+    first, so that no grouping follows the join, and a package that a third of all targets declare is dealt over
+    ``SALT`` keys.  Catalyst broadcasts the advisories where they are small.
     """
-    declared = (
-        deps.select("pkg", "declared")
-        .distinct()
-        .withColumn("v", parse_version(F.col("declared")))
-        .where(F.col("v").isNotNull())
+    parsed = deps.withColumn("v", parse_version(F.col("declared"))).where(F.col("v").isNotNull())
+    ranges = F.struct(
+        parse_version(F.col("lo")).alias("lo_v"), parse_version(F.col("fixed")).alias("fixed_v"), "severity", "summary"
     )
-    ranges = advisories.select(
-        F.col("pkg").alias("a_pkg"),
+    gathered = advisories.groupBy("pkg", "id").agg(F.collect_list(ranges).alias("ranges"))
+    gathered = gathered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = parsed.withColumn("salt", F.pmod(F.xxhash64("target_id", "manifest_path"), F.lit(SALT)).cast("int"))
+    inside = F.filter("ranges", lambda r: in_range(F.col("v"), r["lo_v"], r["fixed_v"]))
+    matched = salted.join(gathered, ["pkg", "salt"]).select(*deps.columns, "v", "id", F.inline(F.array(F.struct(inside.alias("hits")))))
+    return matched.where(F.size("hits") > 0).select(
+        *deps.columns,
         "id",
-        "severity",
-        "summary",
-        parse_version(F.col("lo")).alias("lo_v"),
-        parse_version(F.col("fixed")).alias("fixed_v"),
-    )
-    affected = (
-        declared.join(
-            ranges,
-            (F.col("pkg") == F.col("a_pkg")) & in_range(F.col("v"), F.col("lo_v"), F.col("fixed_v")),
-        )
-        .groupBy("pkg", "declared", "id")
-        .agg(
-            F.min("severity").alias("severity"),
-            F.min("summary").alias("summary"),
-            F.min(format_version(F.col("v"))).alias("version"),
-        )
+        F.array_min(F.transform("hits", lambda r: r["severity"])).alias("severity"),
+        F.array_min(F.transform("hits", lambda r: r["summary"])).alias("summary"),
+        format_version(F.col("v")).alias("version"),
     )
-    return deps.join(affected, ["pkg", "declared"])
 
 
 def known_cve(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:

@@ -28,7 +28,6 @@ HEADER_RULES = (
     (8, "SET-COOKIE", "theme=dark", 1, 5, 3, 3),
     (9, "Set-Cookie", "sid=1; secure", 1, 5, 1, 4),
 )
-UNREACHABLE_MOD = 17
 MAX_SCRIPTS = 20
 
 
@@ -48,15 +47,17 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(i, s.path, s.root, s.pure, s.text) for i, s in enumerate(SNIPPETS)],
         "kind bigint, spath string, root boolean, pure boolean, snippet string",
     )
-    docs = table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").repartition("doc_id").select(
         "doc_id",
-        "text",
+        F.coalesce("text", F.lit("")).alias("text"),
         (F.col("doc_id") % TARGETS).alias("target_id"),
         _div(F.col("doc_id"), TARGETS).alias("cycle"),
     )
     docs = docs.withColumn("kind", (F.col("cycle") + F.col("target_id") * 5) % k)
     body = F.replace("snippet", F.lit("@V@"), (F.col("doc_id") % 6 + 10).cast("string"))
-    whole = F.when(F.col("doc_id") % 11 == 0, F.substring(body, 1, 40)).otherwise(body)
+    # JSON files carry the prose in a string; where its length allows, the file breaks off after it
+    described = F.concat(F.lit('{"description": "'), F.regexp_replace("text", r'["\\\x00-\x1f]', " "))
+    whole = F.when(F.length("text") % 11 == 0, described).otherwise(F.concat(described, F.lit('", '), F.substring(body, F.lit(2), F.length(body))))
     prefixed = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit("/"), F.col("spath"))
     return docs.join(F.broadcast(snippets), "kind").select(
         "target_id",
@@ -138,7 +139,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.regexp_extract(F.regexp_replace(url, "[?#].*", ""), "^(https?://[^/]+/(?:[^/]*/)*)", 1)
     return (
         table(spark, sf_dir, "pages")
-        .where(F.col("page_id") % UNREACHABLE_MOD != UNREACHABLE_MOD - 1)
+        .where(F.coalesce("html", F.lit("")) != "")  # a page without a body was not reached
         .select(
             "page_id",
             (F.col("page_id") + URL_TARGET_BASE).alias("target_id"),
@@ -316,7 +317,7 @@ def engine_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     secret = (
         F.when(k % 5 == 0, F.lit(LIVE_KEY))
         .when(k % 5 == 1, F.lit(PUBLIC_KEY))
-        .when(k % 5 == 2, _json("f33e61083db5dbdf", k))
+        .when(k % 5 == 2, _json("0badc0de0badc0de", k))
         .when(k % 5 == 3, F.lit(EXAMPLE_CONN))
         .otherwise("")
     )
@@ -324,7 +325,7 @@ def engine_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     gitleaks = _json(
         '[{"RuleID": "generic-api-key", "Description": "Generic key", "Secret": "', secret, '", "Match": "key = x", "File": "',
         F.col("root"), "/src/f", k % 40, '.ts", "StartLine": ', F.col("p_size"), commit,
-        '}, {"RuleID": "db-url", "Match": "f33e61083db5dbdf', k, '", "File": "', F.col("root"), "/docs/n", k % 7, '.md", "StartLine": 3}]',
+        '}, {"RuleID": "db-url", "Match": "0badc0de0badc0de', k, '", "File": "', F.col("root"), "/docs/n", k % 7, '.md", "StartLine": 3}]',
     )
     severity = F.element_at(F.array(*[F.lit(x) for x in ("ERROR", "WARNING", "INFO", "OTHER")]), (k % 4 + 1).cast("int"))
     semgrep = _json(

@@ -23,9 +23,10 @@ def size_cap(content: Column) -> Column:
 _LISTED = "target_id bigint, root string, path string, n_bytes bigint"
 _READ = "target_id bigint, path string, n_bytes bigint, content string"
 _BATCH_BYTES = 16 * 1024 * 1024
+_BATCH_NAMES = 10_000
 
 
-def _tasks(limit: int, batch_bytes: int):
+def _tasks(batch_names: int, batch_bytes: int):
     """(list, read) functions for tasks.
 
     They are closures over plain values, so workers need Arrow and pandas but not
@@ -42,25 +43,29 @@ def _tasks(limit: int, batch_bytes: int):
         for batch in batches:
             for target_id, root in zip(batch["target_id"], batch["root"]):
                 store, base = opened(root)
-                rows = [
-                    (target_id, root, info.path[len(base) :].lstrip("/"), info.size)
-                    for info in store.get_file_info(fs.FileSelector(base, recursive=True))
-                    if info.type == fs.FileType.File
-                ]
-                yield pd.DataFrame(rows, columns=["target_id", "root", "path", "n_bytes"])
+                columns = ["target_id", "root", "path", "n_bytes"]
+                folders, rows = [base], []
+                while folders:  # one folder at a time, so that no tree is held whole
+                    for info in store.get_file_info(fs.FileSelector(folders.pop())):
+                        if info.type == fs.FileType.Directory:
+                            folders.append(info.path)
+                        elif info.type == fs.FileType.File:
+                            rows.append((target_id, root, info.path[len(base) :].lstrip("/"), info.size))
+                        if len(rows) >= batch_names:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                yield pd.DataFrame(rows, columns=columns)
 
     def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Text below the size limit, a bounded number of bytes at a time.
+        # A bounded number of bytes at a time.
         columns = ["target_id", "path", "n_bytes", "content"]
         rows, held = [], 0
         for batch in batches:
             for r in batch.itertuples(index=False):
-                text = None
-                if r.n_bytes < limit:
-                    store, base = opened(r.root)
-                    with store.open_input_stream(f"{base}/{r.path}") as stream:
-                        text = stream.read().decode("utf-8", errors="replace")
-                    held += r.n_bytes
+                store, base = opened(r.root)
+                with store.open_input_stream(f"{base}/{r.path}") as stream:
+                    text = stream.read().decode("utf-8", errors="replace")
+                held += r.n_bytes
                 rows.append((r.target_id, r.path, r.n_bytes, text))
                 if held >= batch_bytes:
                     yield pd.DataFrame(rows, columns=columns)
@@ -77,11 +82,10 @@ def read_repositories(roots: DataFrame, partitions: int | None = None) -> DataFr
     Spark's own file sources leave out names that start with a dot, which matter
     here, so tasks list and read through Arrow.  Listing moves names only; the names
     are then spread over all tasks, so one huge repository is read by many of them.
-    Oversized files keep their row without text, and bytes that are not valid UTF-8
-    become replacement characters.
+    Bytes that are not valid UTF-8 become replacement characters.
     """
     n = partitions or int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    list_files, read_files = _tasks(lists.MAX_FILE_BYTES, _BATCH_BYTES)
+    list_files, read_files = _tasks(_BATCH_NAMES, _BATCH_BYTES)
     listed = roots.select("target_id", "root").mapInPandas(list_files, _LISTED)
     return listed.repartition(n, "target_id", "path").mapInPandas(read_files, _READ)
 
@@ -98,31 +102,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scannable(files: DataFrame) -> DataFrame:
-    """Drop ignored paths and blank out oversized content."""
-    return files.where(~paths.is_ignored(F.col("path"))).withColumn("content", size_cap(F.col("content")))
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Stored size of all tables a plan reads; NULL where the session cannot tell."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    except AttributeError:  # a remote session has no local plan
-        return None
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def spread_small(files: DataFrame) -> DataFrame:
-    """Spread a small input over all cores; a large one is left as it was read.
-
-    A few small files would keep most cores idle during the text tests.  From the
-    point where every core gets a full split of its own, nothing is moved.
-    """
-    size = input_bytes(files)
-    if size is None:
-        return files
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    small = size < cores * 128 * 1024 * 1024
-    return files.repartition(cores * 2, "target_id", "path") if small else files
+    """Drop ignored paths; files of every size are scanned."""
+    return files.where(~paths.is_ignored(F.col("path")))
 
 
 def with_kinds(files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import lists, patterns as p
+from ..catalog import patterns as p
 from ..functions.text import group, matches
 from ..functions.urls import resolve_url
 
@@ -40,14 +40,14 @@ def split_cookies(responses: DataFrame) -> DataFrame:
 
 
 def script_urls(base: Column, html: Column) -> Column:
-    """Absolute URLs of external scripts in page order, distinct, at most 15."""
+    """Absolute URLs of all external scripts in page order, distinct."""
     live = F.regexp_replace(html, r"<!--(?:[^-]|-(?!->))*+-->", "")
     tags = F.regexp_extract_all(live, F.lit(p.SCRIPT_SRC.java), F.lit(0))
     refs = F.transform(
         tags, lambda t: F.concat(*[group(t, p.SCRIPT_SRC, i) for i in (1, 2, 3)])
     )
     refs = F.transform(F.filter(refs, lambda r: r != ""), lambda r: F.replace(r, F.lit("&amp;"), F.lit("&")))
-    return F.slice(F.array_distinct(F.transform(refs, lambda r: resolve_url(base, r))), 1, lists.MAX_BUNDLES)
+    return F.array_distinct(F.transform(refs, lambda r: resolve_url(base, r)))
 
 
 def extract_scripts(homepages: DataFrame) -> DataFrame:
@@ -117,18 +117,8 @@ def haystack_values(homepages: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def map_candidates(bundles: DataFrame) -> DataFrame:
-    """Up to ten source-map URLs per target in bundle order.
-
-    Bundles are at most 15 per target, so the list per target is bounded.
-    """
+    """The source-map URL of every bundle that is not a map itself; no shuffle."""
     url = F.col("script_url")
-    ranked = (
-        bundles.where(matches(url, p.BUNDLE_URL) & ~matches(url, p.MAP_URL))
-        .groupBy("target_id")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "script_url"))), 1, lists.MAX_MAP_PROBES).alias("c"))
-    )
-    return ranked.select("target_id", F.inline("c")).select(
-        "target_id",
-        "ord",
-        F.concat(F.regexp_replace("script_url", r"\?.*\z", ""), F.lit(".map")).alias("url"),
+    return bundles.where(matches(url, p.BUNDLE_URL) & ~matches(url, p.MAP_URL)).select(
+        "target_id", "ord", F.concat(F.regexp_replace("script_url", r"\?.*\z", ""), F.lit(".map")).alias("url")
     )

@@ -84,7 +84,7 @@ def reports(spark):
     ]}]}
     leaks = [
         {"RuleID": "stripe", "Description": "Stripe", "Secret": LIVE_KEY, "File": "/r/a.ts", "StartLine": 3, "Commit": "abc"},
-        {"RuleID": "pk", "Secret": PUBLIC_KEY, "File": "/r/b.ts"}, {"Match": EXAMPLE_CONN, "File": "/r/c.ts"}, {"RuleID": "x", "Match": "0123456789abcdef", "File": "/r/d.ts"},
+        {"RuleID": "pk", "Secret": PUBLIC_KEY, "File": "/r/b.ts"}, {"Match": EXAMPLE_CONN, "File": "/r/c.ts"}, {"RuleID": "x", "Match": "0badc0de0badc0de", "File": "/r/d.ts"},
         {"RuleID": "empty", "Secret": ""},
     ]
     semgrep = {"results": [{"check_id": "a.b.my-rule", "path": "/r/x.js", "start": {"line": 4}, "extra": {"severity": "WARNING", "message": "m" * 200}}, {}]}
@@ -126,5 +126,31 @@ def test_engine_flags(reports):
 def test_bundle_secrets(spark):
     df = spark.createDataFrame([(1, "https://a.test/x.js", f'k="{LIVE_KEY}"'), (2, "https://a.test/y.js", f'k="{PUBLIC_KEY}"')], "target_id bigint, script_url string, content string")
     out = publish(live_rules.bundle_secrets(df)).collect()
+    assert [r.mode for r in out] == ["blackbox"]
     assert [(r.target_id, r.rule_id, r.url, r.line) for r in out] == [(1, "SECRETS_STRIPE_SECRET_KEY", "https://a.test/x.js", 1)]
     assert LIVE_KEY not in str(out)
+
+
+@pytest.mark.parametrize("ids", [["200000000000", "abc-1", "9", "10"], [str(2**63 + 5), "", "x"]])
+def test_report_ids_of_any_kind_keep_their_order(spark, ids):
+    from fleetward.operators import pipeline
+
+    osv = json.dumps({"results": [{"packages": [{"package": {"name": "p", "version": "1"}, "vulnerabilities": [vuln("G-1", "LOW", "2.0.0", "p")]}]}]})
+    rows = [(i, n, "osv-scanner", "/r", osv) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "report_id string, target_id bigint, engine string, root string, raw string")
+    out = ingest.ingest_reports(df).select("target_id", "emit_src", "emit_ord").collect()
+    assert len(out) == len(ids)
+    by_src = [ids[r.target_id] for r in sorted(out, key=lambda r: (r.emit_src, r.emit_ord))]
+    numbers = sorted((i for i in ids if i.isdigit()), key=int)
+    assert by_src == numbers + sorted(i for i in ids if not i.isdigit())
+    assert pipeline.dedupe(pipeline.suppress(ingest.ingest_reports(df))).count() == len(ids)
+
+
+def test_no_script_or_map_is_left_out(spark):
+    from fleetward.sources import http
+
+    html = "".join(f'<script src="/s{i}.js"></script>' for i in range(40))
+    pages = spark.createDataFrame([(1, "https://a.test/", html)], "target_id bigint, url string, body string")
+    scripts = http.extract_scripts(pages)
+    assert scripts.count() == 40
+    assert http.map_candidates(scripts).count() == 40

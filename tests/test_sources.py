@@ -8,7 +8,7 @@ from fleetward.schema import publish
 from fleetward.sources import files as fs, http
 
 
-def test_directory_reader_keeps_dotfiles_and_never_decodes_oversized_files(spark, tmp_path):
+def test_directory_reader_keeps_dotfiles_and_large_files(spark, tmp_path):
     (tmp_path / "lib").mkdir()
     (tmp_path / "lib" / "a.ts").write_text("exec(`a ${b}`)\n")
     (tmp_path / ".env").write_text("NAME=1\n")
@@ -18,7 +18,7 @@ def test_directory_reader_keeps_dotfiles_and_never_decodes_oversized_files(spark
     (tmp_path / "node_modules" / "x.js").write_text("exec(`a ${b}`)")
     rows = {r.path: r for r in fs.read_directory(spark, str(tmp_path), 7).collect()}
     assert set(rows) == {"lib/a.ts", ".env", "bad.ts", "big.ts", "node_modules/x.js"}
-    assert rows["big.ts"].content is None and rows["big.ts"].n_bytes == 2_000_000
+    assert rows["big.ts"].content == "x" * 2_000_000 and rows["big.ts"].n_bytes == 2_000_000
     assert rows["bad.ts"].content == "ok �� end" and rows[".env"].target_id == 7
     found = file_rules.run_rule(fs.scannable(fs.read_directory(spark, str(tmp_path))), file_rules.RULES_BY_KEY["rule_command_injection"])
     assert [r.file for r in publish(found).collect()] == ["lib/a.ts"]
@@ -92,6 +92,28 @@ def test_advisory_ranges_equal_brute_force(spark):
     assert sorted((r.target_id, r.id) for r in out) == sorted(want)
 
 
+def test_a_hot_declaration_is_dealt_over_many_keys(spark):
+    n = 20_000
+    deps = spark.range(n).select(
+        F.col("id").alias("target_id"), F.lit("package.json").alias("manifest_path"),
+        F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("p"), "id")).alias("pkg"), F.lit("1.2.0").alias("declared"),
+    )
+    rows = [("hot", "A", "high", "1.0.0", "2.0.0", "s"), ("hot", "A", "low", "1.1.0", "3.0.0", "r"), ("hot", "B", "low", "2.0.0", "3.0.0", "s"), ("p2", "C", "low", "0.1.0", "9.0.0", "s")]
+    adv = spark.createDataFrame(rows, "pkg string, id string, severity string, lo string, fixed string, summary string")
+    out = target_rules.match_advisories(deps, adv)
+    got = out.groupBy("pkg", "id").agg(F.count("*").alias("n"), F.min("severity").alias("s"), F.min("summary").alias("t")).collect()
+    hot = sum(1 for i in range(n) if i % 3 < 2)
+    assert {(r.pkg, r.id, r.n, r.s, r.t) for r in got} == {("hot", "A", hot, "high", "r"), ("p2", "C", 1, "low", "s")}
+    salts = deps.where("pkg = 'hot'").select(F.pmod(F.xxhash64("target_id", "manifest_path"), F.lit(target_rules.SALT)).alias("k")).groupBy("k").count().collect()
+    assert len(salts) == target_rules.SALT and max(r["count"] for r in salts) < 2 * hot / target_rules.SALT
+    stored = _stored_deps(spark, deps)
+    assert target_rules.match_advisories(stored, adv)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def _stored_deps(spark, deps):
+    return materialize(deps, "deps")
+
+
 def test_discovered_configuration(spark):
     url, pub, token = "https://" + "a" * 20 + ".supabase.co", "sb_publishable_" + "K" * 12, ".".join(["eyJ" + "a" * 20, "b" * 20, "c" * 20])
     rows = [(1, -1, f'x "{url}" {token}'), (1, 0, f"{pub}"), (2, -1, f"only {token}"), (3, 0, f"{url} {token}"), (3, -1, "none"), (4, -1, 'apiKey: "AIza' + "z" * 35 + '"')]
