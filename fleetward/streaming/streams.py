@@ -1,23 +1,27 @@
 """Finding streams with Structured Streaming.
 
 Streams read files, so a run over stored events uses ``availableNow`` and ends by
-itself.  State lives in the checkpoint in the shared folder, and sinks are file
-tables or idempotent batch writes, so a lost executor or a restart repeats a batch
-instead of losing or doubling rows.
+itself.  Results live in tables in the shared folder that every batch is merged
+into; merging the same rows again changes nothing, so a lost executor or a restart
+repeats a batch instead of losing or doubling rows.  Nothing is forgotten after a
+time: what a stream has seen is in its table, not in a window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.identity import dedupe_key, finding_id
 from ..operators.pipeline import contextualize, downrank_public_cors, drop_static_rate_limits, identity
-from ..plans.staging import staging_path
+from ..plans.staging import materialize, staging_path
 from ..sources import corpus
 
-KEEP_FOR = "40 days"  # how long a repeated finding is recognised
+#: Parts of a merged table; a batch rewrites only those its keys fall into.
+BUCKETS = 32
 
 
 def open_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -28,23 +32,50 @@ def open_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
     return reader.parquet(folder)
 
 
-def emit_findings(stream: DataFrame) -> DataFrame:
-    """Each finding once, after suppression and path context, as it arrives."""
-    shaped = stream.withColumn("evidence", F.lit(None).cast("string"))
-    settled = contextualize(downrank_public_cors(drop_static_rate_limits(shaped)))
-    return (
-        settled.withColumn("ident", identity())
-        .withWatermark("ts", KEEP_FOR)
-        .dropDuplicatesWithinWatermark(["target_id", "ident"])
-    )
+# ---- merged tables ----------------------------------------------------------
 
 
-def progress(stream: DataFrame, total: int) -> DataFrame:
-    """Cumulative ``done`` of ``total`` per scan, with the latest phase."""
-    return stream.groupBy("target_id").agg(
-        F.least(F.count("*"), F.lit(total)).cast("int").alias("done"),
-        F.lit(total).alias("total"),
-        F.max_by("category", F.struct("ts", "event_id")).alias("phase"),
+def one_per_key(rows: DataFrame, keys: list[str], latest: bool) -> DataFrame:
+    """The first or the latest row per key by (ts, event_id); combined map-side."""
+    rest = [c for c in rows.columns if c not in (*keys, "ts", "event_id")]
+    pick = F.max if latest else F.min
+    return rows.groupBy(*keys).agg(pick(F.struct("ts", "event_id", *rest)).alias("r")).select(*keys, "r.*")
+
+
+class MergedTable:
+    """A table with one row per key, in hash buckets that batches overwrite."""
+
+    def __init__(self, spark: SparkSession, path: str, rows: DataFrame, keys: list[str], latest: bool) -> None:
+        self.spark, self.path, self.keys, self.latest = spark, path, keys, latest
+        empty = spark.createDataFrame([], rows.schema).withColumn("bucket", F.lit(0))
+        self.schema = empty.schema
+        empty.write.partitionBy("bucket").mode("ignore").parquet(path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def merge(self, batch: DataFrame, batch_id: int = 0) -> None:
+        """Keep one row per key of the batch and of the buckets it touches.
+
+        The choice depends on the rows alone, so a repeated batch leaves the table as it is.
+        """
+        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int"))
+        new = materialize(one_per_key(new, self.keys, self.latest).select(*self.schema.names), "batch")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+        if not touched:
+            return
+        old = self.read().where(F.col("bucket").isin(touched))
+        both = one_per_key(old.unionByName(new), self.keys, self.latest).select(*self.schema.names)
+        merged = materialize(both, "merged")
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+
+def merge_stream(stream: DataFrame, table: MergedTable, checkpoint: str) -> StreamingQuery:
+    return (
+        stream.writeStream.foreachBatch(table.merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
@@ -60,21 +91,27 @@ def write_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest state per finding id.
+# ---- what streams carry -----------------------------------------------------
 
-    Every batch writes its newest row per id into a folder of its own; a repeated
-    batch overwrites that folder.  ``read_upserted`` merges the batches.
-    """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        newest(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+def emit_findings(rows: DataFrame) -> DataFrame:
+    """Findings after suppression and path context, with the identity that equal ones share."""
+    shaped = rows.withColumn("evidence", F.lit(None).cast("string"))
+    settled = contextualize(downrank_public_cors(drop_static_rate_limits(shaped)))
+    return settled.withColumn("ident", identity())
 
-    return (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+
+def completions(rows: DataFrame) -> DataFrame:
+    """One completion event per finding event: its rule is done in the scan of its target and day."""
+    return rows.select("target_id", F.dayofyear("ts").alias("scan"), "rule_id", "category", "ts", "event_id")
+
+
+def progress(done: DataFrame, total: int) -> DataFrame:
+    """Rules completed of ``total`` per scan, and the category of the last one; ``done`` has one row per scan and rule."""
+    return done.groupBy("target_id", "scan").agg(
+        F.count("*").cast("int").alias("done"),
+        F.lit(total).alias("total"),
+        F.max_by("category", F.struct("ts", "event_id")).alias("phase"),
     )
 
 
@@ -83,40 +120,9 @@ def with_finding_id(df: DataFrame) -> DataFrame:
     return df.withColumn("finding_id", finding_id(key))
 
 
-def newest(rows: DataFrame) -> DataFrame:
-    """Latest row per (target, finding id); combined map-side."""
-    rest = [c for c in rows.columns if c not in ("target_id", "finding_id", "ts", "event_id", "batch")]
-    return (
-        rows.groupBy("target_id", "finding_id")
-        .agg(F.max(F.struct("ts", "event_id", *rest)).alias("r"))
-        .select("target_id", "finding_id", "r.*")
-    )
-
-
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return newest(spark.read.option("basePath", path).parquet(f"{path}/batch=*"))
-
-
-def hold_dependencies(native: DataFrame, engine: DataFrame, delay: str) -> DataFrame:
-    """Native dependency findings that no engine finding of the package supersedes.
-
-    A left outer stream join keeps each native row until the watermark passes, then
-    lets it out if no engine row of the same (target, package) came.
-    """
-    n = native.withWatermark("ts", delay).alias("n")
-    e = engine.select(
-        F.col("target_id").alias("e_target"), F.col("pkg").alias("e_pkg"), F.col("ts").alias("e_ts")
-    ).withWatermark("e_ts", delay)
-    span = F.expr(f"interval {delay}")
-    joined = n.join(
-        e,
-        (F.col("n.target_id") == F.col("e_target"))
-        & (F.col("n.pkg") == F.col("e_pkg"))
-        & (F.col("e_ts") >= F.col("n.ts") - span)
-        & (F.col("e_ts") <= F.col("n.ts") + span),
-        "left_outer",
-    )
-    return joined.where(F.col("e_target").isNull()).select("n.*")
+def release_dependencies(native: DataFrame, engine: DataFrame) -> DataFrame:
+    """Held native findings that no engine finding of the same target and package supersedes, at the end of a scan."""
+    return native.join(engine.select("target_id", "pkg").distinct(), ["target_id", "pkg"], "left_anti")
 
 
 # ---- runs over the stored events --------------------------------------------
@@ -127,88 +133,71 @@ def _raw_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | None
     return open_stream(spark, sf_dir, "events.parquet", schema, files_per_trigger)
 
 
-def _run(query: StreamingQuery) -> None:
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
+def _run(*queries: StreamingQuery) -> None:
+    for query in queries:
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+
+
+def _merged(spark: SparkSession, sf_dir: str, name: str, make: Callable[[DataFrame], DataFrame], keys: list[str], latest: bool) -> DataFrame:
+    """The events, made into rows, merged batch by batch."""
+    out = staging_path(spark, name)
+    stream = make(corpus.finding_events(_raw_events(spark, sf_dir)))
+    table = MergedTable(spark, f"{out}/table", stream, keys, latest)
+    _run(merge_stream(stream, table, f"{out}/checkpoint"))
+    return table.read()
 
 
 def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = staging_path(spark, "stream-findings")
-    found = emit_findings(corpus.finding_events(_raw_events(spark, sf_dir)))
-    # Columns the identity determines, whichever copy arrived first.
-    cols = ["target_id", "ident", "file", "line"]
-    _run(write_append(found.select(*cols), f"{out}/table", f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/table")
+    """Every finding once, as it first arrived."""
+    columns = ["target_id", "ident", "event_id", "rule_id", "category", "severity", "confidence", "file", "line", "url", "source"]
+    return _merged(spark, sf_dir, "stream-findings", emit_findings, ["target_id", "ident"], False).select(*columns)
 
 
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = staging_path(spark, "stream-progress")
-    state = progress(corpus.finding_events(_raw_events(spark, sf_dir)), 24)
+    done = _merged(spark, sf_dir, "stream-progress", completions, ["target_id", "scan", "rule_id"], False)
+    return progress(done, len(corpus.EVENT_RULES))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
 
-    _run(
-        state.writeStream.foreachBatch(write)
-        .outputMode("update")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    batches = spark.read.option("basePath", f"{out}/table").parquet(f"{out}/table/batch=*")
-    return (
-        batches.groupBy("target_id")
-        .agg(F.max(F.struct("done", "batch", "total", "phase")).alias("p"))
-        .select("target_id", "p.done", "p.total", "p.phase")
-    )
+def run_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = _merged(spark, sf_dir, "stream-upsert", with_finding_id, ["target_id", "finding_id"], True)
+    return latest.select("target_id", "finding_id", "event_id", "rule_id", "severity", "file", "line")
 
 
-def run_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = staging_path(spark, "stream-upsert")
-    rows = with_finding_id(corpus.finding_events(_raw_events(spark, sf_dir)))
-    _run(upsert(rows, f"{out}/table", f"{out}/checkpoint"))
-    return read_upserted(spark, f"{out}/table").select(
-        "target_id", "finding_id", "event_id", "rule_id", "severity", "file", "line"
-    )
+#: Files of the paced source.
+SLICES = 4
 
 
 def run_backpressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per batch when a trigger may take one file: the sink sets the pace."""
+    """Events with the number of rows of their batch, when a trigger may take one file: the sink sets the pace."""
     out = staging_path(spark, "stream-paced")
     parts = f"{out}/source"
-    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4, "event_id").write.parquet(parts)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.withColumn("slice", F.col("event_id") % SLICES).repartition("slice").write.partitionBy("slice").parquet(parts)
     schema = spark.read.parquet(parts).schema
     rows = corpus.finding_events(open_stream(spark, parts, "*.parquet", schema, files_per_trigger=1))
-    _run(write_append(rows.select("event_id", "target_id", "rule_id"), f"{out}/table", f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/table")
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        staged = materialize(batch.select("event_id", "target_id", "rule_id"), "paced")
+        counted = staged.withColumn("batch_rows", F.lit(staged.count()).cast("long"))
+        counted.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
 
-def run_deps_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as native findings, errors as engine findings of a package.
+    _run(
+        rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+    return spark.read.option("basePath", f"{out}/table").parquet(f"{out}/table").drop("batch")
 
-    A sentinel far behind the data on both sides moves the watermark, so that the
-    last unmatched rows come out as well.
-    """
+
+def run_deps_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as native findings, errors as engine findings of a package; released when the scan has ended."""
     out = staging_path(spark, "stream-deps")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    keyed = events.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("target_id"), "event_type",
-        F.concat(F.lit("pkg"), (F.col("event_id") % 11).cast("string")).alias("pkg"),
+    keyed = _raw_events(spark, sf_dir).select(
+        "event_id", F.col("user_id").alias("target_id"), "event_type", F.concat(F.lit("pkg"), (F.col("event_id") % 11).cast("string")).alias("pkg")
     )
-    end = keyed.agg(F.max("ts").alias("ts"))
-    streams = []
-    for kind, name in (("purchase", "native"), ("error", "engine")):
-        rows = keyed.where(F.col("event_type") == kind).drop("event_type")
-        folder = f"{out}/{name}"
-        sentinel = end.select(
-            F.lit(-1).cast("bigint").alias("event_id"),
-            (F.col("ts") + F.expr("interval 200 days")).alias("ts"),
-            F.lit(-1 if name == "native" else -2).cast("bigint").alias("target_id"),
-            F.lit("").alias("pkg"),
-        )
-        rows.unionByName(sentinel).write.parquet(folder)
-        streams.append(open_stream(spark, folder, "*.parquet", rows.schema))
-    held = hold_dependencies(streams[0], streams[1], KEEP_FOR)
-    _run(write_append(held.select("event_id", "target_id", "pkg"), f"{out}/table", f"{out}/checkpoint"))
-    return spark.read.parquet(f"{out}/table").where(F.col("target_id") >= 0)
+    held = write_append(keyed.where("event_type = 'purchase'"), f"{out}/native", f"{out}/native-checkpoint")
+    seen = write_append(keyed.where("event_type = 'error'"), f"{out}/engine", f"{out}/engine-checkpoint")
+    _run(held, seen)
+    schema = keyed.schema
+    tables = [spark.read.schema(schema).parquet(f"{out}/{name}") for name in ("native", "engine")]
+    return release_dependencies(*tables).select("event_id", "target_id", "pkg")
