@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
 from .catalog.lists import RULES
 from .functions.identity import dedupe_key, finding_id
 from .operators.grading import grade
 from .operators.pipeline import suppress
+from .operators.report import Reports
 from .functions.secrets import classify_secret
 from .functions.paths import target_type as detect_target_type
 from .plans.fleet import Fleet, FleetResult, reports, scan_fleet, summary
@@ -23,8 +22,8 @@ def run_scan(fleet: Fleet, skip_engines: bool = False) -> FleetResult:
     return scan_fleet(fleet, skip_engines)
 
 
-def scan(fleet: Fleet, started_at: str, finished_at: str, skip_engines: bool = False) -> DataFrame:
-    """One report row per target (several for very large reports)."""
+def scan(fleet: Fleet, started_at: str, finished_at: str, skip_engines: bool = False) -> Reports:
+    """One summary row per target, and all findings in report order."""
     return reports(fleet, scan_fleet(fleet, skip_engines), started_at, finished_at)
 
 

@@ -62,12 +62,10 @@ def engine_flags(reports: DataFrame) -> DataFrame:
     )
 
 
-# Later reports of a target come after earlier ones.
-def _order(*more: Column) -> Column:
-    out = F.col("report_id").cast("bigint") * 100_000_000 + F.col("pos") * 10_000
-    for m in more:
-        out = out + m
-    return out
+def report_order() -> Column:
+    """Reports of a target in the order of their ids: numbers by value, then other ids by text."""
+    text = F.col("report_id").cast("string")
+    return F.when(text.rlike("^[0-9]{1,38}$"), F.concat(F.lit("0"), F.lpad(text, 38, "0"))).otherwise(F.concat(F.lit("1"), text))
 
 
 def ingest_gitleaks(reports: DataFrame) -> DataFrame:
@@ -88,7 +86,7 @@ def ingest_gitleaks(reports: DataFrame) -> DataFrame:
             rule_id=F.concat(F.lit("GITLEAKS_"), F.upper(F.coalesce(r["RuleID"], F.lit("SECRET")))),
             evidence=F.concat(F.substring("value", 1, 8), F.lit("… (redacted)")),
             file=relative_path(F.col("root"), r["File"]), line=r["StartLine"], params=[described, history],
-            ord=_order(), raw=F.col("value"), raw_line=r["Match"],
+            ord=F.col("pos"), src=report_order(), raw=F.col("value"), raw_line=r["Match"],
         )
 
     return one_hit(
@@ -110,7 +108,7 @@ def ingest_semgrep(reports: DataFrame) -> DataFrame:
             ),
             severity=F.coalesce(severity, F.lit("medium")), file=relative_path(F.col("root"), r["path"]),
             line=r["start"]["line"],
-            params=[F.coalesce(F.substring(message, 1, 120), F.lit("Semgrep finding"))], ord=_order(),
+            params=[F.coalesce(F.substring(message, 1, 120), F.lit("Semgrep finding"))], ord=F.col("pos"), src=report_order(),
         ),
     )
 
@@ -238,7 +236,7 @@ def ingest_osv(reports: DataFrame) -> DataFrame:
             evidence=F.concat(n, F.lit(" advisor"), ending, F.lit("; worst "), "worst"),
             url=F.concat("name", F.lit("@"), "version"),
             params=[F.col("name"), counted, published, F.col("id_list"), F.col("target"), unfixed],
-            ord=_order(F.col("pkg_pos")),
+            ord=(F.col("pos"), F.col("pkg_pos")), src=report_order(),
         )
 
     return one_hit(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import lists, patterns as p
+from ..catalog.texts import VARIANTS, Variant
 from ..functions.identity import canonical_identity, dedupe_key, dep_package
 from ..functions.paths import path_class
 from ..functions.secrets import classify_secret
@@ -44,8 +47,8 @@ def strip_side_channel(findings: DataFrame) -> DataFrame:
     return findings.drop(*SIDE_CHANNEL)
 
 
-def suppress(findings: DataFrame) -> DataFrame:
-    found = complete(findings)
+def suppress(findings: DataFrame, variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
+    found = complete(findings, variants)
     return downrank_public_cors(strip_side_channel(drop_static_rate_limits(drop_public_secrets(found))))
 
 
@@ -79,7 +82,7 @@ def route_deps(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return findings.where(is_dep), findings.where(~is_dep)
 
 
-def reconcile_deps(findings: DataFrame) -> DataFrame:
+def reconcile_deps(findings: DataFrame, variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
     """Engine findings of a package replace native ones of the same package.
 
     A native finding that names no package never matches and stays.  Engine rows
@@ -88,7 +91,7 @@ def reconcile_deps(findings: DataFrame) -> DataFrame:
     """
     deps, rest = route_deps(findings)
     cols = findings.columns
-    keyed = with_title(deps).withColumn("pkg", dep_package(F.col("url"), F.col("evidence"), F.col("title")))
+    keyed = with_title(deps, variants).withColumn("pkg", dep_package(F.col("url"), F.col("evidence"), F.col("title")))
     from_engine = F.col("source") == "osv-scanner"
     reported = keyed.where(from_engine & F.col("pkg").isNotNull()).select("target_id", "pkg").distinct()
     native = keyed.where(~from_engine).join(reported, ["target_id", "pkg"], "left_anti")
@@ -109,7 +112,7 @@ def dedupe(findings: DataFrame) -> DataFrame:
     A minimum over ordered structs is combined on the map side, so any number of
     copies of one finding reaches the shuffle as one row per task.
     """
-    order = ["phase", "rule_ord", "file", "emit_ord"]
+    order = ["phase", "rule_ord", "file", "emit_src", "emit_ord"]
     rest = [c for c in findings.columns if c not in order and c != "target_id"]
     return (
         findings.withColumn("ident", identity())
@@ -119,6 +122,6 @@ def dedupe(findings: DataFrame) -> DataFrame:
     )
 
 
-def settle(raw_findings: DataFrame) -> DataFrame:
+def settle(raw_findings: DataFrame, variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
     """The whole pipeline from rule output to final findings."""
-    return dedupe(reconcile_deps(contextualize(suppress(raw_findings))))
+    return dedupe(reconcile_deps(contextualize(suppress(raw_findings, variants)), variants))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +12,10 @@ from ..catalog import lists
 from ..functions.identity import severity_rank
 from ..schema import PUBLIC
 
-MAX_REPORT_FINDINGS = 50_000  # findings per report row; larger reports come in parts
 
-_FINDING = [c for c in PUBLIC if c not in ("target_id", "file", "line", "url")]
+class Reports(NamedTuple):
+    summary: DataFrame  # one row per target
+    details: DataFrame  # one row per finding, in report order
 
 
 def location(findings: DataFrame) -> Column:
@@ -32,8 +36,8 @@ def findings_by_severity(published: DataFrame) -> DataFrame:
 
 def order_key(findings: DataFrame) -> Column:
     """Report order inside a target: severity, then order of emission."""
-    cells = [-severity_rank(F.col("severity")), "phase", "rule_ord", "file", "emit_ord", "rule_id", "line", "url"]
-    names = ("rank", "phase", "rule_ord", "file", "emit_ord", "rule_id", "line", "url")
+    cells = [-severity_rank(F.col("severity")), "phase", "rule_ord", "file", "emit_src", "emit_ord", "rule_id", "line", "url"]
+    names = ("rank", *cells[1:])
     return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(cells, names)])
 
 
@@ -45,28 +49,14 @@ def assemble(
     engines: DataFrame,
     started_at: str,
     finished_at: str,
-) -> DataFrame:
-    """One report row per target: grade, counts, sorted findings, passes, engines.
+) -> Reports:
+    """A summary row per target (grade, counts, passes, engines) and the findings as its detail table.
 
-    A target with more findings than fit a row gets several rows (``part``), each
-    sorted; findings are spread over the parts by their identity.  ``findings`` are
-    published rows that kept their ordering columns.
+    Details are range-sorted by target and report order, so a target with any number of findings has the same shape
+    as all others and is no task of its own.  Passes are a list: a target has at most one of each of a fixed set of ids.
+    ``findings`` are published rows that kept their ordering columns.
     """
-    sizes = graded.select(
-        "target_id",
-        F.ceil((sum((F.col(s) for s in lists.SEVERITIES), F.lit(0))) / MAX_REPORT_FINDINGS).alias("parts"),
-    )
-    body = F.struct(
-        order_key(findings).alias("k"),
-        F.struct(*_FINDING, F.struct("file", "line", "url").alias("location")).alias("f"),
-    )
-    spread = F.pmod(F.xxhash64("rule_id", "file", "line", "url"), F.greatest("parts", F.lit(1)))
-    lists_of = (
-        findings.join(sizes.where("parts > 1"), "target_id", "left")
-        .withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(spread).cast("int"))
-        .groupBy("target_id", "part")
-        .agg(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["f"]).alias("findings"))
-    )
+    details = findings.withColumn("report_order", order_key(findings)).orderBy("target_id", "report_order").select(*PUBLIC, "report_order")
     pass_key = F.struct(
         F.collate("category", "UNICODE").alias("c"), F.collate("title", "UNICODE").alias("t"), F.col("id").alias("i")
     )
@@ -82,33 +72,32 @@ def assemble(
     flags = F.struct(
         *[F.coalesce(c, F.lit(False)).alias(c) for c in ("semgrep", "gitleaks", "osv_scanner")]
     )
-    return (
+    summary = (
         targets.join(graded, "target_id")
-        .join(lists_of, "target_id", "left")
         .join(passed, "target_id", "left")
         .join(engines, "target_id", "left")
         .select(
             "target_id",
-            F.coalesce("part", F.lit(0)).alias("part"),
             F.struct("type", "value").alias("target"),
             F.lit(started_at).alias("started_at"),
             F.lit(finished_at).alias("finished_at"),
             "grade",
             "score",
             F.struct(*lists.SEVERITIES, F.coalesce(F.size("passed"), F.lit(0)).alias("passed")).alias("counts"),
-            F.coalesce("findings", F.array()).alias("findings"),
             F.coalesce("passed", F.array()).alias("passed"),
             flags.alias("engines"),
         )
     )
+    return Reports(summary, details)
 
 
-def write_reports(reports: DataFrame, path: str, run_date: str) -> None:
-    """Reports as JSON lines, one folder per run date.
+def write_reports(reports: Reports, path: str, run_date: str) -> None:
+    """Summaries and details as JSON lines, one folder each per run date.
 
-    Only the folder of this run is replaced, so a failed run can be repeated.
+    Only the folders of this run are replaced, so a failed run can be repeated.
     """
-    reports.write.mode("overwrite").json(f"{path}/run_date={run_date}")
+    reports.summary.write.mode("overwrite").json(f"{path}/summary/run_date={run_date}")
+    reports.details.drop("report_order").write.mode("overwrite").json(f"{path}/details/run_date={run_date}")
 
 
 _ENUMS = {
@@ -118,28 +107,41 @@ _ENUMS = {
     "mode": lists.MODES,
     "source": lists.SOURCES,
 }
-_REQUIRED = ("rule_id", "title", "why")
-
-
-def violations(findings: DataFrame) -> Column:
-    """Names of the fields of a row that break the report schema, in field order."""
-    checks = [
-        F.when(F.coalesce(F.col(c).isin(*allowed), F.lit(False)), F.lit(None)).otherwise(c)
-        for c, allowed in _ENUMS.items()
-        if c in findings.columns
-    ]
-    checks += [F.when(F.col(c).isNull(), c) for c in _REQUIRED if c in findings.columns]
-    return F.concat_ws(",", *checks)
-
-
-def split_valid(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+_REQUIRED = ("target_id", "rule_id", "title", "why")
+#: Every field of a published finding that is checked, and those that compact rows have.
+ALL_FIELDS = (*_ENUMS, *_REQUIRED, "line")
+COMPACT_FIELDS = ("category", "severity", "confidence", "source", "target_id", "rule_id", "line")
+PASS_FIELDS = ("category", "mode", "target_id", "id", "title")
+GRADE_FIELDS = ("target_id", "grade", "score")
+
+
+def _check(field: str) -> Column:
+    """True where the field keeps to the report schema."""
+    value = F.col(field)
+    if field in _ENUMS:
+        return value.isin(*_ENUMS[field])
+    if field == "grade":
+        return value.isin(*lists.GRADES)
+    if field == "score":
+        return value.between(0, 100)
+    if field == "line":
+        return value.isNull() | (value >= 0)
+    return value.isNotNull()
+
+
+def violations(fields: Sequence[str] = ALL_FIELDS) -> Column:
+    """Names of the fields of a row that break the report schema, in the given order; every field has to be there."""
+    return F.concat_ws(",", *[F.when(F.coalesce(_check(f), F.lit(False)), F.lit(None)).otherwise(f) for f in fields])
+
+
+def split_valid(rows: DataFrame, fields: Sequence[str] = ALL_FIELDS) -> tuple[DataFrame, DataFrame]:
     """(valid rows, quarantined rows with ``violations``)."""
-    checked = findings.withColumn("violations", violations(findings))
+    checked = rows.withColumn("violations", violations(fields))
     return checked.where("violations = ''").drop("violations"), checked.where("violations <> ''")
 
 
-def require_valid(findings: DataFrame) -> DataFrame:
+def require_valid(rows: DataFrame, fields: Sequence[str] = ALL_FIELDS) -> DataFrame:
     """Fail the job on the first row that breaks the schema."""
-    bad = violations(findings)
+    bad = violations(fields)
     ok = F.assert_true(bad == "", F.concat(F.lit("invalid finding fields: "), bad))
-    return findings.where(ok.isNull())
+    return rows.where(ok.isNull())

@@ -6,18 +6,20 @@ are staged; what follows works on rows that are orders of magnitude smaller.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog.texts import VARIANTS, Variant
 from ..functions.secrets import classify_secret
 from ..operators import file_rules, grading, ingest, live_rules, passes as pass_rules, pipeline, report, target_rules
+from ..operators.file_rules import FileRule
 from ..schema import HIT_FIELDS, SIDE_CHANNEL, publish
 from ..sources import files as file_source, http
-from .registry import RULE_META, Rule, run_isolated, union_all
-from .staging import materialize
+from .registry import RULE_META, Rule, known_variants, log, run_isolated, union_all
+from .staging import Run
 
 
 _HIT_COLUMNS = [c for c in HIT_FIELDS if c not in SIDE_CHANNEL]
@@ -34,18 +36,22 @@ class Fleet:
     probe_responses: DataFrame | None = None
     engine_reports: DataFrame | None = None
     advisories: DataFrame | None = None
-    extra_rules: Sequence[Rule] = field(default_factory=tuple)
+    extra_rules: Sequence[Rule] = field(default_factory=tuple)  # over staged tables
+    extra_file_rules: Sequence[FileRule] = field(default_factory=tuple)  # join the one pass over the files
 
 
 @dataclass
 class FleetResult:
-    findings: DataFrame  # settled compact rows
+    findings: DataFrame  # settled compact rows that keep to the schema
+    quarantine: DataFrame  # those that do not, with ``violations``
     passes: DataFrame
     graded: DataFrame
     engines: DataFrame
+    run: Run  # holds the tables above; drop it once the results are written
+    variants: Mapping[str, Variant] = field(default_factory=lambda: VARIANTS)
 
     def published(self) -> DataFrame:
-        return publish(self.findings)
+        return publish(self.findings, variants=self.variants)
 
 
 def _without_raw(hits: Column) -> Column:
@@ -80,17 +86,43 @@ def _scan_columns(spark: SparkSession) -> tuple[Column, Column]:
     return _scan_expressions[app]
 
 
-def scan_files(files: DataFrame) -> DataFrame:
+def scan_files(files: DataFrame, extra: Sequence[FileRule] = ()) -> DataFrame:
     """One pass: ``target_id, hits, facts`` for each file that has any."""
-    source = file_source.spread_small(file_source.scannable(files))
-    prepared = file_rules.file_columns(source, True)
+    prepared = file_rules.file_columns(file_source.scannable(files), True)
     hits, facts = _scan_columns(files.sparkSession)
+    added = []
+    for rule in extra:
+        try:
+            added.append(_without_raw(file_rules.hits_of([rule])))
+        except Exception as error:  # noqa: BLE001 - a broken rule must not stop the others
+            log.warning("file rule %s skipped: %s", rule.key, error)
+    if added:
+        hits = F.flatten(F.array(hits, *added))
     # ``inline`` keeps the filter from being pushed into the arrays, which would
     # compute them a second time.
     both = F.inline(F.array(F.struct(hits.alias("hits"), facts.alias("facts"))))
     return prepared.select("target_id", both).where((F.size("hits") > 0) | (F.size("facts") > 0))
 
 
+def _stage_scan(fleet: Fleet, run: Run) -> DataFrame:
+    """The pass over the files.  If it fails with added rules, each of them is tried alone, and the failing ones go."""
+    extra = list(fleet.extra_file_rules)
+    try:
+        return run.stage(scan_files(fleet.files, extra), "scan")
+    except Exception:  # noqa: BLE001 - told apart below
+        if not extra:
+            raise
+    sound = []
+    for rule in extra:
+        try:
+            alone = file_rules.run_rule(file_source.scannable(fleet.files), rule)
+            alone.write.format("noop").mode("overwrite").save()
+            sound.append(rule)
+        except Exception as error:  # noqa: BLE001 - a broken rule must not stop the others
+            log.warning("file rule %s skipped: %s", rule.key, error)
+    return run.stage(scan_files(fleet.files, sound), "scan-without-failing-rules")
+
+
 def whitebox_rules() -> list[Rule]:
     """Rules over staged hits, facts and dependencies."""
 
@@ -131,8 +163,8 @@ def blackbox_rules() -> list[Rule]:
     ]
 
 
-def _whitebox(fleet: Fleet) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    staged = materialize(scan_files(fleet.files), "scan")
+def _whitebox(fleet: Fleet, run: Run) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    staged = _stage_scan(fleet, run)
     facts = staged.select("target_id", F.inline("facts"))
     hits = staged.select("target_id", F.inline("hits"))
     manifests = file_source.manifests(
@@ -149,7 +181,7 @@ def _whitebox(fleet: Fleet) -> tuple[list[DataFrame], list[DataFrame], DataFrame
     return findings, [target_rules.good_practices(manifests, facts)], secrets
 
 
-def _blackbox(fleet: Fleet) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+def _blackbox(fleet: Fleet, run: Run) -> tuple[list[DataFrame], list[DataFrame], DataFrame, DataFrame]:
     home = fleet.homepages.select(
         "target_id",
         "url",
@@ -158,7 +190,7 @@ def _blackbox(fleet: Fleet) -> tuple[list[DataFrame], list[DataFrame], DataFrame
         http.script_urls(F.col("url"), F.col("body")).alias("scripts"),
         *http.config_values(F.col("body")),
     )
-    home = materialize(home, "homepages")
+    home = run.stage(home, "homepages")
     scripts = home.select("target_id", F.posexplode("scripts").alias("ord", "script_url"))
     low = F.lower("body")
     shrunk = http.select_bundles(
@@ -167,15 +199,16 @@ def _blackbox(fleet: Fleet) -> tuple[list[DataFrame], list[DataFrame], DataFrame
         *http.config_values(F.col("body")),
         _without_raw(live_rules.secret_hits(F.col("body"), low, url=F.col("url"))).alias("hits"),
     )
-    bundles = materialize(shrunk, "bundles")
+    bundles = run.stage(shrunk, "bundles")
+    probes = run.stage(live_rules.judge_probes(fleet.probe_responses), "probes")
     values = ["target_id", "ord", *http.CONFIG_VALUES]
-    discovered = http.discover_config(home.select(*values).unionByName(bundles.select(*values)))
+    discovered = run.stage(http.discover_config(home.select(*values).unionByName(bundles.select(*values))), "discovered")
     tables = {
         "homepages": home,
         "bundles": bundles,
         "bundle_hits": bundles.select("target_id", F.inline("hits")),
         "discovered": discovered,
-        "probes": fleet.probe_responses,
+        "probes": probes,
     }
     findings = [
         _emitted(df)
@@ -183,41 +216,54 @@ def _blackbox(fleet: Fleet) -> tuple[list[DataFrame], list[DataFrame], DataFrame
     ]
     passes = [
         live_rules.pass_headers(home),
-        live_rules.pass_source_maps(bundles, fleet.probe_responses),
-        live_rules.pass_closed_tables(discovered, fleet.probe_responses),
+        live_rules.pass_source_maps(bundles, probes),
+        live_rules.pass_closed_tables(discovered, probes),
     ]
-    return findings, passes, tables["bundle_hits"]
+    return findings, passes, tables["bundle_hits"], home
 
 
 def scan_fleet(fleet: Fleet, skip_engines: bool = False) -> FleetResult:
-    """Run everything the fleet's tables allow."""
+    """Run everything the fleet's tables allow.
+
+    All results are staged in one folder of the run, so the caller's tables are read once, and the working tables
+    behind the results are dropped here already.
+    """
+    spark = fleet.targets.sparkSession
+    variants = known_variants([*fleet.extra_rules, *fleet.extra_file_rules])
+    work, run = Run(spark, "scan-work"), Run(spark, "scan-result")
     findings: list[DataFrame] = []
     passes: list[DataFrame] = []
     if fleet.files is not None:
-        found, passed, secrets = _whitebox(fleet)
+        found, passed, secrets = _whitebox(fleet, work)
         findings += found
         passes += passed
         passes.append(pass_rules.no_secrets(fleet.targets.where(F.col("type") == "repo"), secrets))
     if fleet.homepages is not None:
-        found, passed, secrets = _blackbox(fleet)
+        found, passed, secrets, home = _blackbox(fleet, work)
         findings += found
         passes += passed
-        reached = fleet.targets.join(fleet.homepages.select("target_id"), "target_id", "left_semi")
+        reached = fleet.targets.join(home.select("target_id"), "target_id", "left_semi")
         passes.append(pass_rules.no_secrets(reached, secrets))
     if fleet.engine_reports is not None and not skip_engines:
         findings.append(_emitted(_checked(ingest.ingest_reports(fleet.engine_reports))))
         engines = ingest.engine_flags(fleet.engine_reports)
     else:
         engines = fleet.targets.select("target_id", *[F.lit(False).alias(c) for c in ("semgrep", "gitleaks", "osv_scanner")])
-    emitted = materialize(union_all(findings), "emitted")
-    settled = materialize(pipeline.settle(emitted), "findings")
-    passes.append(pass_rules.clean_categories(fleet.targets, settled))
-    return FleetResult(
-        findings=settled,
-        passes=pass_rules.pass_dedupe(union_all(passes)),
-        graded=grading.grade(settled, fleet.targets),
-        engines=engines,
+    emitted = work.stage(union_all(findings), "emitted")
+    settled = work.stage(pipeline.settle(emitted, variants).withColumn("violations", report.violations(report.COMPACT_FIELDS)), "settled")
+    valid = run.stage(settled.where("violations = ''").drop("violations"), "findings")
+    passes.append(pass_rules.clean_categories(fleet.targets, valid))
+    result = FleetResult(
+        findings=valid,
+        quarantine=run.stage(settled.where("violations <> ''"), "quarantine"),
+        passes=run.stage(pass_rules.pass_dedupe(union_all(passes)), "passes"),
+        graded=grading.grade(valid, fleet.targets),
+        engines=run.stage(engines, "engines"),
+        run=run,
+        variants=variants,
     )
+    work.drop()
+    return result
 
 
 def summary(fleet: Fleet, result: FleetResult) -> DataFrame:
@@ -230,8 +276,14 @@ def summary(fleet: Fleet, result: FleetResult) -> DataFrame:
     )
 
 
-def reports(fleet: Fleet, result: FleetResult, started_at: str, finished_at: str) -> DataFrame:
-    published = publish(result.findings, ("phase", "rule_ord", "emit_ord"))
+def reports(fleet: Fleet, result: FleetResult, started_at: str, finished_at: str) -> report.Reports:
+    """One summary row per target, and all findings in report order as its detail table."""
     return report.assemble(
-        fleet.targets, result.graded, published, result.passes, result.engines, started_at, finished_at
+        fleet.targets,
+        result.graded,
+        publish(result.findings, ("phase", "rule_ord", "emit_src", "emit_ord"), result.variants),
+        result.passes,
+        result.engines,
+        started_at,
+        finished_at,
     )

@@ -54,12 +54,13 @@ def files_raw() -> str:
     return (
         values("snips", "kind, spath, root, pure, snippet", rows)
         + f""",
-docs AS (SELECT doc_id, text, doc_id % {t} AS target_id, doc_id // {t} AS cyc FROM documents),
+docs AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % {t} AS target_id, doc_id // {t} AS cyc,
+  '{{"description": "' || regexp_replace(coalesce(text, ''), '["\\\x00-\x1f]', ' ', 'g') AS described FROM documents),
 files_raw AS MATERIALIZED (
   SELECT d.target_id,
     CASE WHEN s.root AND d.cyc < {k} THEN s.spath ELSE 'f' || d.doc_id || '/' || s.spath END AS path,
-    CASE WHEN s.pure AND d.doc_id % 11 = 0 THEN substr(replace(s.snippet, '@V@', (d.doc_id % 6 + 10)::VARCHAR), 1, 40)
-         WHEN s.pure THEN replace(s.snippet, '@V@', (d.doc_id % 6 + 10)::VARCHAR)
+    CASE WHEN s.pure AND length(d.text) % 11 = 0 THEN d.described
+         WHEN s.pure THEN d.described || '", ' || substr(replace(s.snippet, '@V@', (d.doc_id % 6 + 10)::VARCHAR), 2)
          ELSE d.text || chr(10) || replace(s.snippet, '@V@', (d.doc_id % 6 + 10)::VARCHAR) END AS content
   FROM docs d JOIN snips s ON s.kind = (d.cyc + d.target_id * 5) % {k})"""
     )
@@ -81,7 +82,7 @@ def files() -> str:
         files_raw()
         + f""",
 files AS MATERIALIZED (
-  SELECT target_id, path, CASE WHEN strlen(content) < {lists.MAX_FILE_BYTES} THEN content END AS content
+  SELECT target_id, path, content
   FROM files_raw WHERE NOT {IGNORED})"""
     )
 
@@ -123,12 +124,12 @@ HIT_COLUMNS = (
 
 def hits(variant: str, frm: str, *, rule_id="NULL", severity="NULL", evidence="NULL", file="NULL", line="NULL",
          url="NULL", params=(), ord="1") -> str:
-    """SELECT of hit rows; ``variant`` is an SQL expression."""
+    """SELECT of hit rows; ``variant`` is an SQL expression, ``ord`` a list of numbers."""
     ps = list(params) + ["NULL"] * (MAX_PARAMS - len(params))
     cells = [
         "target_id", f"{variant} AS variant", f"{rule_id}::VARCHAR AS rule_id", f"{severity}::VARCHAR AS severity",
         f"{evidence}::VARCHAR AS evidence", f"{file}::VARCHAR AS file", f"{line}::INTEGER AS line",
-        f"{url}::VARCHAR AS url", *[f"{x}::VARCHAR AS p{i}" for i, x in enumerate(ps)], f"{ord}::BIGINT AS emit_ord",
+        f"{url}::VARCHAR AS url", *[f"{x}::VARCHAR AS p{i}" for i, x in enumerate(ps)], f"[{ord}]::BIGINT[] AS emit_ord",
     ]
     return f"SELECT {', '.join(cells)} FROM {frm}"
 
@@ -164,11 +165,14 @@ def complete(src: str) -> str:
     v.phase, v.rule_ord, h.emit_ord FROM ({src}) h JOIN variants v ON h.variant = v.variant)"""
 
 
+MODE = "CASE WHEN starts_with(f.variant, 'secret_') AND f.file IS NULL AND f.url IS NOT NULL THEN 'blackbox' ELSE v.mode END"
+
+
 def publish(completed: str, extra: str = "", note: str = "''") -> str:
     """Public columns of completed rows."""
     return f"""SELECT f.target_id, f.rule_id, f.category, f.severity, v.cwe, v.owasp, {fill('v.title_t')} AS title,
   {note} || {fill('v.why_t')} AS why, f.evidence, f.file, f.line, f.url, {fill('v.fix_t')} AS fix,
-  {fill('v.prompt_t')} AS fix_prompt, f.confidence, v.mode, f.source{extra}
+  {fill('v.prompt_t')} AS fix_prompt, f.confidence, {MODE} AS mode, f.source{extra}
 FROM {completed} f JOIN variants v ON f.variant = v.variant"""
 
 
@@ -352,13 +356,12 @@ def _script(i: str, absolute: bool) -> str:
 
 
 def pages() -> str:
-    mod = corpus.UNREACHABLE_MOD
     plain = "split_part(split_part(url, '#', 1), '?', 1)"
     origin = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
     return (
         f"pg AS (SELECT page_id, page_id + {corpus.URL_TARGET_BASE} AS target_id, url, html, {origin} AS origin, "
         f"regexp_extract({plain}, '^(https?://[^/]+/(?:[^/]*/)*)', 1) AS folder, regexp_extract(url, '^(https?:)', 1) AS scheme, "
-        f"range(0, page_id % {corpus.MAX_SCRIPTS}) AS nums FROM pages WHERE page_id % {mod} <> {mod - 1})"
+        f"range(0, page_id % {corpus.MAX_SCRIPTS}) AS nums FROM pages WHERE coalesce(html, '') <> '')"
     )
 
 
@@ -420,8 +423,7 @@ def scripts() -> str:
     return f"""refs AS (SELECT h.target_id, pg.origin, pg.folder, pg.scheme, unnest({refs}) AS ref,
     generate_subscripts({refs}, 1) AS pos FROM home h JOIN pg ON h.target_id = pg.target_id),
 scripts AS MATERIALIZED (SELECT target_id, (row_number() OVER (PARTITION BY target_id ORDER BY pos) - 1)::INTEGER AS ord, script_url
-  FROM (SELECT target_id, {_resolve('ref')} AS script_url, min(pos) AS pos FROM refs GROUP BY 1, 2) z
-  QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY pos) <= {lists.MAX_BUNDLES})"""
+  FROM (SELECT target_id, {_resolve('ref')} AS script_url, min(pos) AS pos FROM refs GROUP BY 1, 2) z)"""
 
 
 BUNDLES = (
@@ -466,8 +468,7 @@ def plan_dotfiles() -> str:
 
 PLAN_MAPS = (
     "plan_maps AS (SELECT target_id, ord, regexp_replace(script_url, '\\?.*$', '') || '.map' AS url FROM bundles "
-    f"WHERE {m('script_url', p.BUNDLE_URL)} AND NOT {m('script_url', p.MAP_URL)} "
-    f"QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY ord) <= {lists.MAX_MAP_PROBES})"
+    f"WHERE {m('script_url', p.BUNDLE_URL)} AND NOT {m('script_url', p.MAP_URL)})"
 )
 
 
@@ -507,12 +508,12 @@ def engine_reports() -> str:
     k, t = "p_partkey", corpus.TARGETS
     root = f"'/repo/t' || ({k} % {t})"
     secret = (
-        f"CASE {k} % 5 WHEN 0 THEN '{LIVE_KEY}' WHEN 1 THEN '{PUBLIC_KEY}' WHEN 2 THEN 'f33e61083db5dbdf' || {k} "
+        f"CASE {k} % 5 WHEN 0 THEN '{LIVE_KEY}' WHEN 1 THEN '{PUBLIC_KEY}' WHEN 2 THEN '0badc0de0badc0de' || {k} "
         f"WHEN 3 THEN '{EXAMPLE_CONN}' ELSE '' END"
     )
     gitleaks = f"""'[{{"RuleID": "generic-api-key", "Description": "Generic key", "Secret": "' || ({secret}) || '", "Match": "key = x", "File": "' || {root}
       || '/src/f' || ({k} % 40) || '.ts", "StartLine": ' || p_size || CASE WHEN {k} % 3 = 0 THEN ', "Commit": "abc123"' ELSE '' END
-      || '}}, {{"RuleID": "db-url", "Match": "f33e61083db5dbdf' || {k} || '", "File": "' || {root} || '/docs/n' || ({k} % 7) || '.md", "StartLine": 3}}]'"""
+      || '}}, {{"RuleID": "db-url", "Match": "0badc0de0badc0de' || {k} || '", "File": "' || {root} || '/docs/n' || ({k} % 7) || '.md", "StartLine": 3}}]'"""
     semgrep = f"""'{{"results": [{{"check_id": "pack.rules.check-' || ({k} % 9) || '", "path": "' || {root} || '/lib/s' || ({k} % 30)
       || '.js", "start": {{"line": ' || p_size || '}}, "extra": {{"severity": "' || ['ERROR', 'WARNING', 'INFO', 'OTHER'][{k} % 4 + 1]
       || '", "message": "Dangerous pattern ' || ({k} % 9) || '"}}}}, {{"path": "' || {root} || '/examples/e' || ({k} % 5) || '.js", "start": {{"line": 1}}}}]}}'"""
@@ -548,7 +549,7 @@ def relative(root: str, path: str) -> str:
 
 
 def emit_order(pkg: str = "0") -> str:
-    return f"report_id * 100000000 + pos * 10000 + {pkg}"
+    return f"report_id, pos, {pkg}"
 
 
 # ---- finding stream ---------------------------------------------------------

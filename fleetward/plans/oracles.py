@@ -19,6 +19,7 @@ FILES = o.files()
 ORACLES["target_classify"] = _with(
     o.TARGETS, "SELECT target_id, value, CASE WHEN regexp_matches(value, '(?i)^https?://') THEN 'url' ELSE 'repo' END AS type FROM targets"
 )
+ORACLES["files_source"] = _with(o.files_raw(), "SELECT target_id, path, strlen(content)::BIGINT AS n_bytes, md5(content) AS digest FROM files_raw")
 ORACLES["files_ignore"] = _with(o.files_raw(), f"SELECT target_id, path FROM files_raw WHERE NOT {o.IGNORED}")
 ORACLES["files_size_cap"] = (
     "SELECT doc_id, strlen(repeat(text, 60))::BIGINT AS n_bytes, "
@@ -65,7 +66,7 @@ def _line_scan() -> str:
 
 
 ORACLES["regex_scan_lines"] = _line_scan()
-ORACLES["redact_value"] = f"SELECT doc_id, {o.redact('substr(text, 1, (doc_id % 60)::INTEGER)')} AS redacted FROM documents"
+ORACLES["redact_value"] = f"SELECT doc_id, {o.redact('text')} AS redacted FROM documents"
 ORACLES["shannon_entropy"] = f"SELECT doc_id, round({o.entropy('text')}, 6) AS entropy FROM documents"
 _V = f"{o.DEPS}, vs AS (SELECT target_id, pkg, declared, {o.version('declared')} AS v FROM deps)"
 ORACLES["parse_version"] = _with(_V, "SELECT target_id, pkg, declared, v[1] AS major, v[2] AS minor, v[3] AS patch FROM vs")
@@ -110,21 +111,13 @@ ORACLES["call_sites"] = _with(CALLS, "SELECT target_id, path, ord, line, callee,
 ORACLES["tainted_arg"] = _with(CALLS, f"SELECT target_id, path, ord, callee, arg0, {o.tainted('arg0')} AS tainted FROM calls")
 
 
-def _secret_values() -> str:
-    from .queries import SECRET_VALUES
-
-    n = len(SECRET_VALUES)
-    shaped = "[" + ", ".join(lit(v) for v in SECRET_VALUES) + f"][doc_id % {n} + 1]"
-    found = "regexp_extract(text, '\"([0-9a-f]{40})\"', 1)"
-    return f"sv AS (SELECT doc_id, CASE WHEN {found} <> '' THEN {found} ELSE {shaped} END AS value FROM documents)"
-
-
-SV = _secret_values()
-ORACLES["classify_secret"] = _with(SV, f"SELECT doc_id, {o.classify('value')} AS verdict FROM sv")
+SV = f"""{FILES}, sv AS MATERIALIZED (SELECT target_id, path, ord::INTEGER AS ord, line::INTEGER AS line, CASE WHEN assigned <> '' THEN assigned ELSE match END AS value
+  FROM (SELECT *, regexp_extract(match, {rx(p.ASSIGNED_VALUE)}, 1) AS assigned FROM {o.scan('files', p.SECRET_SHAPES.re2)} a) b)"""
+ORACLES["classify_secret"] = _with(SV, f"SELECT target_id, path, ord, {o.classify('value')} AS verdict FROM sv")
 _CONN = f"regexp_extract(value, {rx(p.CONN_STRING)})"
 ORACLES["example_conn_string"] = _with(
     SV,
-    f"SELECT doc_id, regexp_matches({_CONN}, {rx(p.CONN_PASSWORD)}) AND regexp_matches(regexp_extract({_CONN}, {rx(p.CONN_PASSWORD)}, 1), "
+    f"SELECT target_id, path, ord, regexp_matches({_CONN}, {rx(p.CONN_PASSWORD)}) AND regexp_matches(regexp_extract({_CONN}, {rx(p.CONN_PASSWORD)}, 1), "
     f"{rx(p.CONN_PLACEHOLDER)}) AS is_example FROM sv",
 )
 
@@ -150,14 +143,14 @@ HITS["rule_public_secret_var"] = (
     f"WHERE {m('evidence', p.SECRET_NAME)}",
 )
 HITS["rule_firebase_open"] = (FILES, _scan_hits("firebase_open", m("path", p.FIREBASE_RULES_FILE), p.FIREBASE_OPEN))
-HITS["rule_rls_permissive"] = (FILES, _scan_hits("rls_permissive", o.IS_SQL, p.PERMISSIVE_POLICY))
+HITS["rule_rls_permissive"] = (FILES, _scan_hits("rls_permissive", o.IS_SQL, p.PERMISSIVE_POLICY, ord="0, ord"))
 HITS["rule_definer_view"] = (
     FILES,
     o.hits(
         lit("definer_view"),
         f"(SELECT * FROM {o.scan(f'(SELECT * FROM files WHERE {o.IS_SQL}) f0', p.CREATE_VIEW.re2)} q "
         f"WHERE NOT regexp_matches(substr(content, start0 + 1, 400), {rx(p.SECURITY_INVOKER)})) s",
-        evidence="match", file="path", line="line", ord="100000 + ord",
+        evidence="match", file="path", line="line", ord="1, ord",
     ),
 )
 _simple(
@@ -169,12 +162,12 @@ _EV = "callee || '(…)'"
 _CALL_SQL = o.hits(
     f"CASE WHEN {m('callee', p.RAW_UNSAFE_CALL)} THEN 'sql_raw_unsafe' ELSE 'sql_concat' END",
     f"(SELECT * FROM calls WHERE {m('callee', p.RAW_UNSAFE_CALL)} OR ({m('callee', p.QUERY_CALL)} AND {o.tainted('arg0')})) c",
-    evidence=_EV, file="path", line="line", ord="ord",
+    evidence=_EV, file="path", line="line", ord="0, ord",
 )
 HITS["rule_sql_injection"] = (
     CALLS,
     f"{_CALL_SQL} UNION ALL "
-    + _scan_hits("sql_concat", o.IS_SOURCE, p.SQL_CONCAT, evidence="substr(match, 1, 44) || '…'", ord="100000 + ord"),
+    + _scan_hits("sql_concat", o.IS_SOURCE, p.SQL_CONCAT, evidence="substr(match, 1, 44) || '…'", ord="1, ord"),
 )
 HITS["rule_command_injection"] = (
     CALLS,
@@ -194,7 +187,7 @@ HITS["rule_xss"] = (
 )
 HITS["rule_ssrf_metadata"] = (
     FILES,
-    f"SELECT * FROM ({_scan_hits('ssrf_metadata', o.IS_SOURCE, p.METADATA_URL, evidence=chr(39) + 'request to ' + chr(39) + ' || substr(match, 1, 48)')}) z WHERE emit_ord = 1",
+    f"SELECT * FROM ({_scan_hits('ssrf_metadata', o.IS_SOURCE, p.METADATA_URL, evidence=chr(39) + 'request to ' + chr(39) + ' || substr(match, 1, 48)')}) z WHERE emit_ord = [1]",
 )
 HITS["rule_ssrf_tainted"] = (
     CALLS,
@@ -245,7 +238,7 @@ def _rules_file() -> str:
         cols = ", ".join(c for c in o.HIT_COLUMNS if c not in ("evidence", "emit_ord"))
         parts.append(
             f"SELECT {cols}, substr(evidence, 1, 80) AS evidence, "
-            f"row_number() OVER (PARTITION BY target_id, file ORDER BY emit_ord) + {i} * 100000 AS emit_ord FROM ({sel}) y"
+            f"[{i}, row_number() OVER (PARTITION BY target_id, file ORDER BY emit_ord)]::BIGINT[] AS emit_ord FROM ({sel}) y"
         )
     cols = ", ".join(o.HIT_COLUMNS)
     return " UNION ALL ".join(f"SELECT {cols} FROM ({x}) x{i}" for i, x in enumerate(parts))
@@ -255,9 +248,9 @@ HITS["rule_ai_rules_file"] = (FILES, _rules_file())
 _ENV_OR_SRC = f"({o.IS_SOURCE} OR {m('path', p.ENV_ANY)})"
 HITS["rule_insecure_defaults"] = (
     FILES,
-    _scan_hits("tls_off_option", _ENV_OR_SRC, p.TLS_OFF_OPTION)
+    _scan_hits("tls_off_option", _ENV_OR_SRC, p.TLS_OFF_OPTION, ord="0, ord")
     + " UNION ALL "
-    + _scan_hits("tls_off_env", _ENV_OR_SRC, p.TLS_OFF_ENV, ord="100000 + ord"),
+    + _scan_hits("tls_off_env", _ENV_OR_SRC, p.TLS_OFF_ENV, ord="1, ord"),
 )
 _TYPED, _SIZED = m("content", p.UPLOAD_TYPE_CHECK), m("content", p.UPLOAD_SIZE_CHECK)
 HITS["rule_insecure_upload"] = (
@@ -338,7 +331,7 @@ HITS["rule_rls_disabled"] = (
         """(SELECT target_id, count(*) AS n, arg_min(file, (file, ord)) AS file, arg_min(line, (file, ord)) AS line, arg_min(table_name, (file, ord)) AS first_table,
           string_agg(table_name, ', ' ORDER BY file, ord) AS names, string_agg('"' || table_name || '"', ', ' ORDER BY file, ord) AS quoted
           FROM missing WHERE target_id IN (SELECT target_id FROM hosted) GROUP BY target_id) s""",
-        evidence="CASE WHEN n > 1 THEN names END", file="file", line="line", params=["first_table", "n", "quoted"], ord="200000",
+        evidence="CASE WHEN n > 1 THEN names END", file="file", line="line", params=["first_table", "n", "quoted"], ord="2, 0",
     ),
 )
 FLAGS = f"""flags AS (SELECT target_id, bool_or({m('content', p.STRIPE_VERIFY)}) AS stripe_ok,
@@ -412,7 +405,7 @@ _GRID = f"{_HEADERS}, {REQ}, grid AS (SELECT pg.target_id, pg.url, req.*, EXISTS
 HITS["rule_headers_live"] = (
     _GRID,
     o.hits(lit("header_missing"), "(SELECT * FROM grid WHERE NOT present) s",
-           rule_id="'WEB_CONFIG_MISSING_' || upper(replace(header, '-', '_'))", severity="sev", url="url", params=["label"], ord="ord"),
+           rule_id="'WEB_CONFIG_MISSING_' || upper(replace(header, '-', '_'))", severity="sev", url="url", params=["label"], ord="0, ord"),
 )
 _PASS_HEADERS = (
     "SELECT target_id, 'PASS_WEB_CONFIG_' || upper(replace(header, '-', '_')) AS id, 'web_config' AS category, pass_title AS title, "
@@ -424,7 +417,7 @@ HITS["rule_weak_cookie"] = (
     o.hits(
         lit("weak_cookie"),
         f"(SELECT * FROM {_COOKIES} c WHERE {m('lower(cookie)', p.SESSION_COOKIE)} AND NOT (contains(lower(cookie), 'httponly') AND contains(lower(cookie), 'secure'))) s",
-        evidence="split_part(cookie, '=', 1)", url="url", ord="ord + 100",
+        evidence="split_part(cookie, '=', 1)", url="url", ord="1, ord",
     ),
 )
 PROBES = o.probe_responses()
@@ -594,17 +587,14 @@ def _completed(names: tuple[str, ...], extra: str = "") -> str:
     return f"{o.variants()}, {ctes}{more}, completed AS MATERIALIZED (SELECT * FROM {o.complete(union)} q)"
 
 
-_RAW = o.hits(
-    lit("secret_generic"), f"(SELECT doc_id % {corpus.TARGETS} AS target_id, doc_id, value FROM sv) s",
-    evidence=o.redact("value"), file="'f' || doc_id", params=["value"],
-)
+_RAW = o.hits(lit("secret_generic"), "sv s", evidence=o.redact("value"), file="path", line="line", params=["value"], ord="ord")
 _RAW_CTES = f"{o.variants()}, {SV}, raw AS (SELECT * FROM {o.complete(_RAW)} q)"
 ORACLES["suppress_public_secrets"] = _with(
     _RAW_CTES, f"{o.publish(f'(SELECT * FROM raw WHERE ({o.classify(chr(112) + chr(48))}) <> {lit(chr(112) + chr(117) + chr(98) + chr(108) + chr(105) + chr(99))})')}"
 )
 ORACLES["strip_side_channel"] = _with(
     _RAW_CTES,
-    "SELECT target_id, rule_id, variant, category, severity, confidence, source, evidence, file, line, url, phase, rule_ord, emit_ord FROM raw",
+    "SELECT target_id, rule_id, variant, category, severity, confidence, source, evidence, file, line, url, phase, rule_ord FROM raw",
 )
 _RL = (
     f"{FE}, rl AS (SELECT target_id, event_id, CASE WHEN event_id % 2 = 0 THEN 'RATE_LIMIT_MISSING' ELSE rule_id END AS rule_id, file, "
@@ -673,12 +663,21 @@ ORACLES["mode_match"] = _with(
     "SELECT t.target_id, t.type, r.rule_ord::INTEGER AS rule_ord, r.rule, r.category FROM targets t, rules r "
     "WHERE r.mode = 'both' OR r.mode = CASE WHEN t.type = 'url' THEN 'blackbox' ELSE 'whitebox' END",
 )
+def _spoiled(every: int, value: str, bad: str = "NULL") -> str:
+    return f"CASE WHEN event_id % {every} = 0 THEN {bad} ELSE {value} END"
+
+
+_BROKEN = {  # field: (divisor of the spoiled ids, value, what it becomes), in the order in which violations are listed
+    "category": (13, "category", "'other'"), "severity": (17, "severity", "'urgent'"), "confidence": (19, "confidence", "NULL"),
+    "mode": (23, "'whitebox'", "NULL"), "source": (43, "source", "'hearsay'"), "target_id": (41, "target_id", "NULL"),
+    "rule_id": (11, "rule_id", "NULL"), "title": (29, "'Title ' || rule_id", "NULL"), "why": (31, "'Why ' || rule_id", "NULL"),
+    "line": (37, "line", "-1"),
+}
 ORACLES["schema_validate"] = _with(
-    f"""{FE}, dirty AS (SELECT event_id, target_id, CASE WHEN event_id % 11 <> 0 THEN rule_id END AS rule_id, CASE WHEN event_id % 13 = 0 THEN 'other' ELSE category END AS category,
-      CASE WHEN event_id % 17 = 0 THEN 'urgent' ELSE severity END AS severity, CASE WHEN event_id % 19 <> 0 THEN confidence END AS confidence, source FROM fe),
-    checked AS (SELECT *, concat_ws(',', CASE WHEN category = 'other' THEN 'category' END, CASE WHEN severity = 'urgent' THEN 'severity' END,
-      CASE WHEN confidence IS NULL THEN 'confidence' END, CASE WHEN rule_id IS NULL THEN 'rule_id' END) AS violations FROM dirty)""",
-    "SELECT * FROM checked WHERE violations <> ''",
+    FE,
+    f"SELECT * FROM (SELECT event_id, {', '.join(f'{_spoiled(n, v, b)} AS {k}' for k, (n, v, b) in _BROKEN.items())}, "
+    f"concat_ws(',', {', '.join(f'CASE WHEN event_id % {n} = 0 THEN {lit(k)} END' for k, (n, _, _) in _BROKEN.items())}) AS violations FROM fe) z "
+    "WHERE violations <> ''",
 )
 _LOCATION = "CASE WHEN coalesce(file, '') <> '' THEN file || CASE WHEN coalesce(line, 0) <> 0 THEN ':' || line ELSE '' END ELSE coalesce(url, '') END"
 ORACLES["findings_by_severity"] = _with(
@@ -719,34 +718,39 @@ ORACLES["fleet_scan"] = _with(
     f"SELECT t.target_id, t.type, t.value, {_COUNT_COLS}, g.score, g.grade, coalesce(np.passed, 0)::INTEGER AS passed FROM targets t "
     f"JOIN {o.graded('settled', 'targets')} g ON t.target_id = g.target_id LEFT JOIN np ON np.target_id = t.target_id",
 )
-_ENGINE_FLEET = (
-    f"{_settled(('ingest_gitleaks', 'ingest_osv', 'ingest_semgrep'))}, {ENGINES}, {o.REPO_TARGETS}, {_clean('repo_targets', 'settled')}, "
-    f"g AS (SELECT * FROM {o.graded('settled', 'repo_targets')} z)"
-)
-_ORDER = f"{o.RANK} DESC, phase, rule_ord, file NULLS FIRST, emit_ord, rule_id, line NULLS FIRST, url NULLS FIRST"
+_REPORT = f"{_fleet()}, {ENGINES}, g AS (SELECT * FROM {o.graded('settled', 'targets')} z)"
 ORACLES["report_assemble"] = _with(
-    f"""{_ENGINE_FLEET},
-    fl AS (SELECT target_id, string_agg(severity || ':' || rule_id, '>' ORDER BY {_ORDER}) AS findings FROM settled GROUP BY target_id),
-    pl AS (SELECT target_id, string_agg(id, '>' ORDER BY category, title) AS passed, count(*)::INTEGER AS n_passed FROM clean GROUP BY target_id)""",
-    "SELECT t.target_id, 0::INTEGER AS part, g.grade, g.score, coalesce(fl.findings, '') AS findings, coalesce(pl.passed, '') AS passed, "
-    "coalesce(pl.n_passed, 0) AS n_passed, coalesce(e.gitleaks, false) AS gitleaks FROM repo_targets t JOIN g ON g.target_id = t.target_id "
-    "LEFT JOIN fl ON fl.target_id = t.target_id LEFT JOIN pl ON pl.target_id = t.target_id LEFT JOIN engines e ON e.target_id = t.target_id",
+    f"{_REPORT}, pl AS (SELECT target_id, string_agg(id, '>' ORDER BY id) AS passed, count(*)::INTEGER AS n_passed FROM allp GROUP BY target_id)",
+    f"SELECT t.target_id, g.grade, g.score, coalesce(pl.passed, '') AS passed, coalesce(pl.n_passed, 0) AS n_passed, coalesce(e.gitleaks, false) AS gitleaks, "
+    f"f.severity, f.rule_id, f.file, f.line, f.url, CASE WHEN f.variant IS NOT NULL THEN {o.MODE} END AS mode FROM targets t JOIN g ON g.target_id = t.target_id "
+    "LEFT JOIN pl ON pl.target_id = t.target_id LEFT JOIN engines e ON e.target_id = t.target_id LEFT JOIN settled f ON f.target_id = t.target_id "
+    "LEFT JOIN variants v ON v.variant = f.variant",
+)
+ORACLES["report_sink"] = _with(
+    _REPORT,
+    "SELECT g.target_id, g.grade, g.score, count(f.target_id) AS n_findings FROM g LEFT JOIN settled f ON f.target_id = g.target_id GROUP BY ALL",
 )
-ORACLES["report_sink"] = _with(_ENGINE_FLEET, "SELECT target_id, 0::INTEGER AS part, grade, score FROM g")
 
 # ---- streaming --------------------------------------------------------------
 ORACLES["stream_findings"] = _with(
-    FE, f"SELECT DISTINCT target_id, coalesce({o.IDENTITY}, {o.DEDUPE_KEY}) AS ident, file, line FROM fe"
+    FE,
+    f"SELECT target_id, coalesce({o.IDENTITY}, {o.DEDUPE_KEY}) AS ident, event_id, rule_id, category, severity, confidence, file, line, url, source FROM fe "
+    "QUALIFY row_number() OVER (PARTITION BY target_id, ident ORDER BY ts, event_id) = 1",
 )
 ORACLES["stream_progress"] = _with(
-    FE, "SELECT target_id, least(count(*), 24)::INTEGER AS done, 24::INTEGER AS total, arg_max(category, (ts, event_id)) AS phase FROM fe GROUP BY target_id"
+    FE,
+    f"SELECT target_id, scan, count(*)::INTEGER AS done, {len(corpus.EVENT_RULES)}::INTEGER AS total, arg_max(category, (ts, event_id)) AS phase FROM ("
+    "SELECT target_id, dayofyear(ts)::INTEGER AS scan, rule_id, arg_min(category, (ts, event_id)) AS category, min((ts, event_id)) AS at, min(ts) AS ts, "
+    "arg_min(event_id, (ts, event_id)) AS event_id FROM fe GROUP BY target_id, dayofyear(ts), rule_id) z GROUP BY target_id, scan",
 )
 ORACLES["stream_upsert"] = _with(
     f"{FE}, {FID}",
     "SELECT target_id, finding_id, event_id, rule_id, severity, file, line FROM fid "
     "QUALIFY row_number() OVER (PARTITION BY target_id, finding_id ORDER BY ts DESC, event_id DESC) = 1",
 )
-ORACLES["stream_backpressure"] = _with(FE, "SELECT event_id, target_id, rule_id FROM fe")
+ORACLES["stream_backpressure"] = _with(
+    FE, "SELECT event_id, target_id, rule_id, count(*) OVER (PARTITION BY event_id % 4) AS batch_rows FROM fe"
+)
 ORACLES["stream_deps_hold"] = """WITH k AS (SELECT event_id, user_id AS target_id, event_type, 'pkg' || (event_id % 11) AS pkg FROM events)
 SELECT event_id, target_id, pkg FROM k n WHERE event_type = 'purchase' AND NOT EXISTS (
   SELECT 1 FROM k e WHERE e.event_type = 'error' AND e.target_id = n.target_id AND e.pkg = n.pkg)"""

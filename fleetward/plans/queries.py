@@ -11,10 +11,10 @@ from ..catalog import lists
 from ..functions import identity, paths, secrets, text, version
 from ..functions.calls import call_sites, tainted_arg
 from ..functions.dialect import Pattern
+from ..catalog import patterns as p
 from ..operators import file_rules, grading, ingest, live_rules, passes, pipeline, report, target_rules
 from ..schema import PASS_COLUMNS, complete, one_hit, publish
 from ..sources import corpus, files as file_source, http, probes
-from ..sources.snippets import ANON_TOKEN, EXAMPLE_CONN, LIVE_KEY, PRIVATE_KEY_HEADER, PUBLIC_KEY, REAL_CONN, SERVICE_TOKEN, WEB_KEY
 from ..streaming import streams
 from . import fleet as fleet_plan
 from .staging import staging_path
@@ -23,12 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 LINE_PATTERN = Pattern(r"\b(\w+)\.\s+(\w+)")
-SECRET_VALUES = (
-    LIVE_KEY, PUBLIC_KEY, ANON_TOKEN, SERVICE_TOKEN, PRIVATE_KEY_HEADER, REAL_CONN, EXAMPLE_CONN, WEB_KEY,
-    "sb_publishable_AbCdEf0123456789", "sb_" + "secret_AbCdEf0123456789", "phc_AbCdEf0123456789", "your-api-key",
-    "postgres://app:${DB_PASSWORD}@db/app", "mysql://root:<your-password>@localhost/app",
-    "mongodb+srv://username:password@cluster0.example.net/test", "changeme", "",
-)
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -66,10 +60,11 @@ def _(spark, d):
 
 @query("files_source")
 def _(spark, d):
-    files = file_source.read_directory(spark, d)
-    return files.select(
-        "target_id", "path", "n_bytes", F.col("content").isNotNull().alias("decoded"), F.octet_length("content").alias("n_text")
-    )
+    """A stored table of files, whichever layout it was written in."""
+    path = staging_path(spark, "files")
+    corpus.files(spark, d).write.parquet(path)
+    files = file_source.read_table(spark, path)
+    return files.select("target_id", "path", F.octet_length("content").cast("bigint").alias("n_bytes"), F.md5("content").alias("digest"))
 
 
 @query("files_ignore")
@@ -180,8 +175,7 @@ def _(spark, d):
 @query("redact_value")
 def _(spark, d):
     docs = corpus.table(spark, d, "documents")
-    value = F.substring("text", F.lit(1), (F.col("doc_id") % 60).cast("int"))
-    return docs.select("doc_id", text.redact(value).alias("redacted"))
+    return docs.select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
 
 @query("shannon_entropy")
@@ -285,7 +279,8 @@ def _(spark, d):
 
 def _calls(spark, d):
     sources = _files(spark, d).where(paths.is_source(F.col("path")))
-    return sources.select("target_id", "path", F.inline(call_sites(F.col("content"))))
+    found = sources.select("target_id", "path", F.inline(call_sites(F.col("content"))))
+    return found.select("target_id", "path", "ord", "line", "callee", "arg0")
 
 
 @query("call_sites")
@@ -299,22 +294,20 @@ def _(spark, d):
 
 
 def _secret_values(spark, d):
-    templates = F.array(*[F.lit(v) for v in SECRET_VALUES])
-    n = len(SECRET_VALUES)
-    docs = corpus.table(spark, d, "documents")
-    shaped = F.element_at(templates, (F.col("doc_id") % n + 1).cast("int"))
-    found = F.regexp_extract("text", '"([0-9a-f]{40})"', 1)
-    return docs.select("doc_id", F.when(found != "", found).otherwise(shaped).alias("value"))
+    """The value of every secret shape in every whole file."""
+    found = _files(spark, d).select("target_id", "path", F.inline(text.scan(F.col("content"), p.SECRET_SHAPES)))
+    assigned = text.group(F.col("match"), p.ASSIGNED_VALUE, 1)
+    return found.select("target_id", "path", "ord", "line", F.when(assigned != "", assigned).otherwise(F.col("match")).alias("value"))
 
 
 @query("classify_secret")
 def _(spark, d):
-    return _secret_values(spark, d).select("doc_id", secrets.classify_secret(F.col("value")).alias("verdict"))
+    return _secret_values(spark, d).select("target_id", "path", "ord", secrets.classify_secret(F.col("value")).alias("verdict"))
 
 
 @query("example_conn_string")
 def _(spark, d):
-    return _secret_values(spark, d).select("doc_id", secrets.example_conn_string(F.col("value")).alias("is_example"))
+    return _secret_values(spark, d).select("target_id", "path", "ord", secrets.example_conn_string(F.col("value")).alias("is_example"))
 
 
 # ---- §2.3 file rules --------------------------------------------------------
@@ -506,13 +499,12 @@ def _(spark, d):
 
 
 def _raw_secret_hits(spark, d):
-    """Every shaped secret value as a finding that still carries its raw value."""
+    """Every secret shape of every file as a finding that still carries its raw value."""
     from ..schema import hit
 
-    rows = _secret_values(spark, d).select((F.col("doc_id") % corpus.TARGETS).alias("target_id"), "doc_id", "value")
     return one_hit(
-        rows,
-        hit("secret_generic", evidence=text.redact(F.col("value")), file=F.concat(F.lit("f"), F.col("doc_id").cast("string")), raw=F.col("value")),
+        _secret_values(spark, d),
+        hit("secret_generic", evidence=text.redact(F.col("value")), file=F.col("path"), line=F.col("line"), ord=F.col("ord"), raw=F.col("value")),
     )
 
 
@@ -533,7 +525,7 @@ def _(spark, d):
 
 @query("strip_side_channel")
 def _(spark, d):
-    return pipeline.strip_side_channel(complete(_raw_secret_hits(spark, d))).drop("params")
+    return pipeline.strip_side_channel(complete(_raw_secret_hits(spark, d))).drop("params", "emit_src", "emit_ord")
 
 
 @query("suppress_static_rate_limit")
@@ -655,14 +647,21 @@ def _(spark, d):
 @query("schema_validate")
 def _(spark, d):
     e = F.col("event_id")
+    def spoiled(every: int, value: Column, bad=None) -> Column:
+        return F.when(e % every == 0, F.lit(bad)).otherwise(value)
+
     dirty = _events(spark, d).select(
         "event_id",
-        "target_id",
-        F.when(e % 11 == 0, F.lit(None)).otherwise(F.col("rule_id")).alias("rule_id"),
-        F.when(e % 13 == 0, "other").otherwise(F.col("category")).alias("category"),
-        F.when(e % 17 == 0, "urgent").otherwise(F.col("severity")).alias("severity"),
-        F.when(e % 19 == 0, F.lit(None)).otherwise(F.col("confidence")).alias("confidence"),
-        "source",
+        spoiled(41, F.col("target_id")).alias("target_id"),
+        spoiled(11, F.col("rule_id")).alias("rule_id"),
+        spoiled(13, F.col("category"), "other").alias("category"),
+        spoiled(17, F.col("severity"), "urgent").alias("severity"),
+        spoiled(19, F.col("confidence")).alias("confidence"),
+        spoiled(23, F.lit("whitebox")).alias("mode"),
+        spoiled(43, F.col("source"), "hearsay").alias("source"),
+        spoiled(29, F.concat(F.lit("Title "), "rule_id")).alias("title"),
+        spoiled(31, F.concat(F.lit("Why "), "rule_id")).alias("why"),
+        spoiled(37, F.col("line"), -1).alias("line"),
     )
     return report.split_valid(dirty)[1]
 
@@ -689,30 +688,34 @@ def _(spark, d):
     return fleet_plan.summary(fleet, fleet_plan.scan_fleet(fleet))
 
 
-def _engine_fleet(spark, d):
-    return fleet_plan.Fleet(targets=corpus.repo_targets(spark, d), engine_reports=corpus.engine_reports(spark, d))
+def _reports(spark, d):
+    fleet = fleet_of(spark, d)
+    return fleet_plan.reports(fleet, fleet_plan.scan_fleet(fleet), "2024-01-01T00:00:00Z", "2024-01-01T00:10:00Z")
 
 
 @query("report_assemble")
 def _(spark, d):
-    fleet = _engine_fleet(spark, d)
-    reports = fleet_plan.reports(fleet, fleet_plan.scan_fleet(fleet), "2024-01-01T00:00:00Z", "2024-01-01T00:10:00Z")
-    return reports.select(
-        "target_id", "part", "grade", "score",
-        F.array_join(F.transform("findings", lambda f: F.concat(f["severity"], F.lit(":"), f["rule_id"])), ">").alias("findings"),
-        F.array_join(F.transform("passed", lambda x: x["id"]), ">").alias("passed"),
+    made = _reports(spark, d)
+    head = made.summary.select(
+        "target_id", "grade", "score",
+        F.array_join(F.array_sort(F.transform("passed", lambda x: x["id"])), ">").alias("passed"),
         F.col("counts.passed").alias("n_passed"),
         F.col("engines.gitleaks").alias("gitleaks"),
     )
+    return head.join(made.details.select("target_id", "severity", "rule_id", "file", "line", "url", "mode"), "target_id", "left")
 
 
 @query("report_sink")
 def _(spark, d):
-    fleet = _engine_fleet(spark, d)
-    reports = fleet_plan.reports(fleet, fleet_plan.scan_fleet(fleet), "2024-01-01T00:00:00Z", "2024-01-01T00:10:00Z")
+    made = _reports(spark, d)
     path = staging_path(spark, "reports")
-    report.write_reports(reports, path, "2024-01-01")
-    return spark.read.schema(reports.schema).json(f"{path}/run_date=2024-01-01").select("target_id", "part", "grade", "score")
+    report.write_reports(made, path, "2024-01-01")
+    summary = spark.read.schema(made.summary.schema).json(f"{path}/summary/run_date=2024-01-01")
+    details = spark.read.schema(made.details.drop("report_order").schema).json(f"{path}/details/run_date=2024-01-01")
+    counted = details.groupBy("target_id").agg(F.count("*").alias("n_findings"))
+    return summary.select("target_id", "grade", "score").join(counted, "target_id", "left").withColumn(
+        "n_findings", F.coalesce("n_findings", F.lit(0)).cast("bigint")
+    )
 
 
 # ---- §2.9 streaming ---------------------------------------------------------

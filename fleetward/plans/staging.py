@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,13 @@ _CONF = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a temporary folder; on a cluster a
+    Only where driver and executors are one process is there a temporary folder instead of the setting; elsewhere a
     machine-local folder would be lost with its executor, so that is an error.
     """
     configured = spark.conf.get(_CONF, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError(f"set {_CONF} to a folder all executors share")
     made = tempfile.mkdtemp(prefix="fleetward-")
     spark.conf.set(_CONF, made)
@@ -36,7 +37,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Used where several branches read the result of one expensive scan.  Losing
     executors afterwards costs nothing, because the table is in shared storage.
     """
-    spark = df.sparkSession
-    path = staging_path(spark, name)
+    return _written(df, staging_path(df.sparkSession, name))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Run:
+    """Tables of one run in a folder of their own, dropped together when its results are written."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.path = staging_path(spark, name)
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        """Remove the folder through the file system that it is in."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

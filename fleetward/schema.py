@@ -7,7 +7,7 @@ from a fixed-size lookup at the very end.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import lists
-from .catalog.texts import MAX_PARAMS, VARIANTS
+from .catalog.texts import MAX_PARAMS, VARIANTS, Variant
 
 # What a rule emits; everything a variant determines is added by ``complete``.
 HIT_FIELDS = {
     "variant": "string", "rule_id": "string", "severity": "string", "evidence": "string", "file": "string", "line": "int",
-    "url": "string", "params": "array<string>", "emit_ord": "bigint", "raw": "string", "raw_line": "string",
+    "url": "string", "params": "array<string>", "emit_src": "string", "emit_ord": "array<bigint>", "raw": "string", "raw_line": "string",
 }
 HIT_TYPE = f"struct<{','.join(f'{k}:{v}' for k, v in HIT_FIELDS.items())}>"
 SIDE_CHANNEL = ("raw", "raw_line")
 COMPACT = (
     "target_id", "rule_id", "variant", "category", "severity", "confidence", "source", "evidence",
-    "file", "line", "url", "params", "phase", "rule_ord", "emit_ord",
+    "file", "line", "url", "params", "phase", "rule_ord", "emit_src", "emit_ord",
 )
 PUBLIC = (
     "target_id", "rule_id", "category", "severity", "cwe", "owasp", "title", "why", "evidence",
@@ -70,17 +70,21 @@ def hit(
     line: Column | None = None,
     url: Column | None = None,
     params: Sequence[Column] = (),
-    ord: Column | None = None,
+    ord: Column | Sequence[Column | int] = 1,
+    src: Column | None = None,
     raw: Column | None = None,
     raw_line: Column | None = None,
 ) -> Column:
-    """One finding as a struct of ``HIT_TYPE``; ids and severities only where computed."""
+    """One finding as a struct of ``HIT_TYPE``; ids and severities only where computed.
+
+    Findings of a rule and file are ordered by ``src``, the report they came from, and then by the numbers ``ord``.
+    """
     null = F.lit(None)
     texts = [null if c is None else c for c in (rule_id, severity, evidence, file, line, url)]
     given = F.array(*params) if params else F.array()
-    order = F.lit(1) if ord is None else ord
+    order = F.array(*[o if isinstance(o, Column) else F.lit(o) for o in (ord if isinstance(ord, Sequence) else (ord,))])
     tail = [null if c is None else c for c in (raw, raw_line)]
-    return F.struct(F.lit(variant), *texts, given, order, *tail).cast(HIT_TYPE)
+    return F.struct(F.lit(variant), *texts, given, null if src is None else src, order, *tail).cast(HIT_TYPE)
 
 
 NO_HITS = f"array<{HIT_TYPE}>"
@@ -100,16 +104,26 @@ def one_hit(df: DataFrame, finding: Column) -> DataFrame:
     return df.select("target_id", F.inline(F.array(finding)))
 
 
-def complete(hits: DataFrame) -> DataFrame:
-    """Add what the variant determines; the lookup has one row per variant."""
+def known(hits: DataFrame, column: str) -> Column:
+    """``column`` of the variant lookup; a variant that is in no catalogue ends the job with its name."""
+    missing = F.raise_error(F.concat(F.lit("unknown finding variant: "), F.coalesce("variant", F.lit("NULL")))).cast("string")
+    return F.coalesce(column, missing)
+
+
+def complete(hits: DataFrame, variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
+    """Add what the variant determines; the lookup has one row per variant.
+
+    Variants that rules of others bring along are ordered after all rules of this package.
+    """
     if "category" in hits.columns:
         return hits
     rows = [
         (
-            k, v.rule_id, v.category, v.severity, v.confidence, _by_prefix(ENGINE_OF, k, "native"),
-            0 if _by_prefix(ENGINE_OF, k) is None else 1, _by_prefix(RULE_ORDER, k),
+            k, v.rule_id, v.category, v.severity, v.confidence, _by_prefix(ENGINE_OF, k, "native") if k in VARIANTS else "native",
+            0 if k not in VARIANTS or _by_prefix(ENGINE_OF, k) is None else 1,
+            _by_prefix(RULE_ORDER, k) if k in VARIANTS else 100 + i,
         )
-        for k, v in VARIANTS.items()
+        for i, (k, v) in enumerate(variants.items())
     ]
     constants = lookup(
         hits.sparkSession,
@@ -119,16 +133,17 @@ def complete(hits: DataFrame) -> DataFrame:
     )
     side = [c for c in SIDE_CHANNEL if c in hits.columns]
     return (
-        hits.join(F.broadcast(constants), "variant")
+        hits.join(F.broadcast(constants), "variant", "left")
+        .withColumn("category", known(hits, "category"))
         .withColumn("rule_id", F.coalesce("rule_id", "rule_id_v"))
         .withColumn("severity", F.coalesce("severity", "severity_v"))
         .select(*COMPACT, *side)
     )
 
 
-def variants_table(spark: SparkSession) -> DataFrame:
+def variants_table(spark: SparkSession, variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
     rows = [
-        (k, v.cwe, v.owasp, v.mode, v.title, v.why, v.fix, v.fix_prompt) for k, v in VARIANTS.items()
+        (k, v.cwe, v.owasp, v.mode, v.title, v.why, v.fix, v.fix_prompt) for k, v in variants.items()
     ]
     return lookup(
         spark,
@@ -146,16 +161,19 @@ def fill(template: Column) -> Column:
     return F.replace(out, F.lit("<<url>>"), F.coalesce(F.col("url"), F.lit("")))
 
 
-def with_title(findings: DataFrame) -> DataFrame:
-    """Add the rendered title; the lookup holds one row per variant of the catalogue."""
-    titles = variants_table(findings.sparkSession).select("variant", "title_t")
-    return findings.join(F.broadcast(titles), "variant").withColumn("title", fill(F.col("title_t"))).drop("title_t")
+def with_title(findings: DataFrame, variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
+    """Add the rendered title; the lookup holds one row per variant."""
+    titles = variants_table(findings.sparkSession, variants).select("variant", "title_t")
+    joined = findings.join(F.broadcast(titles), "variant", "left")
+    return joined.withColumn("title", fill(known(findings, "title_t"))).drop("title_t")
 
 
-def publish(findings: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def publish(findings: DataFrame, keep: Sequence[str] = (), variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
     """Final finding rows with report texts; working columns go unless kept."""
-    findings = complete(findings)
-    texts = variants_table(findings.sparkSession)
+    findings = complete(findings, variants)
+    texts = variants_table(findings.sparkSession, variants)
+    # a secret in a fetched script was seen from outside
+    outside = F.startswith("variant", F.lit("secret_")) & F.col("file").isNull() & F.col("url").isNotNull()
     note = F.lit("")
     if "note_class" in findings.columns:
         note = F.coalesce(
@@ -163,8 +181,9 @@ def publish(findings: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             F.lit(""),
         )
     return (
-        findings.join(F.broadcast(texts), "variant")
-        .withColumn("title", fill(F.col("title_t")))
+        findings.join(F.broadcast(texts), "variant", "left")
+        .withColumn("title", fill(known(findings, "title_t")))
+        .withColumn("mode", F.when(outside, "blackbox").otherwise(F.col("mode")))
         .withColumn("why", F.concat(note, fill(F.col("why_t"))))
         .withColumn("fix", fill(F.col("fix_t")))
         .withColumn("fix_prompt", fill(F.col("prompt_t")))

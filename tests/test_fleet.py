@@ -1,12 +1,15 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import fleetward
+from fleetward.catalog.texts import Variant
 from fleetward.operators import report
+from fleetward.operators.file_rules import FileRule, no_hits
 from fleetward.plans import fleet as fp
-from fleetward.plans.registry import Rule, run_isolated
+from fleetward.plans.registry import Rule, known_variants, run_isolated
 
 from . import apps
 
@@ -21,8 +24,12 @@ def scanned(spark, make_files):
     findings = result.published().collect()
     passes = result.passes.collect()
     summary = {r.target_id: r for r in fp.summary(fleet, result).collect()}
-    reports = [json.loads(x) for x in fp.reports(fleet, result, "t0", "t1").toJSON().collect()]
-    return findings, passes, summary, {r["target_id"]: r for r in reports}
+    made = fp.reports(fleet, result, "t0", "t1")
+    reports = {r["target_id"]: r | {"findings": []} for r in map(json.loads, made.summary.toJSON().collect())}
+    for row in map(json.loads, made.details.drop("report_order").toJSON().collect()):
+        reports[row["target_id"]]["findings"].append(row)
+    assert result.quarantine.count() == 0
+    return findings, passes, summary, reports
 
 
 def test_vulnerable_app(scanned):
@@ -32,16 +39,16 @@ def test_vulnerable_app(scanned):
         ("AUTH_NEXTJS_MIDDLEWARE_BYPASS", "package.json", None), ("DEPENDENCIES_CVE_2024_34351", "package.json", None),
         ("INJECTION_SQL", "lib/db.js", 2), ("INJECTION_SQL", "lib/db.js", 6),
         ("WEB_CONFIG_CORS_WILDCARD_CREDENTIALS", "next.config.js", None), ("WEB_CONFIG_MISSING_SECURITY_HEADERS", "next.config.js", None),
-        ("API_MASS_ASSIGNMENT", "pages/api/account.js", 3), ("API_WEBHOOK_UNVERIFIED", "pages/api/webhook.js", None),
+        ("API_MASS_ASSIGNMENT", "pages/api/profile.js", 3), ("API_WEBHOOK_UNVERIFIED", "pages/api/webhook.js", None),
         ("API_WEBHOOK_NO_IDEMPOTENCY", "pages/api/webhook.js", None), ("DATABASE_RLS_DISABLED", "supabase/migrations/1.sql", 1),
         ("DATABASE_RLS_PERMISSIVE_POLICY", "supabase/migrations/1.sql", 4), ("DATABASE_FIREBASE_RULES_OPEN", "firestore.rules", 3),
-        ("SECRETS_STRIPE_SECRET_KEY", "lib/pay.js", 1), ("SECRETS_SUPABASE_SERVICE_ROLE_JWT", "lib/admin.js", 2),
+        ("SECRETS_STRIPE_SECRET_KEY", "lib/shop.js", 1), ("SECRETS_SUPABASE_SERVICE_ROLE_JWT", "lib/root.js", 2),
         ("AI_RISKY_RULES_FILE", ".cursorrules", 1),
     ]) or sorted(f.rule_id for f in mine if f.rule_id.startswith("SECRETS_SUPABASE")) == ["SECRETS_SUPABASE_SERVICE_ROLE"]
     assert len(mine) == 15
     assert (summary[1].grade, summary[1].score, summary[1].critical) == ("F", 0, 9)
     table = next(f for f in mine if f.rule_id == "DATABASE_RLS_DISABLED")
-    assert table.title == 'Table "orders" has no Row Level Security'
+    assert table.title == 'Table "routes" has no Row Level Security'
 
 
 def test_clean_docs_and_public_apps(scanned):
@@ -73,7 +80,7 @@ def test_report_order_and_shape(scanned):
     assert [(p["category"], p["title"]) for p in reports[2]["passed"]] == sorted(
         ((p["category"], p["title"]) for p in reports[2]["passed"]), key=lambda x: (x[0], x[1].lower())
     )
-    assert "Xk9fJ2Lm4pQ" not in json.dumps(reports) and apps.LIVE_KEY not in json.dumps(reports)
+    assert "n0t-a-real-0ne" not in json.dumps(reports) and apps.LIVE_KEY not in json.dumps(reports)
 
 
 def test_no_practice_is_praised_without_a_manifest(spark, make_files):
@@ -105,25 +112,82 @@ def test_registry_lists_every_rule():
 
 def test_require_valid_fails_the_job(spark):
     rows = spark.createDataFrame([("R", "urgent", "t", "w")], "rule_id string, severity string, title string, why string")
+    fields = ("severity", "rule_id", "title", "why")
     with pytest.raises(Exception, match="invalid finding fields: severity"):
-        report.require_valid(rows).collect()
+        report.require_valid(rows, fields).collect()
     good = rows.withColumn("severity", F.lit("high"))
-    assert report.require_valid(good).count() == 1
+    assert report.require_valid(good, fields).count() == 1
+    with pytest.raises(Exception, match="category"):  # a field that is missing altogether
+        report.require_valid(good).collect()
 
 
-def test_large_reports_come_in_parts(spark, monkeypatch):
+def test_every_field_is_checked(spark):
+    good = {"category": "auth", "severity": "high", "confidence": "low", "mode": "whitebox", "source": "native", "target_id": "1", "rule_id": "R", "title": "t", "why": "w", "line": 3}
+    assert set(good) == set(report.ALL_FIELDS)
+    rows = [good] + [good | {k: -1 if k == "line" else None if k in ("target_id", "rule_id", "title", "why") else "odd"} for k in report.ALL_FIELDS]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} {'int' if k == 'line' else 'string'}" for k in good))
+    valid, bad = report.split_valid(df)
+    assert valid.count() == 1 and sorted(r.violations for r in bad.collect()) == sorted(report.ALL_FIELDS)
+    grades = spark.createDataFrame([(1, "A", 90), (2, "E", 101)], "target_id bigint, grade string, score int")
+    assert [r.violations for r in report.split_valid(grades, report.GRADE_FIELDS)[1].collect()] == ["grade,score"]
+
+
+OWN = Variant(None, "auth", "high", "high", None, None, "whitebox", "Own title <<0>>", "Own reason", None, None)
+
+
+def test_added_rules_are_published(spark, make_files):
+    from fleetward.schema import hit, one_hit
+
+    def file_rule(key, hits):
+        return FileRule(key, key, lambda path: path.endswith(".ts"), hits, variants={"own_file": OWN._replace(rule_id="OWN_FILE")})
+
+    good = file_rule("good", lambda f: F.when(f.content.contains("odd"), F.array(hit("own_file", file=f.path, params=[F.lit("x")]))).otherwise(no_hits()))
+    broken = file_rule("broken", lambda f: f.nothing_like_it)
+    raising = file_rule("raising", lambda f: F.array(hit("own_file", file=F.raise_error(F.lit("at run time")))))
+    target = Rule("OWN", "auth", "both", 99, lambda t: one_hit(t["facts"].select("target_id").distinct(), hit("own_target", file=F.lit("f"))),
+                  {"own_target": OWN._replace(rule_id="OWN_TARGET")})
+    bad_target = Rule("BAD", "auth", "both", 98, lambda t: t["no such table"])
+    targets = spark.createDataFrame([(1, "repo", "v")], "target_id bigint, type string, value string")
+    files = make_files({1: {"a.ts": "odd", "b.ts": "exec(`ls ${folder}`)", "package.json": "{}"}})
+    fleet = fp.Fleet(targets, files, extra_rules=[target, bad_target], extra_file_rules=[broken, good, raising])
+    result = fleetward.run_scan(fleet)
+    got = {(r.rule_id, r.title, r.category, r.mode) for r in result.published().collect()}
+    assert {("OWN_FILE", "Own title x", "auth", "whitebox"), ("OWN_TARGET", "Own title ", "auth", "whitebox")} <= got
+    assert any(r[0] == "INJECTION_COMMAND" for r in got)
+    result.run.drop()
+
+
+def test_unknown_variants_are_errors(spark, make_files):
+    from fleetward.schema import complete, hit, one_hit
+
+    rows = spark.createDataFrame([(1,)], "target_id bigint")
+    with pytest.raises(Exception, match="unknown finding variant: nobody_knows"):
+        complete(one_hit(rows, hit("nobody_knows"))).collect()
+    with pytest.raises(ValueError, match="lacks"):
+        known_variants([Rule("R", "auth", "both", 1, None, {"v": OWN._replace(why="")})])
+
+
+def test_tables_of_a_scan_are_dropped(spark, make_files):
+    targets = spark.createDataFrame([(1, "repo", "v")], "target_id bigint, type string, value string")
+    result = fleetward.run_scan(fp.Fleet(targets, make_files({1: {"a.ts": "x"}})))
+    folder = Path(result.run.path.removeprefix("file:"))
+    left = {p.name.rsplit("-", 1)[0] for p in folder.parent.iterdir()}
+    assert folder.exists() and "scan-work" not in left
+    result.run.drop()
+    assert not folder.exists()
+
+
+def test_reports_have_one_shape_at_any_size(spark):
     from fleetward.operators import grading
-    from fleetward.schema import PUBLIC, complete, hit, one_hit, publish
+    from fleetward.schema import complete, hit, one_hit, publish
 
-    monkeypatch.setattr(report, "MAX_REPORT_FINDINGS", 10)
     rows = spark.range(45).select(F.lit(1).cast("bigint").alias("target_id"), F.col("id").cast("string").alias("f"))
     found = complete(one_hit(rows, hit("firebase_open", file=F.col("f"), line=F.lit(1)))).drop("raw", "raw_line")
     targets = spark.createDataFrame([(1, "repo", "v"), (2, "repo", "w")], "target_id bigint, type string, value string")
     empty = spark.createDataFrame([], "target_id bigint, id string, category string, title string, detail string, mode string")
     engines = targets.select("target_id", *[F.lit(False).alias(c) for c in ("semgrep", "gitleaks", "osv_scanner")])
-    out = report.assemble(
-        targets, grading.grade(found, targets), publish(found, ("phase", "rule_ord", "emit_ord")), empty, engines, "a", "b"
-    ).collect()
-    parts = [r for r in out if r.target_id == 1]
-    assert len(parts) > 1 and sum(len(r.findings) for r in parts) == 45
-    assert [len(r.findings) for r in out if r.target_id == 2] == [0]
+    made = report.assemble(
+        targets, grading.grade(found, targets), publish(found, ("phase", "rule_ord", "emit_src", "emit_ord")), empty, engines, "a", "b"
+    )
+    assert sorted(r.target_id for r in made.summary.collect()) == [1, 2]
+    assert [r.file for r in made.details.collect()] == sorted(str(i) for i in range(45))
