@@ -258,12 +258,17 @@ _KEYWORDS = (
 )
 
 
+_LEADING_DOT = r"^\.\s*"
+
+
 def call_sites(src: str) -> str:
     """``target_id, path, ord, line, callee, arg0`` of all plain calls."""
     keywords = ", ".join(lit(k) for k in _KEYWORDS)
     toks = scan(src, _TOKENS)
+    # a dot right behind a word does not begin the callee: "3.", a line break and a name are a sentence's end and a call
+    after_word = f"CASE WHEN start0 > 0 AND regexp_matches(substr(content, start0, 1), {lit(r'[\w$\p{L}\p{N}]')}) THEN {nl(f'regexp_extract(raw, {lit(_LEADING_DOT)})')} ELSE 0 END"
     return f"""(SELECT target_id, path, row_number() OVER (PARTITION BY target_id, path ORDER BY start0)::INTEGER AS ord,
-      line::INTEGER AS line, callee, regexp_replace(regexp_extract(rest, {lit(r'^\s*(' + _ARG + ')')}, 1), '\\s+$', '') AS arg0
+      (line + {after_word})::INTEGER AS line, callee, regexp_replace(regexp_extract(rest, {lit(r'^\s*(' + _ARG + ')')}, 1), '\\s+$', '') AS arg0
     FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '\\s', '', 'g'), '^.*!\\.', ''), '^\\.|^this\\.|^this$', '') AS callee,
         substr(content, start0 + length(match) + 1) AS rest
       FROM (SELECT *, regexp_extract(match, {lit('^' + _CALL + '$')}, 1) AS raw FROM {toks} a
