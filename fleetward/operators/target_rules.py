@@ -18,6 +18,7 @@ from ..functions import paths
 from ..functions.identity import advisory_rule_id
 from ..functions.text import MATCH_TYPE, all_of, group, has_any, matches, scan
 from ..functions.version import format_version, in_range, parse_version, version_literal
+from ..plans.staging import materialize
 from ..schema import PASS_COLUMNS, hit, lookup, one_hit
 from .file_rules import FileColumns, columns, file_columns
 
@@ -328,26 +329,34 @@ def advisory_floor(spark) -> DataFrame:
     )
 
 
-#: Parts that a package's declarations are dealt over, each with its own copy of the package's advisories.
-SALT = 16
+#: Most advisories that are broadcast; beyond it, parts that a package's declarations are dealt over.
+BROADCAST_ROWS, SALT = 100_000, 16
 
 
-def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+def match_advisories(deps: DataFrame, advisories: DataFrame, few: bool = False) -> DataFrame:
     """``deps`` inside any range of an advisory, once per (dependency, advisory).
 
     Dependencies are read once and their versions parsed in place.  The ranges of an advisory are gathered into one row
-    first, so that no grouping follows the join, and a package that a third of all targets declare is dealt over
-    ``SALT`` keys.  Catalyst broadcasts the advisories where they are small.
+    first, so that no grouping follows the join.  Up to ``BROADCAST_ROWS`` advisories are counted and broadcast; beyond,
+    a package that a third of all targets declare is dealt over ``SALT`` keys, each with its own copy of the package's
+    advisories.  ``few`` says that the advisories are a constant of this package.
     """
-    parsed = deps.withColumn("v", parse_version(F.col("declared"))).where(F.col("v").isNotNull())
     ranges = F.struct(
         parse_version(F.col("lo")).alias("lo_v"), parse_version(F.col("fixed")).alias("fixed_v"), "severity", "summary"
     )
     gathered = advisories.groupBy("pkg", "id").agg(F.collect_list(ranges).alias("ranges"))
-    gathered = gathered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    salted = parsed.withColumn("salt", F.pmod(F.xxhash64("target_id", "manifest_path"), F.lit(SALT)).cast("int"))
+    parsed = deps.withColumn("v", parse_version(F.col("declared"))).where(F.col("v").isNotNull())
+    if not few:
+        gathered = materialize(gathered, "advisories")
+        few = gathered.count() <= BROADCAST_ROWS
+    if few:
+        joined = parsed.join(F.broadcast(gathered), "pkg")
+    else:
+        copies = gathered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        dealt = parsed.withColumn("salt", F.pmod(F.xxhash64("target_id", "manifest_path"), F.lit(SALT)).cast("int"))
+        joined = dealt.join(copies, ["pkg", "salt"])
     inside = F.filter("ranges", lambda r: in_range(F.col("v"), r["lo_v"], r["fixed_v"]))
-    matched = salted.join(gathered, ["pkg", "salt"]).select(*deps.columns, "v", "id", F.inline(F.array(F.struct(inside.alias("hits")))))
+    matched = joined.select(*deps.columns, "v", "id", F.inline(F.array(F.struct(inside.alias("hits")))))
     return matched.where(F.size("hits") > 0).select(
         *deps.columns,
         "id",
@@ -359,7 +368,7 @@ def match_advisories(deps: DataFrame, advisories: DataFrame) -> DataFrame:
 
 def known_cve(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
     """Advisory findings; the confirmed floor unless a larger table is given."""
-    rows = match_advisories(deps, advisories if advisories is not None else advisory_floor(deps.sparkSession))
+    rows = match_advisories(deps, advisory_floor(deps.sparkSession), few=True) if advisories is None else match_advisories(deps, advisories)
     evidence = F.concat(
         "pkg", F.lit("@"), "declared", F.lit(" ("), "id", F.lit("), current parsed "), "version"
     )

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetward.operators import file_rules, target_rules
@@ -92,7 +93,9 @@ def test_advisory_ranges_equal_brute_force(spark):
     assert sorted((r.target_id, r.id) for r in out) == sorted(want)
 
 
-def test_a_hot_declaration_is_dealt_over_many_keys(spark):
+@pytest.mark.parametrize("rows_broadcast", [100_000, 0])
+def test_a_hot_declaration(spark, monkeypatch, rows_broadcast):
+    monkeypatch.setattr(target_rules, "BROADCAST_ROWS", rows_broadcast)
     n = 20_000
     deps = spark.range(n).select(
         F.col("id").alias("target_id"), F.lit("package.json").alias("manifest_path"),
@@ -107,7 +110,8 @@ def test_a_hot_declaration_is_dealt_over_many_keys(spark):
     salts = deps.where("pkg = 'hot'").select(F.pmod(F.xxhash64("target_id", "manifest_path"), F.lit(target_rules.SALT)).alias("k")).groupBy("k").count().collect()
     assert len(salts) == target_rules.SALT and max(r["count"] for r in salts) < 2 * hot / target_rules.SALT
     stored = _stored_deps(spark, deps)
-    assert target_rules.match_advisories(stored, adv)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    plan = target_rules.match_advisories(stored, adv)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/deps-") == 1 and ("salt" in plan) == (rows_broadcast == 0)
 
 
 def _stored_deps(spark, deps):
