@@ -10,9 +10,10 @@ or two of them together, could be replaced by a larger one that still fits, or i
 the waste so far exceeds what a better solution than the incumbent may waste; a better solution becomes the incumbent.
 The search ends when the incumbent meets the bound ``ceil(tokens / capacity)``, or after ``steps`` fillings per piece.
 
-Token ids are those of the ``tokenizers`` library for the given file, without special tokens and with the strings of
-special tokens read as ordinary text.  ``tiktoken`` computes them from that file's vocabulary, four times as fast; a test
-compares the two libraries over texts of every kind.
+Token ids are those of the ``tokenizers`` library for the given file, without special tokens around the text.
+``tiktoken`` computes them from that file's vocabulary, four times as fast; a test compares the two libraries over texts
+of every kind.  With ``added`` the strings of the file's added tokens become their ids, as that library does unless told
+otherwise; without, as with its ``encode_special_tokens``, they are read as ordinary text.
 """
 
 from __future__ import annotations
@@ -46,23 +47,26 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of the vocabulary in a ``tokenizers`` file with byte-level pieces."""
+    """Ids of the vocabulary in a ``tokenizers`` file with byte-level pieces; ``added`` finds its added tokens in texts."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, added: bool = False) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = _byte_letters()
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(map(letters.__getitem__, w)): i for w, i in spec["model"]["vocab"].items() if w not in special}
-        self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        if added and any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that depend on the text around them are not supported")
+        self.found = set(special) if added else set()
 
     def ids(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        return self.encoding.encode_to_numpy(text, allowed_special=self.found, disallowed_special=()).astype("<u4")
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str, pattern: str) -> Tokens:
-    return Tokens(path, pattern)
+def tokens(path: str, pattern: str, added: bool = False) -> Tokens:
+    return Tokens(path, pattern, added)
 
 
 def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int]]:
@@ -74,9 +78,9 @@ def cut(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, end_id: int, capacity: int, id_col: str, text_col: str, added: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokens(path, pattern)
+        own = tokens(path, pattern, added)
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
             for doc, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
@@ -260,13 +264,14 @@ def pack_documents(
     steps: int = STEPS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Defined results: a null text counts as empty and is a document of one token, the end id; rows that repeat an id are
     separate documents; an empty table gives an empty result; other columns are not read.
     """
-    cut_up = materialize(pieces(docs, path, pattern, end_id, capacity, id_col, text_col), "pieces")
+    cut_up = materialize(pieces(docs, path, pattern, end_id, capacity, id_col, text_col, added), "pieces")
     tasks = max(1, -(-cut_up.count() // per_task))
     schema = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return cut_up.repartition(tasks).mapInArrow(_pack(capacity, steps), schema)

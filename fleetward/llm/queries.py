@@ -51,7 +51,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op3_best_fit_packing")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pack_documents(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
 
 
 @query("op4_byte_bpe")

@@ -12,7 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from fleetward.llm import bpe, packing
+from fleetward.llm.queries import QUERIES
 
 MULTI, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -194,3 +196,24 @@ def test_packed_documents(spark, named, per_task):
     used, bound = check_packed(rows, texts, named, 1024)
     assert used <= bound + (1 if per_task > 1000 else 12)
     assert packing.pack_documents(df.limit(0), JSON, public_tokenizers.PATTERN).count() == 0
+
+
+ADDED = [
+    "<|endoftext|> a", "<|endoftext|>", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|>\n", "x<|endoftext|>y it's<|endoftext|>'s",
+    "<|endoftext|", "<|<|endoftext|>|>", " \n<|endoftext|>\n ", "<|ENDOFTEXT|>", "word <|endoftext|> " * 900,
+]
+
+
+def test_added_tokens_are_found_as_the_named_library_does():
+    fast, named = packing.tokens(JSON, public_tokenizers.PATTERN, added=True), Tokenizer.from_file(JSON)
+    for text in [t for t in TEXTS if t] + ADDED:
+        assert fast.ids(text).tolist() == named.encode(text, add_special_tokens=False).ids
+    assert fast.ids("<|endoftext|> a").tolist() == [50256, 257]
+
+
+def test_the_query_and_the_pipeline_find_added_tokens(spark, tmp_path):
+    texts = list(enumerate(ADDED))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for rows in (QUERIES["op3_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, df, str(tmp_path))):
+        check_packed(rows.collect(), texts, Tokenizer.from_file(JSON), 1024)
