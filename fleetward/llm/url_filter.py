@@ -3,8 +3,9 @@
 Rules decide where one fits: it fits its host and all subdomains if the url's path starts with the rule's path, and the
 longest that fits wins.  Elsewhere the host decides.  Pages that rules allow make their hosts trusted seeds, pages that
 rules block make them blocked seeds, each by number of pages.  Personalised PageRank carries trust from trusted seeds
-along the links, and distrust from blocked seeds against them: a host that links to blocked hosts is suspect.  Scaled to
-pages, a host is blocked if its distrust is above its trust and reaches ``SHARE`` of its own pages.
+along the links, and distrust from blocked seeds against them: a host that links to blocked hosts is suspect.  Scores
+are scaled to pages; as propagation moves mass away from the seeds, a host's own ruled pages count where they are more
+than the score it ends with.  A host is blocked if its distrust is above its trust and reaches ``SHARE`` of its own pages.
 
 Edges are hosts of pages and of the links in their HTML, with the number of links; links without a host of their own
 stay on their page's and are no edge.  Each round is a join and a sum over edges, written to a table; rounds end when
@@ -138,10 +139,10 @@ def filter_urls(
     ]
     ranks = propagate(host_edges(pages, url_col, html_col), seeds[0].unionByName(seeds[1]))
     scores = ranks.groupBy("host").agg(
-        *(F.sum(F.when(F.col("kind") == kind, F.col("score") * total[kind]).otherwise(0.0)).alias(kind) for kind in total)
+        *(F.sum(F.when(F.col("kind") == kind, F.col("score") * total[kind]).otherwise(0.0)).alias(f"{kind}_score") for kind in total)
     )
-    judged = hosts.select("host", "pages").join(scores, "host", "left")
-    distrust, trust = F.coalesce("distrust", F.lit(0.0)), F.coalesce("trust", F.lit(0.0))
+    judged = hosts.join(scores, "host", "left")
+    distrust, trust = (F.greatest(kind, F.coalesce(f"{kind}_score", F.lit(0.0))) for kind in ("distrust", "trust"))
     blocked = (distrust > trust) & (distrust >= share * F.col("pages"))
     judged = materialize(judged.select("host", F.when(blocked, "block").otherwise("allow").alias("judged")), "judged-hosts")
     return rows.join(judged, "host", "left").select(

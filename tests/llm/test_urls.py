@@ -90,3 +90,29 @@ def test_links_to_blocked_hosts_block(spark):
     assert edges == {("farm.org", "bad.net"): 2, ("fine.org", "good.com"): 1, ("good.com", "fine.org"): 5}
     got = {r.page_id: r.verdict for r in uf.filter_urls(df).collect()}
     assert got[100] == "block" and got[101] == "allow" and got[300] == "block" and got[1] == "block" and got[200] == "allow"
+
+
+LINKERS = {
+    "none": {},
+    "one": {"l1.org": ["bad.net"]},
+    "chain": {"l1.org": ["bad.net"], "l2.org": ["l1.org"]},
+    "long chain": {"l1.org": ["bad.net"]} | {f"l{i}.org": [f"l{i - 1}.org"] for i in range(2, 8)},
+    "cycle": {"l1.org": ["bad.net", "l2.org"], "l2.org": ["bad.net", "l1.org"]},
+    "cycle behind one": {"l1.org": ["bad.net"], "l2.org": ["l1.org", "l3.org"], "l3.org": ["l2.org"]},
+    "linked back": {"bad.net": ["l1.org"], "l1.org": ["bad.net"]},
+}
+
+
+def test_linkers_do_not_clear_a_blocked_host(spark):
+    """Every shape has hosts of its own, named after its place in ``LINKERS``."""
+    rows = [(0, "http://good.com/", "")]
+    last = {}
+    for k, links in enumerate(LINKERS.values()):
+        html = {host: "".join(f"<a href='http://{k}{to}/'>t</a>" for to in targets) for host, targets in links.items()}
+        rows += [(1, f"http://{k}bad.net/es/{i}", "") for i in range(20)] + [(100 + k, f"http://{k}bad.net/en/1", html.pop("bad.net", ""))]
+        rows += [(2, f"http://{k}{host}/", text) for host, text in html.items()]
+        last[100 + k] = list(LINKERS)[k]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in uf.filter_urls(df).collect()}
+    assert got[0] == "allow"
+    assert [name for k, name in last.items() if got[k] != "block"] == []
