@@ -1,5 +1,6 @@
 """Languages on held-out documents, the filter, and odd rows."""
 
+import random
 import zlib
 
 import numpy as np
@@ -62,3 +63,51 @@ def test_blocks_hold_the_whole_text(model, monkeypatch):
     whole = own.counts(text)[0]
     monkeypatch.setattr(lg, "BLOCK", 1000)
     assert np.allclose(own.counts(text)[0], whole, rtol=0.03)
+
+
+def words_of(k, rnd):
+    """Prose of an invented language: letters of its own."""
+    return " ".join("".join(chr(0x4E00 + 40 * k + rnd.randrange(12)) for _ in range(rnd.randint(2, 6))) for _ in range(80))
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    rnd = random.Random(5)
+    names = [f"l{k:03}" for k in range(150)]
+    rows = [(len(names) * i + k, words_of(k, rnd), n) for i in range(4) for k, n in enumerate(names)]
+    model = lg.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == names
+    own = model.filter()
+    assert [own.predict(words_of(k, rnd))[0] for k in range(len(names))] == names
+    assert own.predict("12 !")[0] == "und" and lg.fit({}).filter().predict("word") == ("und", 0.0)
+
+
+def test_a_language_fitted_alone_is_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {}
+    for r in lg.sampled(docs).collect():
+        texts.setdefault(r.lang, []).append(r.text)
+    together, apart = lg.fit({k: sorted(v) for k, v in texts.items()}), lg.learn(docs)
+    assert together.languages == apart.languages and together.reach == apart.reach
+    assert all((a == b).all() for a, b in zip(together.grams, apart.grams, strict=True))
+
+
+def test_long_texts_shared_ids_and_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(lg, "SAMPLE", 20)
+    rnd = random.Random(6)
+    rows = [(None, words_of(0, rnd), "many") for _ in range(300)] + [(None, "same words", "many")] * 3000
+    rows += [(7 if not held(7) else 8, words_of(1, rnd), "one id") for _ in range(300)]
+    rows += [(None, words_of(2, rnd) * 100, "long") for _ in range(30)] + [(None, words_of(3, rnd), "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    got = lg.sampled(docs).collect()
+    sizes = {n: sum(r.lang == n for r in got) for n in ("many", "one id", "long", "rare")}
+    assert sizes == {"many": 20, "one id": 20, "long": 20, "rare": 1}
+    assert len({(r.lang, r.text) for r in got}) == len(got) and max(len(r.text) for r in got) == lg.SAMPLE_CHARS
+    assert lg.learn(docs).languages == ["long", "many", "one id", "rare"]
+
+
+def test_blocks_change_no_count(model, monkeypatch):
+    own = model.filter()
+    text = "Groß und ΣΑΣ İstanbul, the and of\n" * 50
+    whole = own.counts(text)
+    monkeypatch.setattr(lg, "BLOCK", 64)
+    assert own.counts(text)[1:] == whole[1:] and np.allclose(own.counts(text)[0], whole[0])
