@@ -1,8 +1,9 @@
 """Calls of script text, by one walk with a stack of open brackets.
 
 Comments, strings, template texts and regex literals are skipped; what stands in a template's interpolation is code.
-A call is a dotted name, type arguments perhaps, and an argument list that no block follows.  Nesting has no limit, and
-every character is looked at a bounded number of times.
+A call is a dotted name, type arguments perhaps, and an argument list that no block follows.  Nesting and length have no
+limit.  A backtick whose template does not close is ordinary text: the walk goes back to it and goes on behind it, and
+remembers what else was open then, so that it does not go back for each of many.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ _KEYWORDS = frozenset(
 )
 _FIRST_WORD = re.compile(r"[\w$]*")
 _BEFORE_REGEX = frozenset("=(,:!&|?;{}[\n")
-# Characters that do not occur between the angles of type arguments.
-_NOT_A_TYPE = frozenset(";+*/%^~!@#`")
+# Angles, brackets, and what does not occur between the angles of type arguments.
+_IN_TYPES = re.compile(r"[<>()\[\]{};+*/%^~!@#`]|&&|\|\|")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 
 
@@ -47,28 +48,28 @@ def callee_of(raw: str) -> str:
     return "" if name == "this" else name
 
 
-def _after_types(text: str, at: int) -> int:
-    """End of balanced type arguments that begin at ``at``, or -1."""
-    angles, brackets = 0, 0
-    for i in range(at, min(len(text), at + 4000)):
-        c = text[i]
+def _type_ends(text: str) -> dict[int, int]:
+    """Ends of balanced type arguments by the position of their first angle, of the whole text at once."""
+    ends: dict[int, int] = {}
+    angles: list[tuple[int, int]] = []  # position and depth in brackets of open angles
+    depth = 0
+    last: dict[int, int] = {}  # by depth: where it was last left, or held what no type holds
+    for m in _IN_TYPES.finditer(text):
+        i, c = m.start(), m.group()
         if c == "<":
-            angles += 1
+            angles.append((i, depth))
         elif c == ">":
-            if text[i - 1] == "=":
-                continue
-            angles -= 1
-            if not angles:
-                return i + 1 if not brackets else -1
+            if angles and text[i - 1] != "=":
+                at, outside = angles.pop()
+                if depth == outside and last.get(depth, -1) < at:
+                    ends[at] = i + 1
         elif c in "([{":
-            brackets += 1
-        elif c in ")]}":
-            brackets -= 1
-            if brackets < 0:
-                return -1
-        elif not brackets and (c in _NOT_A_TYPE or text[i : i + 2] in ("&&", "||")):
-            return -1
-    return -1
+            depth += 1
+        else:
+            last[depth] = i
+            if c in ")]}":
+                depth -= 1
+    return ends
 
 
 def _is_regex(text: str, at: int) -> bool:
@@ -80,44 +81,50 @@ def _is_regex(text: str, at: int) -> bool:
 
 def walk(text: str) -> list[Call]:
     """All plain calls in the order of their names; optional calls (``a?.b()``) are left out."""
-    plain: set[int] = set()  # backticks that close nothing
-    budget = 8 * len(text) + 1000
-    while True:
-        found, open_at, walked = _walk(text, plain)
-        budget -= walked
-        if open_at < 0 or budget < 0:
-            return found
-        plain.add(open_at)
-
-
-def _walk(text: str, plain: set[int]) -> tuple[list[Call], int, int]:
-    """(calls, the outermost template that is not closed or -1, characters walked)."""
     calls: list[list] = []  # [name's position, callee, first argument's begin, its end or -1, counted]
     stack: list[tuple[str, int]] = []  # bracket and the call it opens, or its position
+    ticks: list[tuple[int, int]] = []  # places in ``stack`` of open templates, and the calls before them
+    unclosed: set[int] = set()  # backticks that close nothing
+    endless: set[int] = set()  # where code begins whose brace is never closed
+    type_ends: dict[int, int] | None = None
     last_tick = text.rfind("`")
     i, n = 0, len(text)
+    runs_out = n  # template text from here on has no end
 
     def template(at: int) -> int:
-        """Walk on in a template's text: behind it, or behind the next ``${``."""
-        at = _TEMPLATE_TEXT.match(text, at).end()
-        if at >= n:
+        """Walk on in a template's text: behind it, or behind the next ``${``; the end if it does not close."""
+        nonlocal runs_out
+        if at >= runs_out:
+            return n
+        begin, at = at, _TEMPLATE_TEXT.match(text, at).end()
+        if at >= n or text[at] == "\\":
+            runs_out = begin
             return n
         if text[at] == "`":
             stack.pop()
+            ticks.pop()
             return at + 1
-        if text[at] == "\\":
-            return n
         stack.append(("${", at))
-        return at + 2
+        return n if at + 2 in endless else at + 2
 
     def end_argument(call: int, at: int) -> None:
         if call >= 0 and calls[call][3] < 0:
             calls[call][3] = at
 
-    while i < n:
-        m = _NEXT.search(text, i)
+    while True:
+        m = _NEXT.search(text, i) if i < n else None
         if not m:
-            break
+            if not ticks:
+                break
+            place, before = ticks[0]
+            i = stack[place][1] + 1
+            for kind, at in stack[place:]:
+                if kind == "`":
+                    unclosed.add(at)
+                elif kind in ("${", "{"):
+                    endless.add(at + len(kind))
+            del stack[place:], calls[before:], ticks[:]
+            continue
         at, c = m.start(), text[m.start()]
         i = at + 1
         if c in "\"'":
@@ -127,11 +134,14 @@ def _walk(text: str, plain: set[int]) -> tuple[list[Call], int, int]:
             s = _COMMENT.match(text, at) or (_REGEX.match(text, at) if _is_regex(text, at) else None)
             i = s.end() if s else i
         elif c == "`":
-            if at != last_tick and at not in plain:
+            if at in unclosed:
+                i = n if ticks else i  # what holds it does not close either
+            elif at != last_tick:
+                ticks.append((len(stack), len(calls)))
                 stack.append(("`", at))
                 i = template(i)
         elif c in "([{":
-            stack.append((c, -1))
+            stack.append((c, at if c == "{" else -1))
         elif c == ",":
             if stack and stack[-1][0] == "(":
                 end_argument(stack[-1][1], at)
@@ -159,7 +169,8 @@ def _walk(text: str, plain: set[int]) -> tuple[list[Call], int, int]:
             i = m.end()
             begin = _SPACE.match(text, i).end()
             if text[begin] == "<":
-                types = _after_types(text, begin)
+                type_ends = _type_ends(text) if type_ends is None else type_ends
+                types = type_ends.get(begin, -1)
                 begin = _SPACE.match(text, types).end() if types > 0 else -1
                 if begin < 0 or begin >= n or text[begin] != "(":
                     continue
@@ -173,8 +184,7 @@ def _walk(text: str, plain: set[int]) -> tuple[list[Call], int, int]:
     for kind, call in stack:
         if kind == "(":
             end_argument(call, n)
-    unclosed = next((at for kind, at in stack if kind == "`"), -1)
-    return [Call(*call[:4]) for call in calls if call[4]], unclosed, n
+    return [Call(*call[:4]) for call in calls if call[4]]
 
 
 # ---- taint of a first argument ----------------------------------------------

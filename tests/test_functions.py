@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from fleetward.functions import identity, paths, secrets, text, urls, version
+from fleetward.functions import call_walk, identity, paths, secrets, text, urls, version
 from fleetward.functions.calls import call_sites, tainted_arg
 from fleetward.functions.dialect import Pattern
 from fleetward.operators.ingest import max_fix
@@ -223,3 +223,35 @@ def test_long_text_needs_no_recursion(spark):
     body = "const a = `" + "x ${y} " * 60_000 + "`;\nexec('ls ' + '" + "q" * 200_000 + "' + dir);\n" + "/* c */ " * 20_000
     rows = values(spark, [body]).select(F.inline(call_sites(F.col("s"), r"^exec$"))).collect()
     assert [(r.line, r.callee) for r in rows] == [(2, "exec")]
+
+
+@pytest.mark.parametrize("fields", [10, 400, 20_000])
+def test_type_arguments_of_any_length(spark, fields):
+    types = "{" + "; ".join(f"field{i}: Array<string>" for i in range(fields)) + "}"
+    rows = values(spark, [f"db.$queryRawUnsafe<{types}>('a' + q); f<{types}(x); g(1)"]).select(F.inline(call_sites(F.col("s")))).collect()
+    assert [(r.callee, r.tainted) for r in rows] == [("db.$queryRawUnsafe", True), ("g", False)]
+
+
+#: Text with a backtick that closes nothing, and the calls in it.
+UNCLOSED = {"`f('a' + b) ${": "f", "`x${f('a' + b)": "f", "`${": "", "`'${f('a' + b) '": "", "`x${f(`a${g(b)}`)": "fg"}
+
+
+@pytest.mark.parametrize("unit", UNCLOSED)
+@pytest.mark.parametrize("count", [2, 12, 300])
+def test_unclosed_templates_are_text_however_many(unit, count):
+    calls = call_walk.walk(unit * count + "\nexec('du ' + folder)")
+    assert [c.callee for c in calls] == [*UNCLOSED[unit] * count, "exec"]
+
+
+@pytest.mark.parametrize("unit", [*UNCLOSED, "a<b<", "\\\\`"])
+def test_time_of_a_walk_grows_with_the_text(unit):
+    def least(n):
+        text = "`" + unit * n
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            call_walk.walk(text)
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert least(32_000) < 9 * least(8_000) + 0.05
