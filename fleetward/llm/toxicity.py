@@ -11,7 +11,8 @@ gain more than nearly all ordinary windows train the next, and the halves change
 and windows that the dictionary explains almost wholly are copied passages, not usage: they train nothing.
 
 The dictionaries and the curve are fitted on a bounded sample: at most ``SAMPLE`` documents of each label, the first ones
-in the order of a hash of their id, none longer than ``SAMPLE_CHARS`` characters.  Scoring reads every whole text.
+in the order of a hash of their id, none longer than ``SAMPLE_CHARS`` characters; repeated rows count once, and rows that
+share an id come after one row of every id.  Only the sample goes to the driver.  Scoring reads every whole text.
 
 Defined results: a null or blank text has no window and gets the score of no gain; rows that repeat an id are scored one
 by one; a row whose id is null is not held out; labels that are null, or whose document is missing, teach nothing; with
@@ -28,7 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most sampled documents of each label, and characters of a sampled document.
@@ -162,14 +163,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def sampled(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``y, id, text``: at most ``SAMPLE`` different rows of each label ``id, y``, one of every sampled id before others."""
+    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("y", "id", "text").distinct()
+    of_id = F.row_number().over(Window.partitionBy("y", "id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("of_id", of_id).where(F.col("of_id") <= SAMPLE)
+    of_label = F.row_number().over(Window.partitionBy("y").orderBy("of_id", F.xxhash64("id"), "id"))
+    return rows.withColumn("of_label", of_label).where(F.col("of_label") <= SAMPLE).select("y", "id", "text")
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on the labelled rows that are not held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"))).distinct()
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for y in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("y", "id", "text").collect()
+    rows = sampled(docs, known, id_col, text_col).collect()
     rows = sorted({(r.id, r.y, r.text) for r in rows}, key=lambda r: (shuffled(r[0]), r[2]))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit([t for _, y, t in rows if y == 0], [t for _, y, t in rows if y == 1], share)

@@ -82,3 +82,13 @@ def test_words_of_one_class_are_learned():
     found = [model.score(tox.features(gain, prose(True))) >= 0.5 for _ in range(150)]
     wrong = [model.score(tox.features(gain, prose(False))) >= 0.5 for _ in range(150)]
     assert sum(found) >= 0.9 * len(found) and sum(wrong) <= 0.05 * len(wrong)
+
+
+def test_an_id_of_many_rows_does_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(tox, "SAMPLE", 20)
+    rows = [(i, f"word{i}") for i in range(10)] + [(3, f"other{i}") for i in range(400)] + [(4, "copy")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    known = spark.createDataFrame([(i, i % 2) for i in range(10)], "id long, y int")
+    got = [tuple(r) for r in tox.sampled(docs, known).collect()]
+    assert len(got) == len(set(got)) and {i for _, i, _ in got} == set(range(10))
+    assert sum(y == 1 for y, _, _ in got) == 20 and sum(y == 0 for y, _, _ in got) == 6
