@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from fleetward.functions import call_walk, identity, paths, secrets, text, urls, version
+from fleetward.functions import identity, paths, secrets, text, tokens, urls, version
 from fleetward.functions.calls import call_sites, tainted_arg
 from fleetward.functions.dialect import Pattern
 from fleetward.operators.ingest import max_fix
@@ -239,8 +239,8 @@ UNCLOSED = {"`f('a' + b) ${": "f", "`x${f('a' + b)": "f", "`${": "", "`'${f('a'
 @pytest.mark.parametrize("unit", UNCLOSED)
 @pytest.mark.parametrize("count", [2, 12, 300])
 def test_unclosed_templates_are_text_however_many(unit, count):
-    calls = call_walk.walk(unit * count + "\nexec('du ' + folder)")
-    assert [c.callee for c in calls] == [*UNCLOSED[unit] * count, "exec"]
+    body = unit * count + "\nexec('du ' + folder)"
+    assert [body[c[0] : c[1]] for c in tokens.positions(body)[0]] == [*UNCLOSED[unit] * count, "exec"]
 
 
 @pytest.mark.parametrize("unit", [*UNCLOSED, "a<b<", "\\\\`"])
@@ -250,8 +250,41 @@ def test_time_of_a_walk_grows_with_the_text(unit):
         took = []
         for _ in range(3):
             start = time.perf_counter()
-            call_walk.walk(text)
+            tokens.positions(text)
             took.append(time.perf_counter() - start)
         return min(took)
 
     assert least(32_000) < 9 * least(8_000) + 0.05
+
+
+#: First arguments, and whether something variable is added to or put into them.
+TAINTED = [
+    ("'a' + b", True), ("'a' + 'b'", False), ("a + 1", True), ("1 + 2", False), ("`a`", False), ("`a ${b}`", True), ("`a ${'b'} ${ 12.5 }`", False),
+    ("`a ${b}` + 'c'", False), ("`a` + c", True), ("f('a' + b)", False), ("f('a' + b) + c", True), ("x[a + b]", False), ("x[i] + 'a'", True),
+    ("(a + b)", False), ("'x' + (a + b)", True), ("'x' + ('a' + 'b')", False), ("(f(a))(b) + 'x'", True), ("f (a) (b) + 'x'", True),
+    ("[a + b]", False), ("'x' + [a]", False), ("{a: b + c}", False), ("a - b", False), ("'it\\'s ' + x", True), ("'a+b'", False), ("a++", False),
+    ("'x' + await", False), ("'x' + typeof y", False), ("'x' + awaiting", True), ("'x' + this", False), ("'é' + ü", True), ("f(g(h(i + j))) + k", True),
+    ("a ? 'b' + c : d", False), ("'x' + f((a), [b], `${c(d)}`)", True), ("`it's ${a} don't` + b", True), ("'a' +", False), ("f(a + b", False),
+    ("'x' + `${`${y}`}`", False), ("'select ' +\n  id", True), ("", False), ("\"q\" + ((((((((z))))))))", True),
+]
+
+
+def test_taint_of_arguments(spark):
+    rows = values(spark, [(i, a) for i, (a, _) in enumerate(TAINTED)] + [(99, None)], "i int, s string")
+    got = {r.i: r.t for r in rows.select("i", tainted_arg(F.col("s")).alias("t")).collect()}
+    assert [(TAINTED[i][0], got[i]) for i in range(len(TAINTED))] == TAINTED and got[99] is None
+
+
+def test_glued_interpolated_and_lines(spark):
+    body = "exec('é' + b)\n\nexec(`ü ${b}`); exec(`x`)\r\nexec(`${a}` + c); exec(\"a\"\n + b, 'c' + d)\nexec(d + 'e')"
+    rows = values(spark, [body, "", None]).select(F.inline(call_sites(F.col("s"), "^exec$"))).collect()
+    assert [(r.ord, r.line, r.arg0, r.glued, r.interpolated) for r in rows] == [
+        (1, 1, "'é' + b", True, False), (2, 3, "`ü ${b}`", True, True), (3, 3, "`x`", False, False),
+        (4, 4, "`${a}` + c", False, False), (5, 4, '"a"\n + b', True, False), (6, 6, "d + 'e'", False, False),
+    ]
+
+
+def test_lines_by_the_newline_index(spark):
+    body = "".join(f"{'x' * (i % 7)}{chr(10) * (i % 3)}f{i}(a)" for i in range(500))
+    rows = values(spark, [body]).select(F.inline(call_sites(F.col("s")))).collect()
+    assert [r.line for r in rows] == [body.count("\n", 0, body.index(f"f{i}(")) + 1 for i in range(500)]
