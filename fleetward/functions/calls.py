@@ -214,7 +214,7 @@ def call_sites(text: Column, names: str | None = None) -> Column:
     def of(file: Column) -> Column:
         return let(named(file["data"], file["found"]), lambda rows: described(file["data"], file["found"], rows))
 
-    file = F.struct(asked.cast("binary").alias("data"), _tokens_udf()(asked).alias("found"))
+    file = F.struct(text.cast("binary").alias("data"), _tokens_udf()(asked).alias("found"))
     return F.when(text.isNotNull(), F.coalesce(let(file, of), F.array().cast(CALL_TYPE)))
 
 

@@ -472,11 +472,21 @@ PATTERN_PACK_RULES: tuple[FileRule, ...] = (
 )
 
 
+_calls_expressions: dict[str, Column] = {}
+
+
+def _calls_column(app: str) -> Column:
+    """The judged calls of source files, built once per application."""
+    if app not in _calls_expressions:
+        _calls_expressions[app] = judged_calls(F.when(paths.is_source(F.col("path")), F.col("content")))
+    return _calls_expressions[app]
+
+
 def file_columns(files: DataFrame, with_calls: bool) -> DataFrame:
     """``files`` plus the derived columns the rules share."""
     out = files.withColumn("lower", F.lower("content"))
     if with_calls:
-        out = out.withColumn("calls", judged_calls(F.when(paths.is_source(F.col("path")), F.col("content"))))
+        out = out.withColumn("calls", _calls_column(files.sparkSession.sparkContext.applicationId))
     else:
         out = out.withColumn("calls", F.lit(None).cast("string"))
     return out
