@@ -1,27 +1,24 @@
 """Finding streams with Structured Streaming.
 
-Streams read files, so a run over stored events uses ``availableNow`` and ends by
-itself.  Results live in tables in the shared folder that every batch is merged
-into; merging the same rows again changes nothing, so a lost executor or a restart
-repeats a batch instead of losing or doubling rows.  Nothing is forgotten after a
-time: what a stream has seen is in its table, not in a window.
+Streams read files, so a run over stored events uses ``availableNow`` and ends by itself.  What a stream has seen is in
+its state, or in a log of runs (``log_table``); nothing is forgotten after a time.  Batches are written under their
+number, so a lost executor or a restart repeats a batch instead of losing or doubling rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions.identity import dedupe_key, finding_id
 from ..operators.pipeline import contextualize, downrank_public_cors, drop_static_rate_limits, identity
-from ..plans.staging import materialize, staging_path
+from ..plans.staging import Run, staging_path
 from ..sources import corpus
-
-#: Parts of a merged table; a batch rewrites only those its keys fall into.
-BUCKETS = 32
+from .log_table import LogTable
 
 
 def open_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -32,53 +29,38 @@ def open_stream(spark: SparkSession, folder: str, pattern: str, schema, files_pe
     return reader.parquet(folder)
 
 
-# ---- merged tables ----------------------------------------------------------
-
-
-def one_per_key(rows: DataFrame, keys: list[str], latest: bool) -> DataFrame:
-    """The first or the latest row per key by (ts, event_id); combined map-side."""
-    rest = [c for c in rows.columns if c not in (*keys, "ts", "event_id")]
-    pick = F.max if latest else F.min
-    return rows.groupBy(*keys).agg(pick(F.struct("ts", "event_id", *rest)).alias("r")).select(*keys, "r.*")
-
-
-class MergedTable:
-    """A table with one row per key, in hash buckets that batches overwrite."""
+# ---- sinks ------------------------------------------------------------------
 
-    def __init__(self, spark: SparkSession, path: str, rows: DataFrame, keys: list[str], latest: bool) -> None:
-        self.spark, self.path, self.keys, self.latest = spark, path, keys, latest
-        empty = spark.createDataFrame([], rows.schema).withColumn("bucket", F.lit(0))
-        self.schema = empty.schema
-        empty.write.partitionBy("bucket").mode("ignore").parquet(path)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+def merge_stream(stream: DataFrame, table: LogTable, checkpoint: str) -> StreamingQuery:
+    return (
+        stream.writeStream.foreachBatch(table.merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
-    def merge(self, batch: DataFrame, batch_id: int = 0) -> None:
-        """Keep one row per key of the batch and of the buckets it touches.
 
-        The choice depends on the rows alone, so a repeated batch leaves the table as it is.
-        """
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(BUCKETS)).cast("int"))
-        new = materialize(one_per_key(new, self.keys, self.latest).select(*self.schema.names), "batch")
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
-        if not touched:
-            return
-        old = self.read().where(F.col("bucket").isin(touched))
-        both = one_per_key(old.unionByName(new), self.keys, self.latest).select(*self.schema.names)
-        merged = materialize(both, "merged")
-        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+def write_batches(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """What a query in update mode emits after each batch, in a folder of the batch's number, which a repetition replaces."""
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def merge_stream(stream: DataFrame, table: MergedTable, checkpoint: str) -> StreamingQuery:
     return (
-        stream.writeStream.foreachBatch(table.merge)
+        df.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
 
 
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches' rows, with ``batch``."""
+    return spark.read.option("basePath", path).parquet(path).withColumn("batch", F.col("batch").cast("long"))
+
+
 def write_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append to a file table; the sink's log makes each batch land exactly once."""
     return (
@@ -101,17 +83,36 @@ def emit_findings(rows: DataFrame) -> DataFrame:
     return settled.withColumn("ident", identity())
 
 
-def completions(rows: DataFrame) -> DataFrame:
-    """One completion event per finding event: its rule is done in the scan of its target and day."""
-    return rows.select("target_id", F.dayofyear("ts").alias("scan"), "rule_id", "category", "ts", "event_id")
-
+def emit_once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of every key the row that arrives first, when it arrives, and no other afterwards; of one batch the first by (ts, event_id).
 
-def progress(done: DataFrame, total: int) -> DataFrame:
-    """Rules completed of ``total`` per scan, and the category of the last one; ``done`` has one row per scan and rule."""
-    return done.groupBy("target_id", "scan").agg(
-        F.count("*").cast("int").alias("done"),
-        F.lit(total).alias("total"),
-        F.max_by("category", F.struct("ts", "event_id")).alias("phase"),
+    For a query in update mode.  The state holds, per key, the least (batch time, ts, event_id) with its row, and partial
+    minima combine before the shuffle, so copies of one hot finding cost one row per task.  A batch touches the state of
+    every key it holds; only those that it has set itself are emitted.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, "ts", "event_id")]
+    # the time of the batch is kept in its offsets, so a repeated batch has the same
+    timed = rows.withColumn("seen", F.current_timestamp())
+    first = F.min(F.struct("seen", "ts", "event_id", *rest)).alias("first")
+    return timed.groupBy(*keys).agg(first).where(F.col("first.seen") == F.current_timestamp()).select(*keys, "first.*").drop("seen")
+
+
+def progress(rows: DataFrame, rules: list[str]) -> DataFrame:
+    """Rules of ``rules`` done per scan of a target and day, of how many, and the category of the last one.
+
+    A rule is done with its first finding event.  In update mode a stream emits the sums so far of every scan that a
+    batch touches; the state of a scan is one value per registered rule.
+    """
+    at = F.struct("ts", "event_id", "category")
+    done = [F.min(F.when(F.col("rule_id") == rule, at)).alias(f"rule{i}") for i, rule in enumerate(rules)]
+    scans = rows.groupBy("target_id", F.dayofyear("ts").alias("scan")).agg(*done)
+    finished = F.filter(F.array(*[F.col(f"rule{i}") for i in range(len(rules))]), lambda r: r.isNotNull())
+    return scans.select(
+        "target_id",
+        "scan",
+        F.size(finished).alias("done"),
+        F.lit(len(rules)).alias("total"),
+        F.array_max(finished)["category"].alias("phase"),
     )
 
 
@@ -120,9 +121,74 @@ def with_finding_id(df: DataFrame) -> DataFrame:
     return df.withColumn("finding_id", finding_id(key))
 
 
-def release_dependencies(native: DataFrame, engine: DataFrame) -> DataFrame:
-    """Held native findings that no engine finding of the same target and package supersedes, at the end of a scan."""
-    return native.join(engine.select("target_id", "pkg").distinct(), ["target_id", "pkg"], "left_anti")
+#: Parts of a target's held rows; its packages are dealt over them.
+PARTS = 4
+#: Rows that are handed on together when a scan has ended.
+_CHUNK = 10_000
+
+
+class HoldDependencies(StatefulProcessor):
+    """Holds a target's native rows until its scan has ended; then those leave that no engine finding supersedes.
+
+    Rows are appended to a list in the state store and the engine's packages are keys of a map there, so no batch
+    rewrites or reads what is held; it is read once, at the end, in chunks.
+    """
+
+    def init(self, handle) -> None:
+        self.held = handle.getListState("held", "event_id long, pkg string")
+        self.seen = handle.getMapState("seen", "pkg string", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ended = False
+        for batch in rows:
+            native = batch[batch["kind"] == "native"]
+            if len(native):
+                self.held.appendList(list(zip(native["event_id"].astype("int64").tolist(), native["pkg"].tolist(), strict=True)))
+            for pkg in batch.loc[batch["kind"] == "engine", "pkg"].unique().tolist():
+                self.seen.updateValue((pkg,), (1,))
+            ended = ended or bool((batch["kind"] == "ended").any())
+        if not ended:
+            return
+        superseded = {pkg for (pkg,) in self.seen.keys()}
+        chunk: list[tuple] = []
+        for event_id, pkg in self.held.get():
+            if pkg not in superseded:
+                chunk.append((event_id, key[0], pkg))
+            if len(chunk) >= _CHUNK:
+                yield pd.DataFrame(chunk, columns=["event_id", "target_id", "pkg"])
+                chunk = []
+        if chunk:
+            yield pd.DataFrame(chunk, columns=["event_id", "target_id", "pkg"])
+        self.held.clear()
+        self.seen.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def release_dependencies(rows: DataFrame) -> DataFrame:
+    """Stream of ``target_id, kind, event_id, pkg`` to the native rows that are released, each when its target's scan ends.
+
+    ``kind`` is ``native``, ``engine`` or ``ended``.  A target's packages are dealt over ``PARTS`` keys, each of which
+    hears of the end, so that a target with a third of all rows is held by several tasks.
+    """
+    everywhere = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    own = F.array(F.pmod(F.xxhash64("pkg"), F.lit(PARTS)).cast("int"))
+    dealt = rows.withColumn("part", F.explode(F.when(F.col("kind") == "ended", everywhere).otherwise(own)))
+    return dealt.groupBy("target_id", "part").transformWithStateInPandas(
+        statefulProcessor=HoldDependencies(), outputStructType="event_id long, target_id long, pkg string", outputMode="Append", timeMode="None"
+    )
+
+
+def with_state_on_disk(spark: SparkSession, start) -> StreamingQuery:
+    """Start a query whose state is larger than memory; the setting counts for this query only."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return start()
+    finally:
+        spark.conf.set(name, before)
 
 
 # ---- runs over the stored events --------------------------------------------
@@ -140,29 +206,36 @@ def _run(*queries: StreamingQuery) -> None:
             raise query.exception()
 
 
-def _merged(spark: SparkSession, sf_dir: str, name: str, make: Callable[[DataFrame], DataFrame], keys: list[str], latest: bool) -> DataFrame:
-    """The events, made into rows, merged batch by batch."""
-    out = staging_path(spark, name)
-    stream = make(corpus.finding_events(_raw_events(spark, sf_dir)))
-    table = MergedTable(spark, f"{out}/table", stream, keys, latest)
-    _run(merge_stream(stream, table, f"{out}/checkpoint"))
-    return table.read()
-
-
 def run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every finding once, as it first arrived."""
+    """Every finding once, as it first arrived, when it arrived."""
+    out = staging_path(spark, "stream-findings")
     columns = ["target_id", "ident", "event_id", "rule_id", "category", "severity", "confidence", "file", "line", "url", "source"]
-    return _merged(spark, sf_dir, "stream-findings", emit_findings, ["target_id", "ident"], False).select(*columns)
+    found = emit_findings(corpus.finding_events(_raw_events(spark, sf_dir)))
+    _run(write_batches(emit_once(found, ["target_id", "ident"]).select(*columns), f"{out}/table", f"{out}/checkpoint"))
+    return read_batches(spark, f"{out}/table").select(*columns)
 
 
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _merged(spark, sf_dir, "stream-progress", completions, ["target_id", "scan", "rule_id"], False)
-    return progress(done, len(corpus.EVENT_RULES))
+    """The state of every scan at the end; the table also holds what was emitted before."""
+    out = staging_path(spark, "stream-progress")
+    events = corpus.finding_events(_raw_events(spark, sf_dir))
+    _run(write_batches(progress(events, [r[1] for r in corpus.EVENT_RULES]), f"{out}/table", f"{out}/checkpoint"))
+    return last_progress(read_batches(spark, f"{out}/table"))
+
+
+def last_progress(batches: DataFrame) -> DataFrame:
+    """The latest row of every scan."""
+    last = batches.groupBy("target_id", "scan").agg(F.max(F.struct("batch", "done", "total", "phase")).alias("r"))
+    return last.select("target_id", "scan", "r.done", "r.total", "r.phase")
 
 
 def run_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = _merged(spark, sf_dir, "stream-upsert", with_finding_id, ["target_id", "finding_id"], True)
-    return latest.select("target_id", "finding_id", "event_id", "rule_id", "severity", "file", "line")
+    """The latest row of every finding."""
+    out = staging_path(spark, "stream-upsert")
+    stream = with_finding_id(corpus.finding_events(_raw_events(spark, sf_dir)))
+    table = LogTable(spark, f"{out}/table", stream, ["target_id", "finding_id"], True)
+    _run(merge_stream(stream, table, f"{out}/checkpoint"))
+    return table.read().select("target_id", "finding_id", "event_id", "rule_id", "severity", "file", "line")
 
 
 #: Files of the paced source.
@@ -179,9 +252,11 @@ def run_backpressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = corpus.finding_events(open_stream(spark, parts, "*.parquet", schema, files_per_trigger=1))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        staged = materialize(batch.select("event_id", "target_id", "rule_id"), "paced")
+        run = Run(spark, "paced")
+        staged = run.stage(batch.select("event_id", "target_id", "rule_id"), "batch")
         counted = staged.withColumn("batch_rows", F.lit(staged.count()).cast("long"))
         counted.write.mode("overwrite").parquet(f"{out}/table/batch={batch_id}")
+        run.drop()
 
     _run(
         rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
@@ -189,15 +264,28 @@ def run_backpressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("basePath", f"{out}/table").parquet(f"{out}/table").drop("batch")
 
 
+def dependency_events(events: DataFrame) -> DataFrame:
+    """Purchases as native findings and errors as engine findings of a package, each target's last event followed by its scan's end.
+
+    ``slice`` numbers the quarters of the month, in which the stream hears of them.
+    """
+    quarter = F.floor((F.dayofmonth("ts") - 1) * SLICES / 31).cast("int")
+    kind = F.when(F.col("event_type") == "purchase", "native").when(F.col("event_type") == "error", "engine")
+    pkg = F.concat(F.lit("pkg"), (F.col("event_id") % 11).cast("string"))
+    target = F.col("user_id").alias("target_id")
+    found = events.select(target, kind.alias("kind"), "event_id", pkg.alias("pkg"), quarter.alias("slice")).where("kind is not null")
+    ended = events.groupBy(target).agg(F.max(quarter).alias("slice")).select(
+        "target_id", F.lit("ended").alias("kind"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("pkg"), "slice"
+    )
+    return found.unionByName(ended)
+
+
 def run_deps_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as native findings, errors as engine findings of a package; released when the scan has ended."""
+    """Native findings held per target and released when its scan ends, one quarter of the month a batch."""
     out = staging_path(spark, "stream-deps")
-    keyed = _raw_events(spark, sf_dir).select(
-        "event_id", F.col("user_id").alias("target_id"), "event_type", F.concat(F.lit("pkg"), (F.col("event_id") % 11).cast("string")).alias("pkg")
-    )
-    held = write_append(keyed.where("event_type = 'purchase'"), f"{out}/native", f"{out}/native-checkpoint")
-    seen = write_append(keyed.where("event_type = 'error'"), f"{out}/engine", f"{out}/engine-checkpoint")
-    _run(held, seen)
-    schema = keyed.schema
-    tables = [spark.read.schema(schema).parquet(f"{out}/{name}") for name in ("native", "engine")]
-    return release_dependencies(*tables).select("event_id", "target_id", "pkg")
+    rows = dependency_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    rows.repartition("slice").sortWithinPartitions("slice").write.partitionBy("slice").parquet(f"{out}/source")
+    stream = open_stream(spark, f"{out}/source", "*.parquet", rows.schema, files_per_trigger=1).drop("slice")
+    released = release_dependencies(stream)
+    _run(with_state_on_disk(spark, lambda: write_append(released, f"{out}/table", f"{out}/checkpoint")))
+    return spark.read.schema(released.schema).parquet(f"{out}/table").select("event_id", "target_id", "pkg")
