@@ -57,6 +57,8 @@ def _starts_with_word(src: str) -> bool:
     """True if whatever matches ``src`` surely starts with a word character."""
     if src[:1].isalnum() or src[:1] == "_":
         return src[1:2] not in ("?", "*", "{")
+    if src.startswith("\\w"):
+        return src[2:3] not in ("?", "*", "{")
     if src.startswith("("):
         end = _group_end(src, 0)
         body = src[3:end] if src.startswith("(?:") else src[1:end]

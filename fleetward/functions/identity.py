@@ -18,13 +18,16 @@ def dedupe_key(rule_id: Column, file: Column, line: Column, url: Column) -> Colu
 def finding_id(key: Column) -> Column:
     """32-bit FNV-1a over the UTF-16 units of ``key``, base 36, padded to 7."""
     hexed = F.hex(F.encode(key, "UTF-16BE"))
-    units = F.when(
-        F.length(key) > 0,
-        F.transform(
-            F.sequence(F.lit(0), (F.length(hexed) / 4).cast("int") - 1),
-            lambda i: F.conv(F.substring(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    encoded = F.transform(
+        F.sequence(F.lit(0), (F.length(hexed) / 4).cast("int") - 1),
+        lambda i: F.conv(F.substring(hexed, i * 4 + 1, F.lit(4)), 16, 10).cast("bigint"),
+    )
+    plain = F.transform(F.split(key, ""), lambda c: F.ascii(c).cast("bigint"))  # a byte each
+    units = (
+        F.when(F.length(key) == 0, F.array().cast("array<bigint>"))
+        .when(F.octet_length(key) == F.length(key), plain)
+        .otherwise(encoded)
+    )
     mask = F.lit(0xFFFFFFFF).cast("bigint")
     hashed = F.aggregate(
         units,

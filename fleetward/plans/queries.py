@@ -164,7 +164,7 @@ def _(spark, d):
 
 @query("regex_scan_lines")
 def _(spark, d):
-    docs = corpus.table(spark, d, "documents")
+    docs = corpus.spread(corpus.table(spark, d, "documents"))
     rows = docs.select("doc_id", F.inline(text.scan(F.col("text"), LINE_PATTERN)))
     return rows.select(
         "doc_id", "ord", "line", "match",
@@ -174,13 +174,13 @@ def _(spark, d):
 
 @query("redact_value")
 def _(spark, d):
-    docs = corpus.table(spark, d, "documents")
+    docs = corpus.spread(corpus.table(spark, d, "documents"))
     return docs.select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
 
 @query("shannon_entropy")
 def _(spark, d):
-    docs = corpus.table(spark, d, "documents")
+    docs = corpus.spread(corpus.table(spark, d, "documents"))
     return docs.select("doc_id", F.round(text.shannon_entropy(F.col("text")), 6).alias("entropy"))
 
 

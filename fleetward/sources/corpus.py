@@ -35,6 +35,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes a core reads on its own; tables below are dealt over all cores.
+_SHARE = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small stored table over all cores: one row group is one task.  A large one is read as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if n_bytes < cores * _SHARE else df
+
+
 def _div(c: Column, n: int) -> Column:
     return F.floor(c / n).cast("bigint")
 
@@ -47,7 +58,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(i, s.path, s.root, s.pure, s.text) for i, s in enumerate(SNIPPETS)],
         "kind bigint, spath string, root boolean, pure boolean, snippet string",
     )
-    docs = table(spark, sf_dir, "documents").repartition("doc_id").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
         (F.col("doc_id") % TARGETS).alias("target_id"),
