@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import lists, patterns as p
@@ -331,6 +331,8 @@ def advisory_floor(spark) -> DataFrame:
 
 #: Most advisories that are broadcast; beyond it, parts that a package's declarations are dealt over.
 BROADCAST_ROWS, SALT = 100_000, 16
+#: Ranges of a package up to which each of its declarations is compared with all of them; beyond, versions are looked up.
+WIDE = 64
 
 
 def match_advisories(deps: DataFrame, advisories: DataFrame, few: bool = False) -> DataFrame:
@@ -339,31 +341,100 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, few: bool = False)
     Dependencies are read once and their versions parsed in place.  The ranges of an advisory are gathered into one row
     first, so that no grouping follows the join.  Up to ``BROADCAST_ROWS`` advisories are counted and broadcast; beyond,
     a package that a third of all targets declare is dealt over ``SALT`` keys, each with its own copy of the package's
-    advisories.  ``few`` says that the advisories are a constant of this package.
+    advisories.  Packages of more than ``WIDE`` ranges have an index of their own (``search_versions``), so that the work
+    follows the findings, not the declarations times the advisories.  ``few`` says that the advisories are a constant of
+    this package.
     """
     ranges = F.struct(
         parse_version(F.col("lo")).alias("lo_v"), parse_version(F.col("fixed")).alias("fixed_v"), "severity", "summary"
     )
     gathered = advisories.groupBy("pkg", "id").agg(F.collect_list(ranges).alias("ranges"))
     parsed = deps.withColumn("v", parse_version(F.col("declared"))).where(F.col("v").isNotNull())
+    looked_up = None
     if not few:
         gathered = materialize(gathered, "advisories")
+        sizes = gathered.groupBy("pkg").agg(F.sum(F.size("ranges")).alias("n"))
+        wide = materialize(sizes.where(F.col("n") > WIDE).select("pkg"), "wide-packages")
+        if not wide.isEmpty():
+            looked_up = _looked_up(parsed, gathered.join(wide, "pkg", "left_semi"), deps.columns)
+            gathered = materialize(gathered.join(wide, "pkg", "left_anti"), "narrow-advisories")
         few = gathered.count() <= BROADCAST_ROWS
-    if few:
-        joined = parsed.join(F.broadcast(gathered), "pkg")
-    else:
-        copies = gathered.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        dealt = parsed.withColumn("salt", F.pmod(F.xxhash64("target_id", "manifest_path"), F.lit(SALT)).cast("int"))
-        joined = dealt.join(copies, ["pkg", "salt"])
+    joined = parsed.join(F.broadcast(gathered), "pkg") if few else _dealt(parsed).join(_copies(gathered), ["pkg", "salt"])
     inside = F.filter("ranges", lambda r: in_range(F.col("v"), r["lo_v"], r["fixed_v"]))
     matched = joined.select(*deps.columns, "v", "id", F.inline(F.array(F.struct(inside.alias("hits")))))
-    return matched.where(F.size("hits") > 0).select(
+    compared = matched.where(F.size("hits") > 0).select(
         *deps.columns,
         "id",
         F.array_min(F.transform("hits", lambda r: r["severity"])).alias("severity"),
         F.array_min(F.transform("hits", lambda r: r["summary"])).alias("summary"),
         format_version(F.col("v")).alias("version"),
     )
+    return compared if looked_up is None else compared.unionByName(looked_up)
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
+def _dealt(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumn("salt", F.pmod(F.xxhash64("target_id", "manifest_path"), F.lit(SALT)).cast("int"))
+
+
+def _looked_up(parsed: DataFrame, gathered: DataFrame, columns: list[str]) -> DataFrame:
+    """Declarations of wide packages: every version is looked up once, and its advisories go to all who declare it."""
+    versions = parsed.select("pkg", "v").join(gathered.select("pkg").distinct(), "pkg", "left_semi").distinct()
+    found = materialize(search_versions(materialize(versions, "versions"), gathered), "found-advisories")
+    joined = _dealt(parsed).join(_copies(found), ["pkg", "v", "salt"])
+    return joined.select(*columns, "id", "severity", "summary", format_version(F.col("v")).alias("version"))
+
+
+def _disjoint(ranges: Column) -> Column:
+    """The ranges of one advisory cut where they overlap, each part with the least severity and summary that cover it."""
+    sound = F.filter(ranges, lambda r: r["lo_v"] < r["fixed_v"])
+    bounds = F.array_sort(F.array_distinct(F.flatten(F.transform(sound, lambda r: F.array(r["lo_v"], r["fixed_v"])))))
+
+    def part(lo: Column, i: Column) -> Column:
+        fixed = F.get(bounds, i + 1)
+        over = F.filter(sound, lambda r: (r["lo_v"] <= lo) & (r["fixed_v"] >= fixed))
+        return F.struct(
+            lo.alias("lo_v"), fixed.alias("fixed_v"),
+            F.array_min(F.transform(over, lambda r: r["severity"])).alias("severity"),
+            F.array_min(F.transform(over, lambda r: r["summary"])).alias("summary"),
+            F.size(over).alias("n"),
+        )
+
+    return F.filter(F.transform(bounds, part), lambda r: r["n"] > 0)
+
+
+def search_versions(versions: DataFrame, gathered: DataFrame) -> DataFrame:
+    """``pkg, v, id, severity, summary``: the advisories (``pkg, id, ranges``) that hold each of ``versions`` (``pkg, v``).
+
+    The index of a package is a segment tree over its sorted bounds: a range is the union of at most two nodes a level, a
+    version lies in one node of every level, and the two meet in an equi-join that yields nothing but matches.
+    """
+    parts = gathered.select("pkg", "id", F.inline(_disjoint(F.col("ranges"))))
+    parts = materialize(parts.select("pkg", "id", "lo_v", "fixed_v", "severity", "summary"), "ranges")
+    bounds = parts.select("pkg", F.explode(F.array("lo_v", "fixed_v")).alias("v")).distinct()
+    points = bounds.withColumn("bound", F.lit(1)).unionByName(versions.withColumn("bound", F.lit(0)))
+    so_far = Window.partitionBy("pkg").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = materialize(points.select("pkg", "v", "bound", F.sum("bound").over(so_far).cast("int").alias("rank")), "ranks")
+    at = ranked.where("bound = 1").select("pkg", "v", "rank")
+    placed = parts.join(at.withColumnsRenamed({"v": "lo_v", "rank": "low"}), ["pkg", "lo_v"]).join(
+        at.withColumnsRenamed({"v": "fixed_v", "rank": "high"}), ["pkg", "fixed_v"]
+    )
+
+    def level(k: Column) -> Column:
+        low = F.ceil(F.col("low") / F.pow(F.lit(2.0), k)).cast("int")
+        high = F.floor(F.col("high") / F.pow(F.lit(2.0), k)).cast("int")
+        own = lambda odd, node: F.when((low < high) & (odd % 2 == 1), F.struct(k.alias("level"), node.alias("node")))
+        return F.array(own(low, low), own(high, high - 1))
+
+    nodes = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(30)), level)), lambda n: n.isNotNull())
+    covered = materialize(placed.select("pkg", "id", "severity", "summary", F.inline(nodes)), "nodes")
+    levels = covered.groupBy("pkg").agg(F.max("level").alias("top"))
+    asked = ranked.where("bound = 0").join(levels, "pkg").select("pkg", "v", "rank", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
+    asked = asked.select("pkg", "v", "level", F.floor(F.col("rank") / F.pow(F.lit(2.0), F.col("level"))).cast("int").alias("node"))
+    return asked.join(covered, ["pkg", "level", "node"]).select("pkg", "v", "id", "severity", "summary")
 
 
 def known_cve(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:

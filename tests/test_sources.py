@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,41 @@ def test_a_hot_declaration(spark, monkeypatch, rows_broadcast):
     assert plan.count("/deps-") == 1 and ("salt" in plan) == (rows_broadcast == 0)
 
 
+def _dotted(key):
+    return ".".join(map(str, key))
+
+
+def test_versions_are_looked_up_in_wide_packages(spark):
+    """One package of 10,000 advisories, some of which nest and overlap, and one version that all targets declare."""
+    rnd = random.Random(7)
+    n = 10_000
+    ranges = []
+    for i in range(n):
+        lo = (rnd.randint(0, 200), rnd.randint(0, 9), rnd.randint(0, 3))
+        size = rnd.choice([0, 0, 0, 1, 150])
+        ranges.append(("wide", f"A{i}", rnd.choice(["high", "low"]), lo, (lo[0] + size, lo[1] + 1, rnd.randint(0, 3)), f"s{i % 7}"))
+    ranges += [("wide", "A0", "critical", (0, 0, 0), (300, 0, 0), "a"), ("wide", "A0", "low", (5, 0, 0), (6, 0, 0), "zz")]
+    ranges += [("narrow", "N", "high", (1, 0, 0), (2, 0, 0), "s"), ("wide", "odd", "high", (9, 0, 0), (3, 0, 0), "never")]
+    versions = [(rnd.randint(0, 360), rnd.randint(0, 9), rnd.randint(0, 3)) for _ in range(40)] + [(5, 0, 0), (6, 0, 0), (0, 0, 0)]
+    everywhere = (500, 1, 0)
+    rows = [(k, "m", "wide", f"^{_dotted(v)}") for k, v in enumerate(versions)]
+    rows += [(k, "m", "wide", _dotted(everywhere)) for k in range(1000, 3000)] + [(5000, "m", "narrow", "1.5.0"), (5001, "m", "other", "1.5.0"), (5002, "m", "wide", "latest")]
+    ranges.append(("wide", "last", "low", (500, 0, 0), (501, 0, 0), "t"))
+    deps = spark.createDataFrame(rows, "target_id bigint, manifest_path string, pkg string, declared string")
+    adv = spark.createDataFrame([(p, i, s, _dotted(lo), _dotted(fixed), t) for p, i, s, lo, fixed, t in ranges], "pkg string, id string, severity string, lo string, fixed string, summary string")
+    want = {}
+    for k, _, pkg, declared in rows:
+        v = tuple(map(int, declared.lstrip("^").split("."))) if declared != "latest" else None
+        for p, i, s, lo, fixed, t in ranges if k < 1000 or k >= 3000 else ranges[-1:]:
+            if v and p == pkg and lo <= v < fixed:
+                old = want.get((k, i), (s, t))
+                want[k, i] = (min(old[0], s), min(old[1], t))
+    out = target_rules.match_advisories(deps, adv)
+    assert out.columns == [*deps.columns, "id", "severity", "summary", "version"]
+    got = out.collect()
+    assert len(got) == len(want) and {(r.target_id, r.id): (r.severity, r.summary) for r in got} == want
+
+
 def _stored_deps(spark, deps):
     return materialize(deps, "deps")
 
