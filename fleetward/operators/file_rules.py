@@ -504,6 +504,24 @@ def hits_of(rules: Sequence[FileRule]) -> Column:
     return F.flatten(F.array(*arrays)) if len(arrays) > 1 else arrays[0]
 
 
+def guarded_hits(rule: FileRule) -> Column:
+    """Hits of a rule on one file, empty where it does not apply, and null where it fails.
+
+    The rule is evaluated as the argument of a function that yields null if its argument cannot be computed, inside a
+    lambda, so that no part of it is computed before.
+    """
+    c = columns()
+    fields = {"path": c.path, "content": c.content, "lower": c.lower, "calls": c.calls}
+
+    def judged(f: Column) -> Column:
+        inside = FileColumns(*[f[name] for name in fields])
+        applies = (F.coalesce(inside.content, F.lit("")) != "") & rule.applies(inside.path)
+        return F.try_to_binary(F.to_json(F.when(applies, rule.hits(inside)).otherwise(no_hits())), F.lit("utf-8"))
+
+    made = let(F.struct(*[v.alias(k) for k, v in fields.items()]), judged)
+    return F.from_json(made.cast("string"), NO_HITS)
+
+
 def run_rule(files: DataFrame, rule: FileRule) -> DataFrame:
     """One rule alone: path test first, text tests on what is left."""
     gated = files.where(rule.applies(F.col("path")) & (F.col("content") != ""))

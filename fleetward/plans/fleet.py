@@ -47,6 +47,7 @@ class FleetResult:
     passes: DataFrame
     graded: DataFrame
     engines: DataFrame
+    failed: DataFrame  # added file rules that could not be computed, by target, with the number of files
     run: Run  # holds the tables above; drop it once the results are written
     variants: Mapping[str, Variant] = field(default_factory=lambda: VARIANTS)
 
@@ -86,41 +87,44 @@ def _scan_columns(spark: SparkSession) -> tuple[Column, Column]:
     return _scan_expressions[app]
 
 
-def scan_files(files: DataFrame, extra: Sequence[FileRule] = ()) -> DataFrame:
-    """One pass: ``target_id, hits, facts`` for each file that has any."""
-    prepared = file_rules.file_columns(file_source.scannable(files), True)
-    hits, facts = _scan_columns(files.sparkSession)
-    added = []
-    for rule in extra:
+def _buildable(prepared: DataFrame, rules: Sequence[FileRule]) -> list[tuple[str, Column]]:
+    """Guarded hits of the added rules whose expressions can be built over the file columns."""
+    out = []
+    for rule in rules:
         try:
-            added.append(_without_raw(file_rules.hits_of([rule])))
+            hits = file_rules.guarded_hits(rule)
+            prepared.select(hits)
+            out.append((rule.key, hits))
         except Exception as error:  # noqa: BLE001 - a broken rule must not stop the others
             log.warning("file rule %s skipped: %s", rule.key, error)
+    return out
+
+
+def scan_files(files: DataFrame, extra: Sequence[FileRule] = ()) -> DataFrame:
+    """One pass: ``target_id, hits, facts, failed`` for each file that has any.
+
+    ``failed`` names the added rules that could not be computed on a file; the file's other hits stand.
+    """
+    prepared = file_rules.file_columns(file_source.scannable(files), True)
+    hits, facts = _scan_columns(files.sparkSession)
+    added = _buildable(prepared, extra)
+    failed = F.array().cast("array<string>")
     if added:
-        hits = F.flatten(F.array(hits, *added))
+        # every rule is computed once: its hits first, what follows reads them
+        results = F.struct(*[h.alias(f"rule{i}") for i, (_, h) in enumerate(added)])
+        prepared = prepared.select("*", F.inline(F.array(F.struct(results.alias("added")))))
+        own = [F.col(f"added.rule{i}") for i in range(len(added))]
+        hits = F.flatten(F.array(hits, *[_without_raw(F.coalesce(h, file_rules.no_hits())) for h in own]))
+        failed = F.filter(F.array(*[F.when(h.isNull(), F.lit(key)) for h, (key, _) in zip(own, added, strict=True)]), lambda k: k.isNotNull())
     # ``inline`` keeps the filter from being pushed into the arrays, which would
     # compute them a second time.
-    both = F.inline(F.array(F.struct(hits.alias("hits"), facts.alias("facts"))))
-    return prepared.select("target_id", both).where((F.size("hits") > 0) | (F.size("facts") > 0))
-
-
-def _stage_scan(fleet: Fleet, run: Run) -> DataFrame:
-    """The pass over the files.  If it fails with added rules, each of them is tried alone, and the failing ones go."""
-    extra = list(fleet.extra_file_rules)
-    try:
-        return run.stage(scan_files(fleet.files, extra), "scan")
-    except Exception:  # noqa: BLE001 - told apart below
-        if not extra:
-            raise
-    sound = []
-    for rule in extra:
-        try:
-            alone = file_rules.run_rule(file_source.scannable(fleet.files), rule)
-            alone.write.format("noop").mode("overwrite").save()
-            sound.append(rule)
-        except Exception as error:  # noqa: BLE001 - a broken rule must not stop the others
-            log.warning("file rule %s skipped: %s", rule.key, error)
-    return run.stage(scan_files(fleet.files, sound), "scan-without-failing-rules")
+    both = F.inline(F.array(F.struct(hits.alias("hits"), facts.alias("facts"), failed.alias("failed"))))
+    return prepared.select("target_id", both).where((F.size("hits") > 0) | (F.size("facts") > 0) | (F.size("failed") > 0))
+
+
+def failures(staged: DataFrame) -> DataFrame:
+    """``target_id, rule, files``: on how many files of a target an added rule failed."""
+    return staged.select("target_id", F.explode("failed").alias("rule")).groupBy("target_id", "rule").agg(F.count("*").alias("files"))
 
 
 def whitebox_rules() -> list[Rule]:
@@ -163,8 +167,8 @@ def blackbox_rules() -> list[Rule]:
     ]
 
 
-def _whitebox(fleet: Fleet, run: Run) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    staged = _stage_scan(fleet, run)
+def _whitebox(fleet: Fleet, run: Run) -> tuple[list[DataFrame], list[DataFrame], DataFrame, DataFrame]:
+    staged = run.stage(scan_files(fleet.files, fleet.extra_file_rules), "scan")
     facts = staged.select("target_id", F.inline("facts"))
     hits = staged.select("target_id", F.inline("hits"))
     manifests = file_source.manifests(
@@ -178,7 +182,7 @@ def _whitebox(fleet: Fleet, run: Run) -> tuple[list[DataFrame], list[DataFrame],
         for df in run_isolated([*whitebox_rules(), *(r for r in fleet.extra_rules if r.applies_to("repo"))], tables)
     ]
     secrets = hits.where(F.startswith(F.col("variant"), F.lit("secret_")))
-    return findings, [target_rules.good_practices(manifests, facts)], secrets
+    return findings, [target_rules.good_practices(manifests, facts)], secrets, failures(staged)
 
 
 def _blackbox(fleet: Fleet, run: Run) -> tuple[list[DataFrame], list[DataFrame], DataFrame, DataFrame]:
@@ -233,8 +237,9 @@ def scan_fleet(fleet: Fleet, skip_engines: bool = False) -> FleetResult:
     work, run = Run(spark, "scan-work"), Run(spark, "scan-result")
     findings: list[DataFrame] = []
     passes: list[DataFrame] = []
+    failed = spark.createDataFrame([], "target_id bigint, rule string, files bigint")
     if fleet.files is not None:
-        found, passed, secrets = _whitebox(fleet, work)
+        found, passed, secrets, failed = _whitebox(fleet, work)
         findings += found
         passes += passed
         passes.append(pass_rules.no_secrets(fleet.targets.where(F.col("type") == "repo"), secrets))
@@ -259,6 +264,7 @@ def scan_fleet(fleet: Fleet, skip_engines: bool = False) -> FleetResult:
         passes=run.stage(pass_rules.pass_dedupe(union_all(passes)), "passes"),
         graded=grading.grade(valid, fleet.targets),
         engines=run.stage(engines, "engines"),
+        failed=run.stage(failed, "failed"),
         run=run,
         variants=variants,
     )

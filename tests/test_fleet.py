@@ -154,9 +154,48 @@ def test_added_rules_are_published(spark, make_files):
     got = {(r.rule_id, r.title, r.category, r.mode) for r in result.published().collect()}
     assert {("OWN_FILE", "Own title x", "auth", "whitebox"), ("OWN_TARGET", "Own title ", "auth", "whitebox")} <= got
     assert any(r[0] == "INJECTION_COMMAND" for r in got)
+    assert [tuple(r) for r in result.failed.orderBy("rule").collect()] == [(1, "raising", 2)]
     result.run.drop()
 
 
+def test_a_failing_rule_costs_no_second_scan(spark, make_files):
+    """Errors are caught per file and rule in the one pass; what a rule finds on other files stands."""
+    def file_rule(key, hits):
+        return FileRule(key, key, lambda path: path.endswith(".ts"), hits, variants={"own_file": OWN._replace(rule_id="OWN_FILE")})
+
+    def divides(f):
+        from fleetward.schema import hit
+
+        return F.array(hit("own_file", file=f.path, line=(F.lit(6) / (F.length(f.content) - 3)).cast("int"), params=[f.calls[0]["callee"]]))
+
+    def raises(f):
+        from fleetward.schema import hit
+
+        return F.array(hit("own_file", file=F.raise_error(F.concat(F.lit("no "), f.path))))
+
+    files = make_files({1: {"a.ts": "exec(x)", "b.ts": "odd"}, 2: {"c.ts": "odd", "d.txt": "odd"}, 3: {"e.ts": "exec(yy)"}})
+    scans = spark.sparkContext.accumulator(0)
+    counted = spark.createDataFrame(files.collect(), files.schema).mapInArrow(_counting(scans), files.schema)
+    targets = spark.createDataFrame([(i, "repo", "v") for i in (1, 2, 3)], "target_id bigint, type string, value string")
+    rules = [file_rule("divides", divides), file_rule("raises", raises)]
+    result = fp.scan_fleet(fp.Fleet(targets, counted, extra_file_rules=rules))
+    own = sorted((r.target_id, r.file, r.line, r.params[0]) for r in result.findings.where("rule_id = 'OWN_FILE'").collect())
+    assert own == [(1, "a.ts", 1, "exec"), (3, "e.ts", 1, "exec")]
+    failed = sorted(tuple(r) for r in result.failed.collect())
+    assert failed == [(1, "divides", 1), (1, "raises", 2), (2, "divides", 1), (2, "raises", 1), (3, "raises", 1)]
+    assert scans.value == 5  # every file was read once
+    result.run.drop()
+
+
+def _counting(scans):
+    def run(batches):
+        for rows in batches:
+            scans.add(rows.num_rows)
+            yield rows
+
+    return run
+
+
 def test_unknown_variants_are_errors(spark, make_files):
     from fleetward.schema import complete, hit, one_hit
 
