@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import lists
 from ..functions import paths
+from ..plans.staging import materialize
 
 _MANIFEST_SCHEMA = "struct<dependencies:map<string,string>,devDependencies:map<string,string>,_broken:string>"
 
@@ -20,13 +23,15 @@ def size_cap(content: Column) -> Column:
     return F.when(F.octet_length(content) < lists.MAX_FILE_BYTES, content)
 
 
-_LISTED = "target_id bigint, root string, path string, n_bytes bigint"
+_LISTED = "target_id bigint, root string, path string, n_bytes bigint, folder boolean"
 _READ = "target_id bigint, path string, n_bytes bigint, content string"
 _BATCH_BYTES = 16 * 1024 * 1024
 _BATCH_NAMES = 10_000
+#: Names below a folder that a task lists before it hands the folders that are left to other tasks.
+_FRONTIER_NAMES = 10_000
 
 
-def _tasks(batch_names: int, batch_bytes: int):
+def _tasks(batch_names: int, batch_bytes: int, frontier_names: int):
     """(list, read) functions for tasks.
 
     They are closures over plain values, so workers need Arrow and pandas but not
@@ -39,21 +44,28 @@ def _tasks(batch_names: int, batch_bytes: int):
         return fs.LocalFileSystem(), root.rstrip("/")
 
     def list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Names and sizes only, dotfiles included.
+        # Names and sizes only, dotfiles included, no links.  Folders that are left are rows, too.
+        columns = ["target_id", "root", "path", "n_bytes", "folder"]
         for batch in batches:
-            for target_id, root in zip(batch["target_id"], batch["root"]):
+            for target_id, root, start in zip(batch["target_id"], batch["root"], batch["path"]):
                 store, base = opened(root)
-                columns = ["target_id", "root", "path", "n_bytes"]
-                folders, rows = [base], []
-                while folders:  # one folder at a time, so that no tree is held whole
-                    for info in store.get_file_info(fs.FileSelector(folders.pop())):
+                folders, rows, listed = deque([start]), [], 0
+                local = isinstance(store, fs.LocalFileSystem)
+                while folders and listed < frontier_names:
+                    folder = folders.popleft()
+                    for info in store.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base)):
+                        path = info.path[len(base) :].lstrip("/")
+                        listed += 1
+                        if local and os.path.islink(info.path):
+                            continue
                         if info.type == fs.FileType.Directory:
-                            folders.append(info.path)
+                            folders.append(path)
                         elif info.type == fs.FileType.File:
-                            rows.append((target_id, root, info.path[len(base) :].lstrip("/"), info.size))
+                            rows.append((target_id, root, path, info.size, False))
                         if len(rows) >= batch_names:
                             yield pd.DataFrame(rows, columns=columns)
                             rows = []
+                rows += [(target_id, root, path, 0, True) for path in folders]
                 yield pd.DataFrame(rows, columns=columns)
 
     def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,18 +88,37 @@ def _tasks(batch_names: int, batch_bytes: int):
     return list_files, read_files
 
 
+def list_repositories(roots: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``target_id, root, path, n_bytes`` of all regular files below ``roots(target_id, root)``.
+
+    Folders are listed round by round: a task lists what is below a folder up to ``_FRONTIER_NAMES`` names, and the
+    folders that are left are dealt to all tasks of the next round.  A small repository takes one round, a large one is
+    spread over the cluster, and a lost executor repeats its part of a round.
+    """
+    spark = roots.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    list_files, _ = _tasks(_BATCH_NAMES, _BATCH_BYTES, _FRONTIER_NAMES)
+    frontier = roots.select("target_id", "root", F.lit("").alias("path"))
+    found = None
+    while found is None or not frontier.isEmpty():
+        listed = materialize(frontier.repartition(n).mapInPandas(list_files, _LISTED), "listed")
+        files = listed.where(~F.col("folder")).drop("folder")
+        found = files if found is None else found.unionByName(files)
+        frontier = listed.where("folder").select("target_id", "root", "path")
+    return found
+
+
 def read_repositories(roots: DataFrame, partitions: int | None = None) -> DataFrame:
     """All regular files below ``roots(target_id, root)`` in storage every executor sees.
 
     Spark's own file sources leave out names that start with a dot, which matter
     here, so tasks list and read through Arrow.  Listing moves names only; the names
-    are then spread over all tasks, so one huge repository is read by many of them.
+    are then spread over all tasks, so one huge repository is listed and read by many of them.
     Bytes that are not valid UTF-8 become replacement characters.
     """
     n = partitions or int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    list_files, read_files = _tasks(_BATCH_NAMES, _BATCH_BYTES)
-    listed = roots.select("target_id", "root").mapInPandas(list_files, _LISTED)
-    return listed.repartition(n, "target_id", "path").mapInPandas(read_files, _READ)
+    _, read_files = _tasks(_BATCH_NAMES, _BATCH_BYTES, _FRONTIER_NAMES)
+    return list_repositories(roots, n).repartition(n, "target_id", "path").mapInPandas(read_files, _READ)
 
 
 def read_directory(spark: SparkSession, root: str, target_id: int = 0) -> DataFrame:

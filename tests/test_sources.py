@@ -74,6 +74,28 @@ def test_committed_env_text_depends_on_gitignore(make_files):
     assert sorted((r.target_id, "history" in r.why) for r in out) == [(1, False), (2, True), (5, False)]
 
 
+@pytest.mark.parametrize("names", [1, 7, 10_000])
+def test_large_repositories_are_listed_by_many_tasks(spark, tmp_path, monkeypatch, names):
+    monkeypatch.setattr(fs, "_FRONTIER_NAMES", names)
+    rnd = random.Random(names)
+    folders = [tmp_path / "one", tmp_path / "two"]
+    for _ in range(25):
+        folders.append(rnd.choice(folders) / f".d{rnd.randint(0, 9)}")
+    want = set()
+    for i, folder in enumerate(folders):
+        folder.mkdir(parents=True, exist_ok=True)
+        for k in range(i % 4):
+            (folder / f"f{k}.txt").write_text("x" * i)
+    (tmp_path / "one" / "link").symlink_to(tmp_path / "two")
+    (tmp_path / "empty").mkdir()
+    for t, name in enumerate(["one", "two", "empty"]):
+        want |= {(t, str(p.relative_to(tmp_path / name)), p.stat().st_size) for p in (tmp_path / name).rglob("*") if p.is_file()}
+    roots = spark.createDataFrame([(0, f"{tmp_path}/one"), (1, f"{tmp_path}/two/"), (2, f"{tmp_path}/empty")], "target_id bigint, root string")
+    listed = fs.list_repositories(roots)
+    assert {(r.target_id, r.path, r.n_bytes) for r in listed.collect()} == want and listed.count() == len(want)
+    assert (listed._jdf.queryExecution().optimizedPlan().toString().count("Relation") > 1) == (names < 10_000)  # rounds
+
+
 def test_advisory_ranges_equal_brute_force(spark):
     import itertools
 
