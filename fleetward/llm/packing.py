@@ -5,10 +5,12 @@ packing with integer sizes.  The pieces are dealt evenly over tasks, ``PER_TASK`
 on average that wastes less than one sequence per task, some hundredths of a percent, and bounds memory at any size.
 
 Within a task, best-fit decreasing gives the first incumbent.  Bin completion then fills one sequence after another
-around the largest document left, choosing among undominated fillings (a filling is dominated if one of its documents,
-or two of them together, could be replaced by a larger one that still fits, or if another document still fits).  A branch is cut once
-the waste so far exceeds what a better solution than the incumbent may waste; a better solution becomes the incumbent.
-The search ends when the incumbent meets the bound ``ceil(tokens / capacity)``, or after ``steps`` fillings per piece.
+around the largest document left, trying all undominated fillings (a filling is dominated if one of its documents, or
+two of them together, could be replaced by a larger one that still fits, or if another document still fits).  They are
+enumerated as they are asked for, those of the largest documents first.  A branch is cut once the waste so far exceeds
+what a better solution than the incumbent may waste; a better solution becomes the incumbent.  The search ends when the
+incumbent meets the bound ``ceil(tokens / capacity)``, when everything has been tried, or after ``steps`` documents tried
+per piece: nothing else limits it.
 
 Token ids are those of the ``tokenizers`` library for the given file, without special tokens around the text.
 ``tiktoken`` computes them from that file's vocabulary, four times as fast; a test compares the two libraries over texts
@@ -22,6 +24,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,8 @@ from fleetward.plans.staging import materialize
 CAPACITY = 1024
 #: Pieces packed by one task.
 PER_TASK = 20_000
-#: Fillings tried per piece, documents tried at each place of a filling, fillings kept for each sequence.
-STEPS, WIDTH, KEPT = 4, 3, 3
+#: Documents tried per piece; sizes tried at each place of a filling before more are, steps between two fillings.
+STEPS, WIDTH, BURST = 32, 3, 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -142,49 +145,91 @@ class Sizes:
         return bool(self.mask >> low & ((1 << (high - low + 1)) - 1)) if low <= high else False
 
 
-def fillings(left: Sizes, room: int, width: int = WIDTH, kept: int = KEPT) -> list[tuple[int, list[int]]]:
-    """Undominated fillings of ``room`` as (waste, sizes), least waste first."""
-    found: list[tuple[int, list[int]]] = []
-
-    def dominated(chosen: list[int], waste: int) -> bool:
-        if left.between(1, waste):
-            return True
-        if waste and any(left.between(c + 1, c + waste) for c in chosen):
-            return True
-        pairs = {a + b for i, a in enumerate(chosen) for b in chosen[:i]}
-        return any(left.between(p, p + waste) for p in pairs)
-
-    def fill(chosen: list[int], room: int, top: int) -> bool:
-        """True once a filling without waste was found: nothing beats its waste."""
-        size = left.up_to(min(room, top))
-        if not size:
-            if not dominated(chosen, room):
-                found.append((room, list(chosen)))
-            return not room and bool(found) and found[-1][0] == 0
-        for _ in range(width):
-            left.take(size)
-            chosen.append(size)
-            exact = fill(chosen, room - size, size)
-            chosen.pop()
-            left.put(size)
-            if exact:
-                return True
-            size = left.up_to(size - 1)
-            if not size:
-                break
-        return False
+class Budget:
+    """Steps that are left."""
 
-    fill([], room, room)
-    if not found:  # the widths left out every undominated one: fill greedily
-        chosen, rest = [], room
-        while size := left.up_to(rest):
-            left.take(size)
+    def __init__(self, steps: int) -> None:
+        self.left = steps
+
+
+def _maximal(left: Sizes, room: int, width: int, budget: Budget) -> Iterator[tuple[int, list[int]] | None]:
+    """(waste, sizes) that take no further size, with the ``width`` largest that fit at each place; None if sizes were left out.
+
+    ``left`` is only read, so it may change while the next one is not yet asked for, as long as it changes back.
+    """
+    chosen: list[int] = []
+    tried = [0]
+    rest = top = room
+    narrow = False
+    while budget.left > 0:
+        size = left.up_to(min(rest, top))
+        if chosen and size == chosen[-1] and chosen.count(size) >= left.count[size]:
+            size = left.up_to(size - 1)
+        if size and tried[-1] < width:
+            budget.left -= 1
+            tried[-1] += 1
+            tried.append(0)
             chosen.append(size)
             rest -= size
-        for size in chosen:
-            left.put(size)
-        found = [(rest, chosen)]
-    return sorted(found, key=lambda f: f[0])[:kept]
+            top = size
+            continue
+        if size:
+            narrow = True
+        elif not tried[-1]:
+            yield rest, list(chosen)
+        if not chosen:
+            break
+        tried.pop()
+        last = chosen.pop()
+        rest += last
+        top = last - 1
+    if narrow and budget.left > 0:
+        yield None
+
+
+def _dominated(left: Sizes, chosen: list[int], waste: int) -> bool:
+    for size in chosen:
+        left.take(size)
+    found = (
+        left.between(1, waste)
+        or (waste > 0 and any(left.between(c + 1, c + waste) for c in chosen))
+        or any(left.between(p, p + waste) for p in {a + b for i, a in enumerate(chosen) for b in chosen[:i]})
+    )
+    for size in chosen:
+        left.put(size)
+    return found
+
+
+def fillings(left: Sizes, room: int, most: int, budget: Budget) -> Iterator[tuple[int, list[int]]]:
+    """All undominated fillings of ``room`` with a waste up to ``most``, as (waste, sizes).
+
+    Those of the largest sizes at each place are looked at first, then of more and more sizes, until all have been.  One
+    without waste is handed out at once; otherwise the least wasteful of every ``BURST`` steps.
+    """
+    width, seen = WIDTH, set()
+    while True:
+        found: list[tuple[int, list[int]]] = []
+        narrow, since = False, budget.left
+        for leaf in _maximal(left, room, width, budget):
+            if leaf is None:
+                narrow = True
+                break
+            waste, chosen = leaf
+            if waste <= most and tuple(chosen) not in seen and not _dominated(left, chosen, waste):
+                seen.add(tuple(chosen))
+                if not waste:
+                    yield leaf
+                    since = budget.left
+                else:
+                    heappush(found, leaf)
+            if found and since - budget.left > BURST:
+                yield heappop(found)
+                since = budget.left
+        while found:
+            yield heappop(found)
+        if not narrow:
+            return
+        width *= 2
 
 
 def bin_completion(sizes: list[int], capacity: int = CAPACITY, steps: int = STEPS) -> list[list[int]]:
@@ -192,37 +237,48 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, steps: int = STEP
     best = best_fit(sizes, capacity)
     total = sum(sizes)
     bound = -(-total // capacity)
-    budget = steps * len(sizes)
+    budget = Budget(steps * len(sizes))
     left = Sizes(sizes, capacity)
     path: list[list[int]] = []  # sequences filled so far
-    options: list[list[list[int]]] = []  # what else may fill each of them
+    options: list[tuple[int, Iterator[tuple[int, list[int]]]]] = []  # the largest size of each, and what may fill the rest
     wasted = [0]
-    while len(best) > bound and budget > 0:
-        allowed = (len(best) - 1) * capacity - total  # waste of a solution with one sequence less
-        if left.mask:
-            largest = left.up_to(capacity)
-            left.take(largest)
-            found = fillings(left, capacity - largest)
-            left.put(largest)
-            budget -= 1
-            options.append([[largest, *chosen] for waste, chosen in reversed(found) if wasted[-1] + waste <= allowed])
-        else:
-            if len(path) < len(best):
-                best = [list(p) for p in path]
-            options.append([])
-        while options and not options[-1]:  # step back to a place with a choice left
+
+    def allowed() -> int:
+        """What a solution with one sequence less may still waste."""
+        return (len(best) - 1) * capacity - total - wasted[-1]
+
+    def descend() -> None:
+        largest = left.up_to(capacity)
+        left.take(largest)
+        options.append((largest, fillings(left, capacity - largest, allowed(), budget)))
+
+    if sizes:
+        descend()
+    while len(best) > bound and budget.left > 0 and options:
+        largest, more = options[-1]  # its largest size is taken; what fills the rest of an earlier choice is not
+        found = next(more, None)
+        if found is None or found[0] > allowed():
             options.pop()
+            left.put(largest)
             if path:
-                for size in path.pop():
+                for size in path.pop()[1:]:
                     left.put(size)
                 wasted.pop()
-        if not options:
-            break
-        chosen = options[-1].pop()
+            continue
+        budget.left -= 1
+        waste, chosen = found
         for size in chosen:
             left.take(size)
-        path.append(chosen)
-        wasted.append(wasted[-1] + capacity - sum(chosen))
+        path.append([largest, *chosen])
+        wasted.append(wasted[-1] + waste)
+        if left.mask:
+            descend()
+            continue
+        if len(path) < len(best):
+            best = [list(p) for p in path]
+        for size in path.pop()[1:]:
+            left.put(size)
+        wasted.pop()
     return best
 
 
