@@ -8,8 +8,8 @@ are scaled to pages; as propagation moves mass away from the seeds, a host's own
 than the score it ends with.  A host is blocked if its distrust is above its trust and reaches ``SHARE`` of its own pages.
 
 Edges are hosts of pages and of the links in their HTML, with the number of links; links without a host of their own
-stay on their page's and are no edge.  Each round is a join and a sum over edges, written to a table; rounds end when
-little moves.
+stay on their page's and are no edge.  Each round is a join and a sum over edges, written to a table.  Rounds go on,
+however long the chains of links are, until all that may still move is less than ``PRECISION`` pages.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed, as are
 hosts that neither trust nor distrust reaches; null HTML has no link; rows that repeat an id are judged one by one; an
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +46,10 @@ RULES = (
     Rule("net", "/es/", "block"),
     Rule("net", "/fr/", "block"),
 )
-#: Part of the score that a link passes on, most rounds, movement that ends them, share of pages that blocks a host.
-DAMPING, ROUNDS, STILL, SHARE = 0.85, 30, 1e-4, 0.5
+#: Part of the score that a link passes on, pages to which scores are exact, share of pages that blocks a host.
+DAMPING, PRECISION, SHARE = 0.85, 1e-2, 0.5
+#: Movement, as a part of all score, below which rounding is all that is left.
+_ROUNDING = 1e-14
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"(?i)<a\s[^>]*?\bhref\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]*)"
 
@@ -76,11 +79,12 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, still: float = STILL) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, still: float = _ROUNDING, rounds: int | None = None) -> DataFrame:
     """``kind, host, score``: personalised PageRank of ``trust`` along, and of ``distrust`` against ``src, dst, links``.
 
     ``seeds``: ``kind, host, seed``, summing to 1 per kind.  Score that reaches a host without a way on returns to the
-    seeds, so scores keep summing to 1.
+    seeds, so scores keep summing to 1.  A round passes on ``damping`` of what moved in the one before, so rounds end by
+    themselves; they end when all later ones together move less than ``still``, or after ``rounds`` if that is given.
     """
     edges = materialize(edges, "host-edges")
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links").unionByName(
@@ -92,7 +96,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     ranks = seeds.withColumnRenamed("seed", "score")
     if not flow.head(1):
         return ranks
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         moved = ranks.join(flow, ["kind", "host"]).groupBy("kind", "to").agg(F.sum(F.col("score") * F.col("part")).alias("moved"))
         moved = materialize(moved.withColumnRenamed("to", "host"), "moved")
         kept = {r.kind: r.all for r in moved.groupBy("kind").agg(F.sum("moved").alias("all")).collect()}
@@ -107,7 +111,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
             F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
         )
         ranks = new
-        if (change.first()[0] or 0.0) < still:
+        if (change.first()[0] or 0.0) * damping / (1 - damping) < max(still, _ROUNDING):
             break
     return ranks
 
@@ -137,7 +141,7 @@ def filter_urls(
         hosts.where(F.col(kind) > 0).select(F.lit(kind).alias("kind"), "host", (F.col(kind) / F.lit(max(1, total[kind]))).alias("seed"))
         for kind in total
     ]
-    ranks = propagate(host_edges(pages, url_col, html_col), seeds[0].unionByName(seeds[1]))
+    ranks = propagate(host_edges(pages, url_col, html_col), seeds[0].unionByName(seeds[1]), still=PRECISION / max(1, *total.values()))
     scores = ranks.groupBy("host").agg(
         *(F.sum(F.when(F.col("kind") == kind, F.col("score") * total[kind]).otherwise(0.0)).alias(f"{kind}_score") for kind in total)
     )

@@ -77,6 +77,17 @@ def test_scores_are_personalised_pagerank(spark):
         assert got.get(("distrust", h), 0.0) == pytest.approx(against[h], abs=1e-6)
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """Hosts 35 links away from a blocked one: rounds have no cap, so the sums are those of the whole chain."""
+    n, pages = 35, 5
+    chain = [(f"h{i}", f"h{i - 1}", 1) for i in range(1, n + 1)]
+    seeds = spark.createDataFrame([("distrust", "h0", 1.0)], "kind string, host string, seed double")
+    df = spark.createDataFrame(chain, "src string, dst string, links long")
+    got = {r.host: r.score * pages for r in uf.propagate(df, seeds, still=uf.PRECISION / pages).collect()}
+    want = dense({(b, a): k for a, b, k in chain}, {"h0": 1.0}, [f"h{i}" for i in range(n + 1)])
+    assert sum(abs(got.get(h, 0.0) - want[h] * pages) for h in want) < uf.PRECISION and got[f"h{n}"] > 0
+
+
 def test_links_to_blocked_hosts_block(spark):
     def page(*links):
         return "<html>" + "".join(f'<A class=x HREF="{u}">t</a>' for u in links) + '<a href="/own">o</a><a href=mailto:a@b.c>'
