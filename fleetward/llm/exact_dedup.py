@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetward.llm.lost import bounded, unused
 from fleetward.plans.staging import materialize
 
 #: A digest with more than one in so many rows is handled without a shuffle; also the bound of the broadcast rows.
@@ -59,7 +60,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    lost = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
-    same = docs[id_col].eqNullSafe(lost["__id"]) & (text_digest(docs[text_col]) == lost["__digest"])
-    return docs.join(lost.distinct(), same, "left_anti")
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
+
+    The rows that go are few and narrow: they are broadcast below a count, so that texts need no shuffle.
+    """
+    key, digest = unused("id"), unused("digest")
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept"))
+    lost = bounded(gone.select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest)).distinct())
+    same = docs[id_col].eqNullSafe(F.col(key)) & (text_digest(docs[text_col]) == F.col(digest))
+    return docs.join(lost, same, "left_anti")

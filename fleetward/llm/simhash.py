@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetward.llm.components import Forest, connected_components
+from fleetward.llm.lost import bounded, unused
 from fleetward.plans.staging import materialize
 
 BITS = 64
@@ -210,6 +211,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A document that repeats with unlike texts goes only if none of them is its group's first; rows without an id stay.
     """
+    key = unused("id")
     found = simhash_dedup(docs, id_col, text_col, words, radius).where(F.col(id_col).isNotNull())
-    lost = found.groupBy(F.col(id_col).alias("__lost")).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("first"))
-    return docs.join(lost.where("not first"), docs[id_col] == F.col("__lost"), "left_anti")
+    firsts = found.groupBy(F.col(id_col).alias(key)).agg(F.bool_or(F.col(id_col) == F.col("component_id")).alias("first"))
+    return docs.join(bounded(firsts.where("not first").select(key)), docs[id_col] == F.col(key), "left_anti")

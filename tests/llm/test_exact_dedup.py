@@ -7,6 +7,7 @@ import re
 import pytest
 
 from fleetward.llm import exact_dedup as ex
+from fleetward.llm import lost
 
 
 def brute(rows):
@@ -40,9 +41,11 @@ def test_groups(spark, counters):
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, brute(rows)))
 
 
-def test_rows_that_stay(spark):
+@pytest.mark.parametrize("most", [lost.BROADCAST_ROWS, 0])
+def test_rows_that_stay(spark, monkeypatch, most):
+    monkeypatch.setattr(lost, "BROADCAST_ROWS", most)  # broadcast, or not
     rows = sample(1)
-    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, digest int")
+    df = spark.createDataFrame([(i, t, k, "x", "y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, digest int, __id string, kept string")
     got = ex.drop_copies(df)
     assert got.columns == df.columns
     assert sorted(r.digest for r in got.collect()) == [k for k, b in enumerate(brute(rows)) if b[3]]

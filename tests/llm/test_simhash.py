@@ -5,7 +5,7 @@ import random
 import pytest
 import xxhash
 
-from fleetward.llm import simhash
+from fleetward.llm import lost, simhash
 from fleetward.llm.components import connected_components
 
 
@@ -92,8 +92,11 @@ def test_empty_table(spark):
     assert simhash.simhash_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_one_of_each_group_stays(spark):
+@pytest.mark.parametrize("most", [lost.BROADCAST_ROWS, 0])
+def test_one_of_each_group_stays(spark, monkeypatch, most):
+    monkeypatch.setattr(lost, "BROADCAST_ROWS", most)
     rows = [(3, "a b c d", 1), (1, "a b c d", 2), (2, "q w e r t y u i o p", 3), (None, "q w e r t y u i o p", 4)]
-    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, n long"))
-    assert got.columns == ["doc_id", "text", "n"]
+    df = spark.createDataFrame([(*r, "x", True) for r in rows], "doc_id long, text string, n long, __lost string, first boolean")
+    got = simhash.drop_near_copies(df)
+    assert got.columns == df.columns
     assert sorted(r.n for r in got.collect()) == [2, 3, 4]
