@@ -47,7 +47,7 @@ RULES = (
     Rule("net", "/fr/", "block"),
 )
 #: Part of the score that a link passes on, pages to which scores are exact, share of pages that blocks a host.
-DAMPING, PRECISION, SHARE = 0.85, 1e-2, 0.5
+DAMPING, PRECISION, SHARE = 0.85, 0.1, 0.5
 #: Movement, as a part of all score, below which rounding is all that is left.
 _ROUNDING = 1e-14
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
