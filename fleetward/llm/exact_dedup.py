@@ -7,18 +7,19 @@ for its digest; all later steps work on a narrow table of (id, digest).
    rows has.  It may name others too, so the candidates are counted exactly.
 2. The verified heavy digests, at most ``counters`` rows by construction, are broadcast: their rows get their winner
    where they are, without a shuffle.
-3. The other digests are shuffled.  None of their groups holds more than one in ``counters`` rows, so a window over a
-   group is bounded by that share.
+3. The other digests are shuffled: minima and counts of a group combine before the shuffle, and groups of more than one
+   row are joined back to their rows.  Both sides of that join are plain exchanges of written tables, so the engine can
+   split a group among tasks; no group is ever sorted or held as a whole.
 
 Defined results: a null text counts as empty; a null id never wins against another id, and a group of null ids only has
-a null ``keep_id`` and keeps its rows.  The id names a document: rows that repeat both id and text share one fate, so a
+a null ``keep_id`` and keeps its rows.  A text of any length is read whole and only its digest travels.  The id names a document: rows that repeat both id and text share one fate, so a
 winner that is repeated stays repeated (they all count in ``group_size``).  An empty table gives an empty result.  Other
 columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetward.llm.lost import bounded, unused
@@ -45,9 +46,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("group_size") * counters > rows)
     )
     heavy = materialize(heavy, "heavy-digests")
-    whole = Window.partitionBy("digest")
-    light = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
-        "id", "digest", F.min("id").over(whole).alias("keep_id"), F.count("*").over(whole).alias("group_size")
+    rest = digests.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("size")).where("size > 1")
+    light = rest.join(materialize(groups, "light-groups"), "digest", "left").select(
+        "id",
+        "digest",
+        F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("least")).alias("keep_id"),
+        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
     )
     hot = digests.join(F.broadcast(heavy), "digest").select("id", "digest", "keep_id", "group_size")
     return hot.unionByName(light).select(
