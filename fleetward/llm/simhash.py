@@ -5,15 +5,15 @@ text is one shingle), each hashed by XXH64 with seed 42; a bit is 1 if set in mo
 
 Search: two fingerprints within ``radius`` bits agree on at least one of ``radius + 1`` blocks of bits, so distinct
 fingerprints are dealt into buckets by (block, value).  A bucket over ``shard`` fingerprints is dealt again by a block of
-its remaining bits; one that is still over is cut into shards.  Each shard's BK-tree is sent to every shard of
-fingerprints of its bucket that has to be looked up in it: no tree, and no block of lookups, exceeds ``shard``
-fingerprints, whatever the size of the bucket.  A lookup follows only edges whose distance lies within the radius of the
-distance at hand.  Tasks report spanning stars, never all pairs.
+its remaining bits; one that is still over is cut into shards.  Each shard's BK-tree is built once, as flat lists, and
+broadcast to the blocks of fingerprints of its bucket (shuffled to them where there are more than ``TREES`` of them): trees
+and blocks of lookups hold about ``shard / 2`` fingerprints, whatever the size of the bucket.  A lookup follows only edges
+whose distance lies within the radius of the distance at hand.  Tasks report spanning stars, never all pairs.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked like any other; rows are linked by their
 fingerprints alone, so rows that repeat an id are in as many components as their texts say; a null id never names a
-component (a component of null ids only has a null one).  An empty table gives an empty result.  Other columns are not
-read.
+component (a component of null ids only has a null one).  An empty table gives an empty result.  A text of any length is
+read whole, its hashes counted in chunks.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ BITS = 64
 WORDS, RADIUS = 3, 3
 #: Most fingerprints of one tree, and of one block of lookups.
 SHARD = 2048
+#: Most trees that are broadcast (about 24 KB each); more are shuffled to their lookups.
+TREES = 1024
 #: Hashes whose bits are counted at a time.
 _CHUNK = 1 << 16
 
@@ -106,29 +108,95 @@ class BKTree:
         return found
 
 
+    def flat(self) -> tuple[list[int], list[int], list[int]]:
+        """Keys level by level, each node's distance to its parent, and where its children start (they follow one another)."""
+        order, edges, firsts = [0], [0], []
+        for node in order:
+            firsts.append(len(order))
+            order += self.kids[node].values()
+            edges += self.kids[node].keys()
+        return [self.keys[n] for n in order], edges, [*firsts, len(order)]
+
+
+def near_nodes(keys: np.ndarray, edges: np.ndarray, firsts: np.ndarray, wanted: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position in ``wanted``, node) of all keys at most ``radius`` bits away: all lookups go down a flat tree together."""
+    at, node = np.arange(len(wanted)), np.zeros(len(wanted), np.int64)
+    found = []
+    while len(at):
+        # of signed numbers the bits of the absolute value would be counted
+        distance = np.bitwise_count((wanted[at] ^ keys[node]).view(np.uint64)).astype(np.int64)
+        hit = distance <= radius
+        found.append((at[hit], node[hit]))
+        width = firsts[node + 1] - firsts[node]
+        up = np.repeat(np.arange(len(at)), width)
+        child = np.arange(len(up)) - np.repeat(np.cumsum(width) - width, width) + firsts[node][up]
+        follow = np.abs(edges[child] - distance[up]) <= radius
+        at, node = at[up][follow], child[follow]
+    return tuple(np.concatenate(ends) for ends in zip(*found, strict=True)) if found else (at, node)
+
+
+_EDGE = "a long, b long"
+_TREE = "bucket long, shard int, keys array<long>, edges array<long>, firsts array<long>"
+
+
+def _stars(forest: Forest) -> pa.RecordBatch:
+    pairs = forest.stars()
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def _search(radius: int):
-    """Rows sorted by bucket and role (0: of the tree, 1: looked up) to stars of fingerprints."""
+    """Rows sorted by bucket to stars of fingerprints: each is looked up in the tree of those before it, then added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, tree, prints, own, forest = None, BKTree(), [], True, Forest()
+        at, tree, prints, forest = None, BKTree(), [], Forest()
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("bucket", "tree_shard", "query_shard", "role", "fp")]
-            for bucket, tree_shard, query_shard, role, fp in zip(*columns, strict=True):
-                key = (bucket, tree_shard, query_shard)
-                if key != at:
-                    at, tree, prints, own = key, BKTree(), [], tree_shard == query_shard
+            for bucket, fp in zip(batch["bucket"].to_pylist(), batch["fp"].to_pylist(), strict=True):
+                if bucket != at:
+                    at, tree, prints = bucket, BKTree(), []
                 bits = fp & ((1 << BITS) - 1)
-                if own or role:
-                    for hit in tree.within(bits, radius):
-                        forest.union(fp, prints[hit])
-                if not role:
-                    tree.add(bits)
-                    prints.append(fp)
-            pairs = forest.stars()
+                for hit in tree.within(bits, radius):
+                    forest.union(fp, prints[hit])
+                tree.add(bits)
+                prints.append(fp)
+            yield _stars(forest)
             forest = Forest()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"]
-            )
+
+    return run
+
+
+def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and shard to one flat tree per shard."""
+
+    def row(at: tuple[int, int], tree: BKTree) -> pa.RecordBatch:
+        keys, edges, firsts = tree.flat()
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in ([_signed(k) for k in keys], edges, firsts)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int32()), *lists], ["bucket", "shard", "keys", "edges", "firsts"]
+        )
+
+    at, tree = None, BKTree()
+    for batch in batches:
+        for bucket, shard, fp in zip(*(batch[c].to_pylist() for c in ("bucket", "shard", "fp")), strict=True):
+            if (bucket, shard) != at:
+                if at:
+                    yield row(at, tree)
+                at, tree = (bucket, shard), BKTree()
+            tree.add(fp & ((1 << BITS) - 1))
+    if at:
+        yield row(at, tree)
+
+
+def _look_up(radius: int):
+    """Rows of a tree and a block of fingerprints to stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, edges, firsts, wanted = (batch[c][i].values.to_numpy() for c in ("keys", "edges", "firsts", "wanted"))
+                forest = Forest()
+                for a, b in zip(*(x.tolist() for x in near_nodes(keys, edges, firsts, wanted, radius)), strict=True):
+                    forest.union(int(wanted[a]), int(keys[b]))
+                yield _stars(forest)
 
     return run
 
@@ -149,7 +217,7 @@ def _sized(rows: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
     return rows.join(over, "bucket", "left_anti"), rows.join(over, "bucket")
 
 
-def near_edges(prints: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
+def near_edges(prints: DataFrame, radius: int, shard: int = SHARD, most_trees: int = TREES) -> DataFrame:
     """``a, b``: edges that connect all distinct fingerprints ``fp`` at most ``radius`` bits apart."""
     parts = radius + 1
     first = [
@@ -174,20 +242,14 @@ def near_edges(prints: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
     finer = over.withColumn("rest", rest).select("fp", F.explode(F.array(*second)).alias("bucket"))
     finer = materialize(finer, "finer-buckets")
     fit2, over2 = _sized(finer, shard)
-    one = [F.lit(0).alias("tree_shard"), F.lit(0).alias("query_shard"), F.lit(0).alias("role")]
-    small = fit.select("bucket", "fp", *one).unionByName(fit2.select("bucket", "fp", *one))
-    count = F.ceil(F.col("size") / (shard // 2)).cast("int")
-    cut = over2.withColumn("shards", count).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int"))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other"))
-    cut = cut.select(
-        "bucket",
-        "fp",
-        F.least("own", "other").alias("tree_shard"),
-        F.greatest("own", "other").alias("query_shard"),
-        (F.col("own") > F.col("other")).cast("int").alias("role"),
-    )
-    dealt = small.unionByName(cut).repartition("bucket", "tree_shard", "query_shard")
-    return dealt.sortWithinPartitions("bucket", "tree_shard", "query_shard", "role", "fp").mapInArrow(_search(radius), "a long, b long")
+    small = fit.select("bucket", "fp").unionByName(fit2.select("bucket", "fp")).repartition("bucket").sortWithinPartitions("bucket", "fp")
+    shards = F.ceil(F.col("size") / (shard // 2))
+    cut = over2.select("bucket", F.pmod(F.xxhash64("fp"), shards).cast("int").alias("shard"), "fp").repartition("bucket", "shard")
+    trees = materialize(cut.sortWithinPartitions("bucket", "shard", "fp").mapInArrow(_plant, _TREE), "trees")
+    # every pair of a bucket's shards once: the later one's fingerprints go through the earlier one's tree
+    blocks = trees.select("bucket", F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("shard"), F.col("keys").alias("wanted"))
+    met = blocks.join(F.broadcast(trees) if trees.count() <= most_trees else trees, ["bucket", "shard"])
+    return small.mapInArrow(_search(radius), _EDGE).unionByName(met.mapInArrow(_look_up(radius), _EDGE))
 
 
 def simhash_dedup(

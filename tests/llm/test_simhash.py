@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -62,8 +63,24 @@ def test_groups_and_odd_rows(spark):
     assert got == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("shard", [4, 64, 4096])
-def test_hot_buckets(spark, shard):
+@pytest.mark.parametrize("radius", [0, 1, 3, 9])
+def test_flat_tree(radius):
+    rnd = random.Random(radius)
+    center = rnd.getrandbits(64)
+    keys = list({center ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randint(0, 6))) & (1 << 64) - 1 for _ in range(500)})
+    tree = simhash.BKTree()
+    for key in keys:
+        tree.add(key)
+    wanted = [*keys[::7], rnd.getrandbits(64)]
+    flat, edges, firsts = (np.array(x, t) for x, t in zip(tree.flat(), (np.uint64, np.int64, np.int64), strict=True))
+    at, node = simhash.near_nodes(flat.view(np.int64), edges, firsts, np.array(wanted, np.uint64).view(np.int64), radius)
+    got = sorted((wanted[a], int(flat[b])) for a, b in zip(at, node, strict=True))
+    assert got == sorted((w, k) for w in wanted for k in keys if (w ^ k).bit_count() <= radius)
+    assert all(sorted(keys[i] for i in tree.within(w, radius)) == [k for x, k in got if x == w] for w in wanted)
+
+
+@pytest.mark.parametrize(("shard", "trees"), [(4, 1024), (4, 0), (64, 1024), (4096, 1024)])
+def test_hot_buckets(spark, shard, trees):
     rnd = random.Random(shard)
     center, other = rnd.getrandbits(64), rnd.getrandbits(64)
     prints = {center, other, 0, (1 << 64) - 1}
@@ -75,7 +92,7 @@ def test_hot_buckets(spark, shard):
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    comps = {r.id: r.component for r in connected_components(simhash.near_edges(df, 3, shard)).collect()}
+    comps = {r.id: r.component for r in connected_components(simhash.near_edges(df, 3, shard, trees)).collect()}
     assert [comps.get(s, s) for s in signed] == groups(list(zip(signed, prints, strict=True)))
 
 
