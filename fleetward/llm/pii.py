@@ -3,30 +3,39 @@
 Base spans are exact: an e-mail address, an IP address, a card number or a phone number by its pattern and its check
 (parts up to 255, Luhn's sum, 9 to 15 digits), leftmost and without overlap within a kind.  They always stay.
 
-Candidates are all base spans and looser shapes: addresses written with ``(at)`` and ``[dot]``, grouped digits with a
-phone's or a card's lengths but no plus or a wrong sum, dotted numbers with a part out of range.  Labelers vote on every
-candidate, for, against, or not at all:
-
-* regex: the base pattern; a strict shape of the kind; whether the neighbours cut a longer token,
-* gazetteer: known top-level domains, first octets in public use, issuer prefixes of cards, calling codes,
-* context: words before and after that speak for the kind, or for a version, an order or a page number.
+Candidates are all base spans and whatever one of the three sources below proposes; labelers of the same sources vote on
+every candidate, for, against, or not at all:
+
+* regex: grouped digits with a phone's or a card's lengths but no plus or a wrong sum, dotted numbers with a part out of
+  range, addresses of eight hexadecimal groups, forms with ``(at)``, ``[dot]`` or ``[.]``; votes on the base pattern, on a
+  strict shape of the kind once such forms are undone, and on whether the neighbours cut a longer token,
+* gazetteer: ``name at host dot com`` with a known top-level domain, digits that begin with a calling code after ``00``;
+  votes on top-level domains, address blocks in public use, issuer ranges of cards with their lengths, calling codes, and
+  the trunk and area prefixes of national numbers,
+* context: 7 to 15 digits after a word for a telephone; votes on words before and after that speak for the kind, or for a
+  version, an order or a page number.
 
 Every document's votes are counted by pattern of votes, which are few; expectation-maximisation over these counts
 estimates how reliable each labeler is and how likely each pattern is personal data.  A logistic classifier trained on
 these likelihoods, with the votes and the span's length as features, decides which candidates are added as spans.
 
 Defined results: a null text counts as empty and has no span; rows that repeat an id are read one by one; an empty
-table gives an empty result; other columns are not read.  Offsets are code points, the end exclusive.
+table gives an empty result; other columns are not read; a text of any length is read whole, in time that grows with it.
+Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import re
+import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +52,20 @@ RELIABLE = (0.55, 0.95)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+# a pattern that begins with a set of characters is searched many times faster than one that begins by looking behind
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _AT = re.compile(r"\s{0,2}[\[({]\s{0,2}at\s{0,2}[\])}]\s{0,2}", re.IGNORECASE)
 _DOT = r"\s{0,2}(?:\.|[\[({]\s{0,2}dot\s{0,2}[\])}])\s{0,2}"
 _HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:" + _DOT + r"[A-Za-z0-9-]{1,63}){1,5}", re.IGNORECASE)
-_GROUPS = re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])")
+_SPOKEN = re.compile(r"\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20[A-Za-z0-9-]{1,63}){1,5}", re.IGNORECASE)
+_PARTED = re.compile(r"[0-9](?<![0-9.][0-9])[0-9]{3}(?:[./_][0-9]{4}){3}(?![0-9])")
+_DEFANGED = re.compile(r"[0-9](?<![0-9][0-9])[0-9]{0,2}(?:(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\x20dot\x20)[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE)
+_COLONS, _HEX = re.compile(r":[0-9A-Fa-f]{0,4}+:"), re.compile(r"[0-9A-Fa-f:]+")
+_RUN = re.compile(r"[(0-9](?<![0-9+][(0-9])(?:(?<=[0-9])|[0-9])(?:[\x20()./-]{0,2}[0-9]){6,}+")
+_GROUPS = re.compile(r"[(0-9](?<![0-9+][(0-9])(?<![0-9][.-][(0-9])(?:(?<=[0-9])[0-9]{1,3}|(?<=\()[0-9]{2,4})\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![.-]?[0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -95,36 +110,82 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return spans
 
 
-def _loose(text: str) -> Iterator[tuple[str, int, int]]:
-    """Looser shapes, base spans among them or not."""
-    for m in _AT.finditer(text) if ("(" in text or "[" in text or "{" in text) else ():
+def _name_before(text: str, at: int) -> int:
+    """Where the name of an address that ends at ``at`` starts, at most 64 characters before."""
+    start = at
+    while start and start > at - 64 and text[start - 1] in _LOCAL:
+        start -= 1
+    return start
+
+
+def _sixes(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses of hexadecimal groups, by the first two colons with at most one group between them."""
+    end = 0
+    for m in _COLONS.finditer(text):
         start = m.start()
-        while start and start > m.start() - 64 and text[start - 1] in _LOCAL:
+        if start < end:
+            continue
+        while start > max(end, m.start() - 4) and text[start - 1] in string.hexdigits:
             start -= 1
-        host = _HOST.match(text, m.end())
+        end = _HEX.match(text, start).end()
+        if _six(text[start:end]):
+            yield start, end
+
+
+def _six(span: str) -> ipaddress.IPv6Address | None:
+    """The address, if it has three groups at least and a digit."""
+    if sum(map(bool, span.split(":"))) < 3 or not any(c.isdigit() for c in span):
+        return None
+    try:
+        return ipaddress.IPv6Address(span)
+    except ValueError:
+        return None
+
+
+def _by_shape(text: str) -> Iterator[tuple[str, int, int]]:
+    """Looser shapes, base spans among them or not."""
+    bracketed = "(" in text or "[" in text or "{" in text
+    for m in _AT.finditer(text) if bracketed else ():
+        start, host = _name_before(text, m.start()), _HOST.match(text, m.end())
         if host and start < m.start():
             yield "email", start, host.end()
     for m in _IP.finditer(text):
         yield "ip", *m.span()
+    for m in _DEFANGED.finditer(text) if bracketed or " dot " in text else ():
+        yield "ip", *m.span()
+    for span in _sixes(text):
+        yield "ip", *span
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13 and 13 <= len(_NOT_DIGIT.sub("", m.group())) <= 19:
             yield "card", *m.span()
+    for m in _PARTED.finditer(text):
+        yield "card", *m.span()
     for m in _GROUPS.finditer(text):
         if 9 <= len(_NOT_DIGIT.sub("", m.group())) <= 12:
             yield "phone", *m.span()
 
 
+def _by_lists(text: str) -> Iterator[tuple[str, int, int]]:
+    """What a gazetteer proposes: addresses spelled out, numbers dialled from abroad or after a word for a telephone."""
+    for m in _SPOKEN.finditer(text) if " dot " in text.lower() else ():
+        start = _name_before(text, m.start())
+        if start < m.start() and m.group().rsplit(" ", 1)[1].lower() in _TOP:
+            yield "email", start, m.end()
+    for m in _RUN.finditer(text):
+        digits = _NOT_DIGIT.sub("", m.group())
+        if 7 <= len(digits) <= 15 and (_abroad(digits) or _CALLED.search(text, max(0, m.start() - NAMED), m.start())):
+            yield "phone", *m.span()
+
+
 def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """(kind, start, end, base) in order of kind and start; looser ones do not overlap base spans of any kind."""
     base = base_spans(text)
     taken = sorted(s for spans in base.values() for s in spans)
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     extra: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    starts = [s for s, _ in taken]
-    for kind, start, end in _loose(text):
-        i = int(np.searchsorted(starts, end)) if starts else 0
-        if i and max(e for _, e in taken[max(0, i - 4) : i]) > start:
-            continue
-        if not extra[kind] or extra[kind][-1][1] <= start:
+    for kind, start, end in sorted({*_by_shape(text), *_by_lists(text)}, key=lambda c: (c[1], -c[2])):
+        i = bisect_left(starts, end)
+        if (not i or ends[i - 1] <= start) and (not extra[kind] or extra[kind][-1][1] <= start):
             extra[kind].append((start, end))
     for kind in KINDS:
         for start, end, is_base in sorted([(*s, True) for s in base[kind]] + [(*s, False) for s in extra[kind]]):
@@ -133,48 +194,86 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
 
 # labelers: 1 for, -1 against, 0 no vote
 
-#: Frequent top-level domains.
-_TOP = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl ch at be pl ru jp cn in br us eu ca au".split())
-#: Calling codes of one and two digits.
+#: Generic top-level domains, and those of countries.
+_TOP = frozenset(
+    "com org net edu gov mil int info biz name pro io ai app dev cloud online shop site store tech xyz "
+    "ac ad ae af ag al am ar at au az ba bd be bg bh bo br by ca cc ch ci cl cm cn co cr cu cy cz de dk do dz ec ee eg es eu fi fr "
+    "ge gh gr gt hk hn hr hu id ie il in iq ir is it jm jo jp ke kg kh kr kw kz lb li lk lt lu lv ly ma mc md me mk mn mt mx my mz "
+    "ng ni nl no np nz om pa pe ph pk pl pr pt py qa ro rs ru sa se sg si sk sn sv sy th tn tr tv tw tz ua ug uk us uy uz ve vn ye "
+    "za zm zw".split()
+)
+#: Calling codes of one and two digits, and the first two digits of those of three.
 _CALLING = frozenset(
     "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 )
+_CALLING_THREE = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+#: Issuers of cards: first and last prefix, shortest and longest number.
+_ISSUERS = (
+    (4, 4, 13, 19), (51, 55, 16, 16), (2221, 2720, 16, 16), (34, 34, 15, 15), (37, 37, 15, 15), (300, 305, 14, 19), (36, 36, 14, 19),
+    (38, 39, 14, 19), (6011, 6011, 16, 19), (644, 659, 16, 19), (3528, 3589, 16, 19), (62, 62, 16, 19), (50, 50, 12, 19), (56, 58, 12, 19),
+)
 _FOR = {
     "email": re.compile(r"e-?mail|mail|contact|write|reply|correo|courriel|schreib|@", re.IGNORECASE),
     "ip": re.compile(r"\bip\b|address|host|server|login|client|adresse|servidor|serveur", re.IGNORECASE),
     "card": re.compile(r"card|visa|master|credit|payment|karte|carte|tarjeta|cvv", re.IGNORECASE),
     "phone": re.compile(r"phone|call|tel\b|tel[.:]|mobile|fax|anruf|téléphone|teléfono", re.IGNORECASE),
 }
+#: Words that name a telephone number, and the characters before digits in which one of them has to stand.
+_CALLED = re.compile(r"phone|\btel\b|\bcall|mobile|\bcell\b|\bfax|anruf|telefon|handy|téléphone|portable|teléfono|móvil", re.IGNORECASE)
+NAMED = 24
 _AGAINST = re.compile(r"version|\bv\.?$|order|invoice|page|isbn|serial|build|chapter|section|kapitel|numéro|número", re.IGNORECASE)
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-]|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}")
+
+
+def _calling(digits: str) -> bool:
+    return digits[:1] in _CALLING or digits[:2] in _CALLING or digits[:2] in _CALLING_THREE
+
+
+def _abroad(digits: str) -> bool:
+    return len(digits) >= 11 and digits.startswith("00") and _calling(digits[2:])
+
+
+def undone(kind: str, span: str) -> str:
+    """The span with spelled-out and bracketed separators in their plain form."""
+    if kind == "email":
+        span = re.sub(r"\x20at\x20", "@", _AT.sub("@", span), count=1, flags=re.IGNORECASE)
+        return re.sub(_DOT + r"|\x20dot\x20", ".", span, flags=re.IGNORECASE)
+    if kind == "ip" and ":" not in span:
+        return ".".join(re.findall("[0-9]+", span))
+    return span
 
 
 def _strict(kind: str, span: str, digits: str) -> int:
     if kind == "email":
-        span = re.sub(_DOT, ".", _AT.sub("@", span), flags=re.IGNORECASE)
         return 1 if re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}", span) else -1
     if kind == "ip":
-        return 1 if all(_in_range(p) and str(int(p)) == p for p in span.split(".")) else -1
+        return 1 if ":" in span or all(_in_range(p) and str(int(p)) == p for p in span.split(".")) else -1
     if kind == "card":
         return 1 if len(digits) in (15, 16) and len(set(digits)) > 2 and luhn(digits) else -1
-    return 1 if len(digits) >= 9 and len(set(digits)) > 2 and digits[0] != "0" else -1
+    return 1 if len(digits) >= 7 and len(set(digits)) > 2 and not _DATE.match(span) else -1
 
 
 def _known(kind: str, span: str, digits: str) -> int:
     if kind == "email":
-        return 1 if re.split(r"[^A-Za-z0-9-]+", span)[-1].lower() in _TOP else 0
+        return 1 if span.rsplit(".", 1)[-1].lower() in _TOP else 0
+    if kind == "ip" and ":" in span:
+        six = _six(span)
+        return 1 if six.is_global or six.is_private or six.is_link_local else -1
     if kind == "ip":
         first = span.split(".")[0]
         return 1 if _in_range(first) and 1 <= int(first) <= 223 else -1
     if kind == "card":
-        return 1 if digits[0] in "3456" else -1
+        issued = (low <= int(digits[: len(str(low))]) <= high and short <= len(digits) <= long for low, high, short, long in _ISSUERS)
+        return 1 if any(issued) else -1
     if span[0] == "+":
-        return 1 if digits[0] in _CALLING or digits[:2] in _CALLING else 0
-    return 0
+        return 1 if _calling(digits) else 0
+    area = len(digits) == 10 and digits[0] > "1" and digits[3] > "1"
+    return 1 if area or _abroad(digits) or digits[0] == "0" < digits[1] else 0
 
 
 def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, ...]:
     """The votes of all labelers, and the span's length in steps of eight characters."""
-    span = text[start:end]
+    span = undone(kind, text[start:end])
     digits = _NOT_DIGIT.sub("", span)
     before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     cut = (before[-1:].isalnum() or before[-1:] in ("_", ".", "-")) + (after[:1].isalnum() or after[:1] == "_")
