@@ -83,7 +83,7 @@ def _sign(planes: int, tables: int):
                 if len(unit) not in normals:
                     normals[len(unit)] = np.random.default_rng(SEED).standard_normal((tables * planes, len(unit)))
                 codes.append(((normals[len(unit)] @ unit > 0).reshape(tables, planes) * weights).sum(axis=1))
-            arrays = [*batch.columns, pa.array(codes, pa.list_(pa.int64()))]
+            arrays = [*batch.columns, pa.array(codes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "codes"])
 
     return run
@@ -177,15 +177,15 @@ def embedding_dedup(
     )
     clean = materialize(picked.mapInArrow(_clean, "id long, label long, digest binary, vector array<double>"), "vectors")
     comparable = clean.where("label is not null and digest is not null and id is not null")
-    # a class is named by its smallest id; repeated ids with unlike vectors need a name of their own
+    # a class is named by its smallest id; repeated ids with unlike vectors need a name of their own, fixed by the written table
     classes = comparable.groupBy("label", "digest").agg(
         F.min("id").alias("least"), F.count("*").alias("size"), F.first("vector").alias("vector")
     )
-    classes = materialize(classes.withColumn("rep", F.xxhash64("label", "digest")), "classes")
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     planes, tables = tables_for(largest, threshold, recall)
     signed = classes.select("rep", "size", "label", "vector").mapInArrow(
-        _sign(planes, tables), "rep long, size long, label long, vector array<double>, codes array<long>"
+        _sign(planes, tables), "rep long, size long, label long, vector array<double>, codes array<int>"
     )
     signed = materialize(signed, "signed")
     keyed = signed.select("*", F.posexplode("codes").alias("tbl", "code"))
