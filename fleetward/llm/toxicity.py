@@ -11,8 +11,9 @@ gain more than nearly all ordinary windows train the next, and the halves change
 and windows that the dictionary explains almost wholly are copied passages, not usage: they train nothing.
 
 The dictionaries and the curve are fitted on a bounded sample: at most ``SAMPLE`` documents of each label, the first ones
-in the order of a hash of their id, none longer than ``SAMPLE_CHARS`` characters; repeated rows count once, and rows that
-share an id come after one row of every id.  Only the sample goes to the driver.  Scoring reads every whole text.
+in the order of a hash of their id among those that have a text, each up to its first ``SAMPLE_CHARS`` characters; repeated
+rows count once, and rows that share an id come after one row of every id.  Only the sample goes to the driver.  Scoring
+reads every whole text.
 
 Defined results: a null or blank text has no window and gets the score of no gain; rows that repeat an id are scored one
 by one; a row whose id is null is not held out; labels that are null, or whose document is missing, teach nothing; with
@@ -165,8 +166,10 @@ def held_out(doc_id: Column) -> Column:
 
 def sampled(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``y, id, text``: at most ``SAMPLE`` different rows of each label ``id, y``, one of every sampled id before others."""
-    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for y in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    eligible = known.join(texts.select("id"), "id", "left_semi")
+    picked = [eligible.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for y in (0, 1)]
+    texts = texts.withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
     rows = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("y", "id", "text").distinct()
     of_id = F.row_number().over(Window.partitionBy("y", "id").orderBy(F.xxhash64("text"), "text"))
     rows = rows.withColumn("of_id", of_id).where(F.col("of_id") <= SAMPLE)

@@ -92,3 +92,15 @@ def test_an_id_of_many_rows_does_not_fill_the_sample(spark, monkeypatch):
     got = [tuple(r) for r in tox.sampled(docs, known).collect()]
     assert len(got) == len(set(got)) and {i for _, i, _ in got} == set(range(10))
     assert sum(y == 1 for y, _, _ in got) == 20 and sum(y == 0 for y, _, _ in got) == 6
+
+
+def test_ids_without_a_text_and_long_texts_do_not_use_up_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(tox, "SAMPLE", 10)
+    monkeypatch.setattr(tox, "SAMPLE_CHARS", 50)
+    rows = [(i, f"id{i} " + "long " * 40 if i % 2 else f"id{i}") for i in range(20)] + [(i, None) for i in range(20, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(2000)], "id long, y int")
+    got = [tuple(r) for r in tox.sampled(docs, known).collect()]
+    assert {i for _, i, _ in got} == set(range(20)) and len(got) == 20
+    assert all(t == rows[i][1][:50] for _, i, t in got)
+    assert tox.sampled(docs.limit(0), known).count() == 0 and tox.sampled(docs, known.limit(0)).count() == 0
