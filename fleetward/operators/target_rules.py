@@ -329,8 +329,8 @@ def advisory_floor(spark) -> DataFrame:
     )
 
 
-#: Most advisories that are broadcast; beyond it, parts that a package's declarations are dealt over.
-BROADCAST_ROWS, SALT = 100_000, 16
+#: Most advisories that are broadcast; beyond it, parts that the declarations of a package with more than ``HOT`` are dealt over.
+BROADCAST_ROWS, SALT, HOT = 100_000, 16, 1_000_000
 #: Ranges of a package up to which each of its declarations is compared with all of them; beyond, versions are looked up.
 WIDE = 64
 
@@ -340,26 +340,31 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, few: bool = False)
 
     Dependencies are read once and their versions parsed in place.  The ranges of an advisory are gathered into one row
     first, so that no grouping follows the join.  Up to ``BROADCAST_ROWS`` advisories are counted and broadcast; beyond,
-    a package that a third of all targets declare is dealt over ``SALT`` keys, each with its own copy of the package's
-    advisories.  Packages of more than ``WIDE`` ranges have an index of their own (``search_versions``), so that the work
-    follows the findings, not the declarations times the advisories.  ``few`` says that the advisories are a constant of
-    this package.
+    both sides are shuffled, and a package of more than ``HOT`` declarations is dealt over ``SALT`` keys, each with its
+    own copy of the package's advisories.  Packages of more than ``WIDE`` ranges have an index of their own
+    (``search_versions``), so that the work follows the findings, not the declarations times the advisories.  ``few`` says
+    that the advisories are a constant of this package.
     """
     ranges = F.struct(
         parse_version(F.col("lo")).alias("lo_v"), parse_version(F.col("fixed")).alias("fixed_v"), "severity", "summary"
     )
     gathered = advisories.groupBy("pkg", "id").agg(F.collect_list(ranges).alias("ranges"))
     parsed = deps.withColumn("v", parse_version(F.col("declared"))).where(F.col("v").isNotNull())
-    looked_up = None
+    looked_up = hot = None
     if not few:
         gathered = materialize(gathered, "advisories")
         sizes = gathered.groupBy("pkg").agg(F.sum(F.size("ranges")).alias("n"))
         wide = materialize(sizes.where(F.col("n") > WIDE).select("pkg"), "wide-packages")
         if not wide.isEmpty():
-            looked_up = _looked_up(parsed, gathered.join(wide, "pkg", "left_semi"), deps.columns)
-            gathered = materialize(gathered.join(wide, "pkg", "left_anti"), "narrow-advisories")
+            hot = _hot(deps)
+            looked_up = _looked_up(parsed, hot, gathered.join(_shuffled(wide), "pkg", "left_semi"), deps.columns)
+            gathered = materialize(gathered.join(_shuffled(wide), "pkg", "left_anti"), "narrow-advisories")
         few = gathered.count() <= BROADCAST_ROWS
-    joined = parsed.join(F.broadcast(gathered), "pkg") if few else _dealt(parsed).join(_copies(gathered), ["pkg", "salt"])
+    if few:
+        joined = parsed.join(F.broadcast(gathered), "pkg")
+    else:
+        hot = _hot(deps) if hot is None else hot
+        joined = _dealt(parsed, hot).join(_shuffled(_copies(gathered, hot)), ["pkg", "salt"])
     inside = F.filter("ranges", lambda r: in_range(F.col("v"), r["lo_v"], r["fixed_v"]))
     matched = joined.select(*deps.columns, "v", "id", F.inline(F.array(F.struct(inside.alias("hits")))))
     compared = matched.where(F.size("hits") > 0).select(
@@ -372,19 +377,32 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, few: bool = False)
     return compared if looked_up is None else compared.unionByName(looked_up)
 
 
-def _copies(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """The side of a join that is never broadcast: a stored table is small by the size of its files, not by its rows."""
+    return rows.hint("merge")
 
 
-def _dealt(parsed: DataFrame) -> DataFrame:
-    return parsed.withColumn("salt", F.pmod(F.xxhash64("target_id", "manifest_path"), F.lit(SALT)).cast("int"))
+def _hot(deps: DataFrame) -> DataFrame:
+    """Packages of more than ``HOT`` declarations: so few that they may be broadcast, one for each ``HOT`` rows at most."""
+    counted = deps.groupBy("pkg").agg(F.count("*").alias("n"))
+    return materialize(counted.where(F.col("n") > HOT).select("pkg", F.lit(True).alias("hot")), "hot-packages")
 
 
-def _looked_up(parsed: DataFrame, gathered: DataFrame, columns: list[str]) -> DataFrame:
+def _copies(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(F.broadcast(hot), "pkg", "left").withColumn("salt", F.explode(parts)).drop("hot")
+
+
+def _dealt(parsed: DataFrame, hot: DataFrame) -> DataFrame:
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("target_id", "manifest_path"), F.lit(SALT)).cast("int")).otherwise(0)
+    return parsed.join(F.broadcast(hot), "pkg", "left").withColumn("salt", part).drop("hot")
+
+
+def _looked_up(parsed: DataFrame, hot: DataFrame, gathered: DataFrame, columns: list[str]) -> DataFrame:
     """Declarations of wide packages: every version is looked up once, and its advisories go to all who declare it."""
-    versions = parsed.select("pkg", "v").join(gathered.select("pkg").distinct(), "pkg", "left_semi").distinct()
+    versions = parsed.select("pkg", "v").join(_shuffled(gathered.select("pkg").distinct()), "pkg", "left_semi").distinct()
     found = materialize(search_versions(materialize(versions, "versions"), gathered), "found-advisories")
-    joined = _dealt(parsed).join(_copies(found), ["pkg", "v", "salt"])
+    joined = _dealt(parsed, hot).join(_shuffled(_copies(found, hot)), ["pkg", "v", "salt"])
     return joined.select(*columns, "id", "severity", "summary", format_version(F.col("v")).alias("version"))
 
 
@@ -419,8 +437,8 @@ def search_versions(versions: DataFrame, gathered: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("pkg").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = materialize(points.select("pkg", "v", "bound", F.sum("bound").over(so_far).cast("int").alias("rank")), "ranks")
     at = ranked.where("bound = 1").select("pkg", "v", "rank")
-    placed = parts.join(at.withColumnsRenamed({"v": "lo_v", "rank": "low"}), ["pkg", "lo_v"]).join(
-        at.withColumnsRenamed({"v": "fixed_v", "rank": "high"}), ["pkg", "fixed_v"]
+    placed = parts.join(_shuffled(at.withColumnsRenamed({"v": "lo_v", "rank": "low"})), ["pkg", "lo_v"]).join(
+        _shuffled(at.withColumnsRenamed({"v": "fixed_v", "rank": "high"})), ["pkg", "fixed_v"]
     )
 
     def level(k: Column) -> Column:
@@ -432,9 +450,9 @@ def search_versions(versions: DataFrame, gathered: DataFrame) -> DataFrame:
     nodes = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(30)), level)), lambda n: n.isNotNull())
     covered = materialize(placed.select("pkg", "id", "severity", "summary", F.inline(nodes)), "nodes")
     levels = covered.groupBy("pkg").agg(F.max("level").alias("top"))
-    asked = ranked.where("bound = 0").join(levels, "pkg").select("pkg", "v", "rank", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
+    asked = ranked.where("bound = 0").join(_shuffled(levels), "pkg").select("pkg", "v", "rank", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
     asked = asked.select("pkg", "v", "level", F.floor(F.col("rank") / F.pow(F.lit(2.0), F.col("level"))).cast("int").alias("node"))
-    return asked.join(covered, ["pkg", "level", "node"]).select("pkg", "v", "id", "severity", "summary")
+    return asked.join(_shuffled(covered), ["pkg", "level", "node"]).select("pkg", "v", "id", "severity", "summary")
 
 
 def known_cve(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:

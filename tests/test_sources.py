@@ -191,3 +191,20 @@ def test_staging_uses_the_shared_folder(spark):
     assert folder == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     out = materialize(spark.range(5), "probe")
     assert out.count() == 5 and out.inputFiles()[0].replace("file://", "").startswith(folder)
+
+
+@pytest.mark.parametrize("hot", [1_000, 1_000_000])
+def test_stored_advisories_beyond_the_count_are_not_broadcast(spark, monkeypatch, hot):
+    """Copies of a small stored table are no small table."""
+    monkeypatch.setattr(target_rules, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(target_rules, "HOT", hot)
+    deps = spark.range(6_000).select(
+        F.col("id").alias("target_id"), F.lit("package.json").alias("manifest_path"),
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 50)).alias("pkg"), F.lit("1.2.0").alias("declared"),
+    )
+    rows = [(p, f"{p}-{i}", "high", "1.0.0", f"{i}.0.0", "s") for p in ("hot", "p1", "p3", "absent") for i in (1, 2)]
+    adv = spark.createDataFrame(rows, "pkg string, id string, severity string, lo string, fixed string, summary string")
+    out = target_rules.match_advisories(deps, adv)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert {tuple(r) for r in out.groupBy("id").count().collect()} == {("hot-2", 3000), ("p1-2", 120), ("p3-2", 120)}
