@@ -34,9 +34,9 @@ def parse_reports(reports: DataFrame, engine: str) -> DataFrame:
     """``target_id, root, report_id, data`` of the reports that are valid JSON."""
     schema = {"gitleaks": GITLEAKS_SCHEMA, "semgrep": SEMGREP_SCHEMA, "osv-scanner": OSV_SCHEMA}[engine]
     options = {} if engine == "gitleaks" else {"columnNameOfCorruptRecord": "_broken"}
-    rows = reports.where((F.col("engine") == engine) & F.col("raw").isNotNull()).select(
-        "target_id", "root", "report_id", F.from_json("raw", schema, options).alias("data")
-    )
+    # ``inline`` keeps the filters below from parsing the text once more each
+    parsed = F.inline(F.array(F.struct(F.from_json("raw", schema, options).alias("data"))))
+    rows = reports.where((F.col("engine") == engine) & F.col("raw").isNotNull()).select("target_id", "root", "report_id", parsed)
     if engine == "gitleaks":
         return rows.where(F.col("data").isNotNull())
     return rows.where(F.col("data._broken").isNull()).withColumn("data", F.col("data.results")).where(

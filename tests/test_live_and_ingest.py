@@ -154,3 +154,9 @@ def test_no_script_or_map_is_left_out(spark):
     scripts = http.extract_scripts(pages)
     assert scripts.count() == 40
     assert http.map_candidates(scripts).count() == 40
+
+
+@pytest.mark.parametrize("engine", ["gitleaks", "semgrep", "osv-scanner"])
+def test_a_report_is_parsed_once(reports, engine):
+    plan = ingest.report_items(reports.localCheckpoint(), engine)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1

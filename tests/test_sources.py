@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fleetward.operators import file_rules, target_rules
 from fleetward.plans.staging import materialize, shared_dir
 from fleetward.schema import publish
-from fleetward.sources import files as fs, http
+from fleetward.sources import corpus, files as fs, http
 
 
 def test_directory_reader_keeps_dotfiles_and_large_files(spark, tmp_path):
@@ -208,3 +208,10 @@ def test_stored_advisories_beyond_the_count_are_not_broadcast(spark, monkeypatch
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert {tuple(r) for r in out.groupBy("id").count().collect()} == {("hot-2", 3000), ("p1-2", 120), ("p3-2", 120)}
+
+
+def test_reports_of_few_part_rows_are_made_by_all_cores(spark, tmp_path):
+    spark.range(100).select(F.col("id").alias("p_partkey"), F.lit(3).alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    reports = corpus.engine_reports(spark, str(tmp_path)).where("engine = 'osv-scanner'")
+    assert reports.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert reports._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1  # other texts are not made
