@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,8 +141,28 @@ def redact(value: Column) -> Column:
     )
 
 
+def text_entropy(text: Column) -> Column:
+    """``shannon_entropy`` of whole texts, which counts characters in arrays, a batch of texts at a time.
+
+    Not for values inside arrays of a row, which only column expressions reach.
+    """
+
+    def bits(raw: bytes | None) -> float | None:
+        if raw is None:
+            return None
+        chars = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+        share = np.unique(chars, return_counts=True)[1] / max(len(chars), 1)
+        return 0.0 - float((share * np.log2(share)).sum())
+
+    @F.pandas_udf("double")
+    def of_batch(texts: pd.Series) -> pd.Series:
+        return texts.map(bits)
+
+    return of_batch(text.cast("binary"))
+
+
 def shannon_entropy(value: Column) -> Column:
-    """Bits per character; 0 for the empty string.  One pass over the sorted characters."""
+    """Bits per character; 0 for the empty string.  One pass over the sorted characters of a short value."""
 
     def bits(v: Column) -> Column:
         n = F.length(v).cast("double")
@@ -158,6 +180,6 @@ def shannon_entropy(value: Column) -> Column:
             )
 
         start = F.struct(F.lit("").alias("char"), F.lit(0).alias("run"), F.lit(0.0).alias("bits"))
-        return F.aggregate(F.array_sort(F.split(v, "")), start, step, added)
+        return F.aggregate(F.sort_array(F.split(v, "")), start, step, added)
 
     return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(let(value, bits))

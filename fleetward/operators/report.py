@@ -26,12 +26,20 @@ def location(findings: DataFrame) -> Column:
     )
 
 
-def findings_by_severity(published: DataFrame) -> DataFrame:
-    """Summary listing, most severe first; a range sort, so no target is one task."""
+def listing(published: DataFrame) -> DataFrame:
+    """The rows of the summary listing."""
     rank = severity_rank(F.col("severity"))
-    return published.select(
-        "target_id", rank.alias("severity_rank"), "severity", "title", location(published).alias("location")
-    ).orderBy("target_id", F.desc("severity_rank"), "title", "location")
+    return published.select("target_id", rank.alias("severity_rank"), "severity", "title", location(published).alias("location"))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """The listing, most severe first; a range sort, so no target is one task."""
+    return rows.orderBy("target_id", F.desc("severity_rank"), "title", "location")
+
+
+def findings_by_severity(published: DataFrame) -> DataFrame:
+    """Summary listing in order."""
+    return in_order(listing(published))
 
 
 def order_key(findings: DataFrame) -> Column:

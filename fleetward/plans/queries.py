@@ -17,7 +17,7 @@ from ..schema import PASS_COLUMNS, complete, one_hit, publish
 from ..sources import corpus, files as file_source, http, probes
 from ..streaming import streams
 from . import fleet as fleet_plan
-from .staging import staging_path
+from .staging import materialize, staging_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,7 +181,7 @@ def _(spark, d):
 @query("shannon_entropy")
 def _(spark, d):
     docs = corpus.spread(corpus.table(spark, d, "documents"))
-    return docs.select("doc_id", F.round(text.shannon_entropy(F.col("text")), 6).alias("entropy"))
+    return docs.select("doc_id", F.round(text.text_entropy(F.col("text")), 6).alias("entropy"))
 
 
 def _versions(spark, d):
@@ -668,7 +668,8 @@ def _(spark, d):
 
 @query("findings_by_severity")
 def _(spark, d):
-    return report.findings_by_severity(publish(pipeline.suppress(_reported(spark, d))))
+    """Staged before it is sorted: a range sort reads its input twice, once to find the bounds."""
+    return report.in_order(materialize(report.listing(publish(pipeline.suppress(_reported(spark, d)))), "listing"))
 
 
 def fleet_of(spark: SparkSession, d: str) -> fleet_plan.Fleet:

@@ -288,3 +288,11 @@ def test_lines_by_the_newline_index(spark):
     body = "".join(f"{'x' * (i % 7)}{chr(10) * (i % 3)}f{i}(a)" for i in range(500))
     rows = values(spark, [body]).select(F.inline(call_sites(F.col("s")))).collect()
     assert [r.line for r in rows] == [body.count("\n", 0, body.index(f"f{i}(")) + 1 for i in range(500)]
+
+
+def test_entropy_of_whole_texts_equals_that_of_values(spark):
+    rng = random.Random(5)
+    texts = [None, "", "a", "aa", "é\U0001f600é", "\n \t"] + ["".join(rng.choice("abcdeé日本語 \n") for _ in range(rng.randrange(1, 5000))) for _ in range(20)]
+    got = column(spark, texts, lambda: text.text_entropy(F.col("s")))
+    want = column(spark, texts, lambda: text.shannon_entropy(F.col("s")))
+    assert got[:4] == [None, 0.0, 0.0, 0.0] and got[1:] == pytest.approx(want[1:], abs=1e-12) and want[0] is None

@@ -81,3 +81,11 @@ def test_fleet_parts_may_be_missing(spark):
     assert {r.source for r in result.findings.select("source").distinct().collect()} == {"native"}
     skipped = fp.scan_fleet(fp.Fleet(corpus.repo_targets(spark, SF), engine_reports=whole.engine_reports, files=whole.files), skip_engines=True)
     assert skipped.engines.where("semgrep or gitleaks or osv_scanner").count() == 0
+
+
+def test_the_listing_is_computed_once(spark, tmp_path):
+    """A range sort looks at its input twice, so it sorts a stored table."""
+    spark.range(30).selectExpr("id as p_partkey", "3 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(30).selectExpr("id as doc_id", "'some words' as text").write.parquet(f"{tmp_path}/documents.parquet")
+    text = plan(entry.queries()["findings_by_severity"](spark, str(tmp_path)))
+    assert text.count("FileScan parquet") == 1 and "listing-" in text and "from_json" not in text
