@@ -8,9 +8,9 @@ number, so a lost executor or a restart repeats a batch instead of losing or dou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -123,44 +123,47 @@ def with_finding_id(df: DataFrame) -> DataFrame:
 
 #: Parts of a target's held rows; its packages are dealt over them.
 PARTS = 4
-#: Rows that are handed on together when a scan has ended.
+#: Rows of a key that a task holds in memory at a time.
 _CHUNK = 10_000
 
 
 class HoldDependencies(StatefulProcessor):
     """Holds a target's native rows until its scan has ended; then those leave that no engine finding supersedes.
 
-    Rows are appended to a list in the state store and the engine's packages are keys of a map there, so no batch
-    rewrites or reads what is held; it is read once, at the end, in chunks.
+    Native rows and the engine's packages are appended to one list in the state store, so a batch costs a key one write,
+    and none rewrites or reads what is held.  It is read at the end, up to ``_CHUNK`` rows at a time.  Most keys have few
+    rows, hence plain rows: a data frame for each would cost more than the work.
     """
 
     def init(self, handle) -> None:
-        self.held = handle.getListState("held", "event_id long, pkg string")
-        self.seen = handle.getMapState("seen", "pkg string", "n int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ended = False
-        for batch in rows:
-            native = batch[batch["kind"] == "native"]
-            if len(native):
-                self.held.appendList(list(zip(native["event_id"].astype("int64").tolist(), native["pkg"].tolist(), strict=True)))
-            for pkg in batch.loc[batch["kind"] == "engine", "pkg"].unique().tolist():
-                self.seen.updateValue((pkg,), (1,))
-            ended = ended or bool((batch["kind"] == "ended").any())
+        self.held = handle.getListState("held", "native boolean, event_id long, pkg string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        ended, new, reported = False, [], set()
+        for row in rows:
+            if row.kind == "ended":
+                ended = True
+            elif row.kind == "native":
+                new.append((True, row.event_id, row.pkg))
+            elif row.kind == "engine" and row.pkg not in reported:
+                reported.add(row.pkg)
+                new.append((False, None, row.pkg))
+            if len(new) >= _CHUNK:
+                self.held.appendList(new)
+                new, reported = [], set()
         if not ended:
+            if new:
+                self.held.appendList(new)
             return
-        superseded = {pkg for (pkg,) in self.seen.keys()}
-        chunk: list[tuple] = []
-        for event_id, pkg in self.held.get():
-            if pkg not in superseded:
-                chunk.append((event_id, key[0], pkg))
-            if len(chunk) >= _CHUNK:
-                yield pd.DataFrame(chunk, columns=["event_id", "target_id", "pkg"])
-                chunk = []
-        if chunk:
-            yield pd.DataFrame(chunk, columns=["event_id", "target_id", "pkg"])
-        self.held.clear()
-        self.seen.clear()
+        stored = self.held.get()
+        head = list(islice(stored, _CHUNK))
+        superseded = {pkg for native, _, pkg in chain(new, head, stored) if not native}
+        again = head if len(head) < _CHUNK else self.held.get()
+        for native, event_id, pkg in chain(again, new):
+            if native and pkg not in superseded:
+                yield Row(event_id=event_id, target_id=key[0], pkg=pkg)
+        if head:
+            self.held.clear()
 
     def close(self) -> None:
         pass
@@ -175,7 +178,7 @@ def release_dependencies(rows: DataFrame) -> DataFrame:
     everywhere = F.sequence(F.lit(0), F.lit(PARTS - 1))
     own = F.array(F.pmod(F.xxhash64("pkg"), F.lit(PARTS)).cast("int"))
     dealt = rows.withColumn("part", F.explode(F.when(F.col("kind") == "ended", everywhere).otherwise(own)))
-    return dealt.groupBy("target_id", "part").transformWithStateInPandas(
+    return dealt.groupBy("target_id", "part").transformWithState(
         statefulProcessor=HoldDependencies(), outputStructType="event_id long, target_id long, pkg string", outputMode="Append", timeMode="None"
     )
 

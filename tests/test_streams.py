@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fleetward.streaming import log_table, streams
@@ -248,3 +249,39 @@ def test_stream_into_the_log(spark, tmp_path):
     finish(streams.merge_stream(source.stream(), table, f"{tmp_path}/checkpoint"))
     assert content(table) == kept(rows)
     assert table.read().where(F.col("target_id") == 3).count() == len([r for r in kept(rows) if r[0] == 3])
+
+
+class ListOnDisk:
+    def __init__(self):
+        self.rows, self.calls = [], []
+
+    def appendList(self, rows):
+        self.calls.append("append")
+        self.rows += rows
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.rows))
+
+    def clear(self):
+        self.calls.append("clear")
+        self.rows = []
+
+
+@pytest.mark.parametrize("chunk", [2, 10_000])
+def test_a_key_costs_one_write_a_batch(monkeypatch, chunk):
+    monkeypatch.setattr(streams, "_CHUNK", chunk)
+    state = ListOnDisk()
+    holder = streams.HoldDependencies()
+    holder.held = state
+
+    def batch(*rows):
+        made = [Row(target_id=1, kind=k, event_id=e, pkg=p) for k, e, p in rows]
+        return sorted((r.event_id, r.pkg) for r in holder.handleInputRows((1, 0), iter(made), None))
+
+    assert batch(("native", 1, "a"), ("engine", 2, "b"), ("native", 3, "b"), ("native", 4, "c"), ("engine", 5, "b")) == []
+    assert state.calls == ["append"] * (1 if chunk > 5 else len(state.calls))
+    assert batch(("native", 6, None), ("ended", None, None), ("engine", 7, "c")) == [(1, "a"), (6, None)]
+    assert state.rows == [] and state.calls.count("get") <= 2
+    state.calls.clear()
+    assert batch(("ended", None, None), ("native", 8, "b")) == [(8, "b")] and state.calls == ["get"]
