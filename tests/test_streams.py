@@ -285,3 +285,14 @@ def test_a_key_costs_one_write_a_batch(monkeypatch, chunk):
     assert state.rows == [] and state.calls.count("get") <= 2
     state.calls.clear()
     assert batch(("ended", None, None), ("native", 8, "b")) == [(8, "b")] and state.calls == ["get"]
+
+
+def test_rows_without_a_target_leave_the_others_alone(spark, tmp_path):
+    source = Source(spark, tmp_path, HELD)
+    rows = [(t, kind, 10 * (t or 0) + i, f"p{i}") for t in (None, 1, 2, 3, 4, 5) for i, kind in enumerate(["native", "native", "engine", "native"])]
+    source.add(rows)
+    source.add([(t, "ended", None, None) for t in range(1, 6)])
+    released = streams.release_dependencies(source.stream())
+    finish(streams.with_state_on_disk(spark, lambda: streams.write_append(released, f"{tmp_path}/out", f"{tmp_path}/checkpoint")))
+    got = spark.read.schema(released.schema).parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.target_id, r.event_id, r.pkg) for r in got) == [(t, 10 * t + i, f"p{i}") for t in range(1, 6) for i in (0, 1, 3)]
