@@ -122,6 +122,11 @@ def dedupe(findings: DataFrame) -> DataFrame:
     )
 
 
-def settle(raw_findings: DataFrame, variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
-    """The whole pipeline from rule output to final findings."""
-    return dedupe(reconcile_deps(contextualize(suppress(raw_findings, variants)), variants))
+def judge(raw_findings: DataFrame, variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
+    """What is decided row by row, from rule output alone."""
+    return contextualize(suppress(raw_findings, variants))
+
+
+def settle(judged: DataFrame, variants: Mapping[str, Variant] = VARIANTS) -> DataFrame:
+    """From judged findings to final ones; reads its input once per route, so it should be a staged table."""
+    return dedupe(reconcile_deps(judged, variants))

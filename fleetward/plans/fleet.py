@@ -254,7 +254,8 @@ def scan_fleet(fleet: Fleet, skip_engines: bool = False) -> FleetResult:
         engines = ingest.engine_flags(fleet.engine_reports)
     else:
         engines = fleet.targets.select("target_id", *[F.lit(False).alias(c) for c in ("semgrep", "gitleaks", "osv_scanner")])
-    emitted = work.stage(union_all(findings), "emitted")
+    # judged where they are made, once, and dealt evenly: files of the same size may hold very different numbers of rows
+    emitted = work.stage(pipeline.judge(union_all(findings), variants).hint("rebalance"), "emitted")
     settled = work.stage(pipeline.settle(emitted, variants).withColumn("violations", report.violations(report.COMPACT_FIELDS)), "settled")
     valid = run.stage(settled.where("violations = ''").drop("violations"), "findings")
     passes.append(pass_rules.clean_categories(fleet.targets, valid))

@@ -230,3 +230,23 @@ def test_reports_have_one_shape_at_any_size(spark):
     )
     assert sorted(r.target_id for r in made.summary.collect()) == [1, 2]
     assert [r.file for r in made.details.collect()] == sorted(str(i) for i in range(45))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_findings_are_judged_once_and_dealt_evenly(spark, make_files, monkeypatch):
+    """Routing reads the staged findings several times, so nothing of a single row is decided behind them."""
+    staged, settled = {}, []
+    stage, settle = fp.Run.stage, fp.pipeline.settle
+    monkeypatch.setattr(fp.Run, "stage", lambda run, df, name: staged.setdefault(name, df) and stage(run, df, name))
+    monkeypatch.setattr(fp.pipeline, "settle", lambda rows, *args: settled.append(settle(rows, *args)) or settled[-1])
+    targets = spark.createDataFrame([(1, "repo", "v")], "target_id bigint, type string, value string")
+    result = fp.scan_fleet(fp.Fleet(targets, make_files({1: {"docs/a.ts": "exec(`ls ${folder}`)", "a.ts": "exec(`ls ${folder}`)"}})))
+    assert "note_class" in staged["emitted"].columns and "RebalancePartitions" in _plan(staged["emitted"])
+    assert "readme" in _plan(staged["emitted"]).lower() and "readme" not in _plan(settled[0]).lower()  # a pattern of the path classes
+    found = {(r.file, r.severity, r.confidence, r.note_class) for r in result.findings.where("rule_id = 'INJECTION_COMMAND'").collect()}
+    assert {(f, c) for f, _, _, c in found} == {("docs/a.ts", "docs"), ("a.ts", None)}
+    assert ("docs/a.ts", "low", "low", "docs") in found
+    result.run.drop()
