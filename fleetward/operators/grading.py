@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import lists
+from ..plans.staging import shuffled
 
 
 def penalty(severity: Column, confidence: Column) -> Column:
@@ -49,7 +50,7 @@ def grade(findings: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Counts, score and grade; with ``targets`` also for targets without findings."""
     counted = counts_by_severity(findings)
     if targets is not None:
-        counted = targets.select("target_id").join(counted, "target_id", "left").fillna(0)
+        counted = targets.select("target_id").join(shuffled(counted), "target_id", "left").fillna(0)
     score = score_of(F.col("penalty"))
     return counted.select(
         "target_id",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..catalog import lists, patterns as p
 from ..functions.secrets import classify_secret
 from ..functions.text import matches
+from ..plans.staging import shuffled
 from ..schema import PASS_COLUMNS, hit, lookup, one_hit
 from ..sources.http import map_candidates, split_cookies
 from ..sources.probes import plan_dotfiles, plan_tables
@@ -73,7 +74,7 @@ def weak_cookies(homepages: DataFrame) -> DataFrame:
 
 
 def _answers(plan: DataFrame, answers: DataFrame, how: str = "inner") -> DataFrame:
-    return plan.join(answers, ["target_id", "url"], how)
+    return plan.join(shuffled(answers), ["target_id", "url"], how)
 
 
 def judge_probes(probe_responses: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import lists
+from ..plans.staging import shuffled
 from ..schema import PASS_COLUMNS, lookup
 
 
@@ -33,7 +34,7 @@ def clean_categories(targets: DataFrame, findings: DataFrame) -> DataFrame:
         for kind, mode in (("url", "blackbox"), ("repo", "whitebox"))
     }
     found = findings.groupBy("target_id").agg(F.collect_set("category").alias("found"))
-    rows = targets.join(found, "target_id", "left").withColumn(
+    rows = targets.join(shuffled(found), "target_id", "left").withColumn(
         "found", F.coalesce("found", F.array().cast("array<string>"))
     )
     passes = []
@@ -54,7 +55,7 @@ def clean_categories(targets: DataFrame, findings: DataFrame) -> DataFrame:
 
 def no_secrets(targets: DataFrame, secret_findings: DataFrame) -> DataFrame:
     """Scanned targets without a hardcoded secret (inferred)."""
-    clean = targets.join(secret_findings.select("target_id").distinct(), "target_id", "left_anti")
+    clean = targets.join(shuffled(secret_findings.select("target_id").distinct()), "target_id", "left_anti")
     pid, category, title, detail = lists.PASS_NO_SECRETS
     return clean.select(
         "target_id",

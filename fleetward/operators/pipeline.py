@@ -13,6 +13,7 @@ from ..functions.identity import canonical_identity, dedupe_key, dep_package
 from ..functions.paths import path_class
 from ..functions.secrets import classify_secret
 from ..functions.text import let, matches
+from ..plans.staging import shuffled
 from ..schema import SIDE_CHANNEL, complete, with_title
 
 
@@ -94,7 +95,7 @@ def reconcile_deps(findings: DataFrame, variants: Mapping[str, Variant] = VARIAN
     keyed = with_title(deps, variants).withColumn("pkg", dep_package(F.col("url"), F.col("evidence"), F.col("title")))
     from_engine = F.col("source") == "osv-scanner"
     reported = keyed.where(from_engine & F.col("pkg").isNotNull()).select("target_id", "pkg").distinct()
-    native = keyed.where(~from_engine).join(reported, ["target_id", "pkg"], "left_anti")
+    native = keyed.where(~from_engine).join(shuffled(reported), ["target_id", "pkg"], "left_anti")
     return rest.unionByName(native.select(*cols)).unionByName(deps.where(from_engine))
 
 

@@ -18,7 +18,7 @@ from ..functions import paths
 from ..functions.identity import advisory_rule_id
 from ..functions.text import MATCH_TYPE, all_of, group, has_any, matches, scan
 from ..functions.version import format_version, in_range, parse_version, version_literal
-from ..plans.staging import materialize
+from ..plans.staging import materialize, shuffled
 from ..schema import PASS_COLUMNS, hit, lookup, one_hit
 from .file_rules import FileColumns, columns, file_columns
 
@@ -180,7 +180,7 @@ def committed_env(facts: DataFrame) -> DataFrame:
         return hit(variant, file=F.col("path"))
 
     return one_hit(
-        env.join(ignored, "target_id", "left"),
+        env.join(shuffled(ignored), "target_id", "left"),
         F.when(F.col("ignored"), as_hit("env_ignored")).otherwise(as_hit("env_not_ignored")),
     )
 
@@ -210,7 +210,7 @@ def tables_missing(facts: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("file", "ord", "line")).alias("at"))
         .select("target_id", "table_name", "at.file", "at.line", "at.ord")
     )
-    return first.join(tables_secured(facts), ["target_id", "table_name"], "left_anti")
+    return first.join(shuffled(tables_secured(facts)), ["target_id", "table_name"], "left_anti")
 
 
 def looks_hosted(facts: DataFrame, deps: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def rls_disabled(facts: DataFrame, deps: DataFrame) -> DataFrame:
     first = F.get("tables", F.lit(0))
     grouped = (
         tables_missing(facts)
-        .join(looks_hosted(facts, deps), "target_id", "left_semi")
+        .join(shuffled(looks_hosted(facts, deps)), "target_id", "left_semi")
         .groupBy("target_id")
         .agg(F.array_sort(F.collect_list(F.struct("file", "ord", "line", "table_name"))).alias("tables"))
     )
@@ -258,7 +258,7 @@ def webhook_unverified(facts: DataFrame) -> DataFrame:
     handlers = _kind(facts, "webhook").select(
         "target_id", "path", F.col("flag").alias("stripe"), F.col("other").alias("github")
     )
-    joined = handlers.join(verified_flags(facts), "target_id", "left")
+    joined = handlers.join(shuffled(verified_flags(facts)), "target_id", "left")
     stripe = F.col("stripe") & ~F.coalesce("stripe_ok", F.lit(False))
     github = F.col("github") & ~F.coalesce("github_ok", F.lit(False))
 
@@ -357,14 +357,14 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, few: bool = False)
         wide = materialize(sizes.where(F.col("n") > WIDE).select("pkg"), "wide-packages")
         if not wide.isEmpty():
             hot = _hot(deps)
-            looked_up = _looked_up(parsed, hot, gathered.join(_shuffled(wide), "pkg", "left_semi"), deps.columns)
-            gathered = materialize(gathered.join(_shuffled(wide), "pkg", "left_anti"), "narrow-advisories")
+            looked_up = _looked_up(parsed, hot, gathered.join(shuffled(wide), "pkg", "left_semi"), deps.columns)
+            gathered = materialize(gathered.join(shuffled(wide), "pkg", "left_anti"), "narrow-advisories")
         few = gathered.count() <= BROADCAST_ROWS
     if few:
         joined = parsed.join(F.broadcast(gathered), "pkg")
     else:
         hot = _hot(deps) if hot is None else hot
-        joined = _dealt(parsed, hot).join(_shuffled(_copies(gathered, hot)), ["pkg", "salt"])
+        joined = _dealt(parsed, hot).join(shuffled(_copies(gathered, hot)), ["pkg", "salt"])
     inside = F.filter("ranges", lambda r: in_range(F.col("v"), r["lo_v"], r["fixed_v"]))
     matched = joined.select(*deps.columns, "v", "id", F.inline(F.array(F.struct(inside.alias("hits")))))
     compared = matched.where(F.size("hits") > 0).select(
@@ -377,11 +377,6 @@ def match_advisories(deps: DataFrame, advisories: DataFrame, few: bool = False)
     return compared if looked_up is None else compared.unionByName(looked_up)
 
 
-def _shuffled(rows: DataFrame) -> DataFrame:
-    """The side of a join that is never broadcast: a stored table is small by the size of its files, not by its rows."""
-    return rows.hint("merge")
-
-
 def _hot(deps: DataFrame) -> DataFrame:
     """Packages of more than ``HOT`` declarations: so few that they may be broadcast, one for each ``HOT`` rows at most."""
     counted = deps.groupBy("pkg").agg(F.count("*").alias("n"))
@@ -400,9 +395,9 @@ def _dealt(parsed: DataFrame, hot: DataFrame) -> DataFrame:
 
 def _looked_up(parsed: DataFrame, hot: DataFrame, gathered: DataFrame, columns: list[str]) -> DataFrame:
     """Declarations of wide packages: every version is looked up once, and its advisories go to all who declare it."""
-    versions = parsed.select("pkg", "v").join(_shuffled(gathered.select("pkg").distinct()), "pkg", "left_semi").distinct()
+    versions = parsed.select("pkg", "v").join(shuffled(gathered.select("pkg").distinct()), "pkg", "left_semi").distinct()
     found = materialize(search_versions(materialize(versions, "versions"), gathered), "found-advisories")
-    joined = _dealt(parsed, hot).join(_shuffled(_copies(found, hot)), ["pkg", "v", "salt"])
+    joined = _dealt(parsed, hot).join(shuffled(_copies(found, hot)), ["pkg", "v", "salt"])
     return joined.select(*columns, "id", "severity", "summary", format_version(F.col("v")).alias("version"))
 
 
@@ -437,8 +432,8 @@ def search_versions(versions: DataFrame, gathered: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("pkg").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = materialize(points.select("pkg", "v", "bound", F.sum("bound").over(so_far).cast("int").alias("rank")), "ranks")
     at = ranked.where("bound = 1").select("pkg", "v", "rank")
-    placed = parts.join(_shuffled(at.withColumnsRenamed({"v": "lo_v", "rank": "low"})), ["pkg", "lo_v"]).join(
-        _shuffled(at.withColumnsRenamed({"v": "fixed_v", "rank": "high"})), ["pkg", "fixed_v"]
+    placed = parts.join(shuffled(at.withColumnsRenamed({"v": "lo_v", "rank": "low"})), ["pkg", "lo_v"]).join(
+        shuffled(at.withColumnsRenamed({"v": "fixed_v", "rank": "high"})), ["pkg", "fixed_v"]
     )
 
     def level(k: Column) -> Column:
@@ -450,9 +445,9 @@ def search_versions(versions: DataFrame, gathered: DataFrame) -> DataFrame:
     nodes = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(30)), level)), lambda n: n.isNotNull())
     covered = materialize(placed.select("pkg", "id", "severity", "summary", F.inline(nodes)), "nodes")
     levels = covered.groupBy("pkg").agg(F.max("level").alias("top"))
-    asked = ranked.where("bound = 0").join(_shuffled(levels), "pkg").select("pkg", "v", "rank", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
+    asked = ranked.where("bound = 0").join(shuffled(levels), "pkg").select("pkg", "v", "rank", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level"))
     asked = asked.select("pkg", "v", "level", F.floor(F.col("rank") / F.pow(F.lit(2.0), F.col("level"))).cast("int").alias("node"))
-    return asked.join(_shuffled(covered), ["pkg", "level", "node"]).select("pkg", "v", "id", "severity", "summary")
+    return asked.join(shuffled(covered), ["pkg", "level", "node"]).select("pkg", "v", "id", "severity", "summary")
 
 
 def known_cve(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
@@ -491,7 +486,7 @@ def good_practices(manifests: DataFrame, facts: DataFrame) -> DataFrame:
         return out
 
     config = picked_config(facts).select("target_id", F.col("other").alias("sets_headers"))
-    rows = manifests.join(config, "target_id", "left")
+    rows = manifests.join(shuffled(config), "target_id", "left")
     passes = []
     for pid, category, title, detail, deps in lists.PRACTICE_SIGNALS:
         cond = has(deps)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import patterns as p
 from ..functions.text import group, matches
 from ..functions.urls import resolve_url
+from ..plans.staging import shuffled
 
 
 def normalize_headers(raw: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def select_bundles(scripts: DataFrame, responses: DataFrame, *extra: Column) ->
     """
     kept = extra or (F.col("body").alias("content"),)
     ok = usable(responses).select("target_id", F.col("url").alias("script_url"), *kept)
-    return scripts.join(ok, ["target_id", "script_url"])
+    return scripts.join(shuffled(ok), ["target_id", "script_url"])
 
 
 CONFIG_VALUES = ("db_url", "pub_key", "token", "web_api_key")

@@ -1,4 +1,5 @@
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -250,3 +251,49 @@ def test_findings_are_judged_once_and_dealt_evenly(spark, make_files, monkeypatc
     assert {(f, c) for f, _, _, c in found} == {("docs/a.ts", "docs"), ("a.ts", None)}
     assert ("docs/a.ts", "low", "low", "docs") in found
     result.run.drop()
+
+
+def _broadcast_sources(df):
+    """Scans below the broadcasts that are planned before any row is counted."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depths = [len(line) - len(line.lstrip(" :+-|")) for line in lines]
+    found = []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depths[j] <= depths[i]), len(lines))
+            found += [x.strip(" :+-|")[:120] for x in lines[i:below] if re.search(r"FileScan|Scan ExistingRDD", x)]
+    return found
+
+
+def test_no_staged_table_is_broadcast_by_the_size_of_its_files(spark, make_files, monkeypatch):
+    """A staged table of few bytes may hold any number of rows, and a list of scripts is many rows more."""
+    planned, stage = {}, fp.Run.stage
+
+    def planned_first(run, df, name):
+        planned[name] = _broadcast_sources(df)
+        return stage(run, df, name)
+
+    monkeypatch.setattr(fp.Run, "stage", planned_first)
+    repos = [(1, "repo", "/repo/1"), (2, "repo", "/repo/2")]
+    targets = spark.createDataFrame([*repos, (7, "url", "https://a.example/")], "target_id bigint, type string, value string")
+    home = [(7, "https://a.example/", {"x-frame-options": "DENY"}, "<script src='/app.js'></script>")]
+    db = "https://abcdefghijklmnopqrst.supabase.co"
+    answers = [
+        (7, "https://a.example/app.js.map", 200, '{"version": 3, "sources": ["a.ts"], "mappings": "AA"}'),
+        (7, "https://a.example/.env", 200, f"STRIPE_KEY={apps.LIVE_KEY}"),
+    ]
+    body = f'var u="{db}"; k="sb_publishable_KKKKKKKKKKKKKKKK7"'
+    fleet = fp.Fleet(
+        targets, make_files({1: apps.VULNERABLE, 2: apps.CLEAN}),
+        spark.createDataFrame(home, "target_id bigint, url string, headers map<string,string>, body string"),
+        spark.createDataFrame([(7, "https://a.example/app.js", 200, body)], "target_id bigint, url string, status int, body string"),
+        spark.createDataFrame(answers, "target_id bigint, url string, status int, body string"),
+    )
+    result = fp.scan_fleet(fleet)
+    summary = fp.summary(fleet, result)
+    planned["summary"] = _broadcast_sources(summary)
+    assert {"bundles", "discovered", "emitted", "settled", "passes"} <= planned.keys()
+    assert {name: scans for name, scans in planned.items() if scans} == {}
+    assert {r.rule_id for r in result.findings.where("target_id = 7").collect()} >= {"WEB_CONFIG_EXPOSED_SOURCEMAP", "WEB_CONFIG_EXPOSED_FILE"}
+    assert {r.target_id for r in summary.collect()} == {1, 2, 7}
+    result.run.drop()
